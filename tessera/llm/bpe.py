@@ -32,14 +32,12 @@ CACHE = 400_000
 
 
 
-def newer_characters() -> "regex.Pattern":
-    """Matches characters that the pattern engine here knows and Python's older Unicode
-    tables do not. The library's own engine may class these otherwise, so texts that
-    hold one are given to the library whole."""
+def newer_characters() -> frozenset[str]:
+    """Characters that the pattern engine here knows and Python's older Unicode tables do
+    not. The library's own engine may class these otherwise, so texts that hold one are
+    given to the library whole."""
     unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
-    runs = [m.span() for m in regex.finditer(r"\P{Cn}+", unknown)]
-    parts = [f"{unknown[a]}-{unknown[b - 1]}" if ord(unknown[b - 1]) - ord(unknown[a]) == b - 1 - a else unknown[a:b] for a, b in runs]
-    return regex.compile("[" + "".join(parts) + "\U0010ffff]")
+    return frozenset("".join(regex.findall(r"\P{Cn}+", unknown)))
 
 
 _CODECS: dict[tuple[str, str], "Codec"] = {}
@@ -70,6 +68,15 @@ class Codec:
         """Ids of a text as the library itself encodes it."""
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def has_newer(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return not self.newer.isdisjoint(text)
+
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -130,7 +137,7 @@ def stitch(starts: list[int], marks: list[np.ndarray], last: int) -> list[tuple[
 def encode_text(codec: Codec, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
     """Ids of one text by chunks, stitched; as 32-bit integers in bytes."""
     text = text or ""
-    if not text.isascii() and codec.newer.search(text):
+    if codec.has_newer(text):
         return codec.whole(text)
     if len(text) <= chunk:
         return codec.ids(codec.pieces(text))
@@ -212,7 +219,7 @@ def encode_documents(
         parts, ids = pdf["part"].tolist(), pdf["ids"].tolist()
         out, spans = [], stitch(starts, marks, starts[-1] + len(parts[-1]))
         text = "".join([*(p[:chunk] for p in parts[:-1]), parts[-1]])
-        if not text.isascii() and codec.newer.search(text):
+        if codec.has_newer(text):
             out, spans = [codec.whole(text)], []
         for c, a, b in spans:
             if c < 0:  # one pre-token spans an overlap: the rest is cut as one text
