@@ -139,6 +139,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
 
     keys = ["dim", "block", "chunk"]
+    cells = sum(max(1, math.ceil(r.n / block)) * max(1, math.ceil(r.q / chunk)) for r in sizes.values())
+    n = min(2 * cells, 20_000)  # by number, as Spark would merge cells for their few bytes
+    data, asked = data.repartition(n, *keys), asked.repartition(n, *keys)
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     # one id with several vectors can be found twice by a query: its best counts
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

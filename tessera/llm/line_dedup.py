@@ -7,9 +7,10 @@ pages of that host.
 Each page gives a line once, as 128 bits of hash, and the counts by (host, line) are
 pre-aggregated before their shuffle, so that a host with a third of all pages deals out
 by its lines and not to one task. What a host drops is bounded by its own mean number of
-lines over the ratio, so it fits a row; it meets the pages in a join on the host in which
-Spark can split a hot host's pages, and which it turns to a broadcast where that side is
-small.
+lines over the ratio, so it fits a row. Where all hosts together drop at most
+``BROADCAST_LINES`` lines (counted, not guessed), these are broadcast and the texts are
+not shuffled; beyond that, pages and lines meet in a join on the host in which Spark can
+split a hot host's pages.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import cut
+
 RATIO = 0.1
 MIN_PAGES = 3
+#: 16 bytes each, so at most 4 MB.
+BROADCAST_LINES = 250_000
 
 
 def _hash(line: Column) -> Column:
@@ -55,7 +60,9 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     own. Null texts stay null with no lines; an empty text has one, blank, line. Rows of
     a null host form one host. Other columns pass through; only columns of the names
     n_lines and n_dropped are replaced. An empty table gives no rows."""
-    named = boilerplate(pages, F.col(host_col), F.col(text_col), ratio, min_pages).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
+    named = cut(boilerplate(pages, F.col(host_col), F.col(text_col), ratio, min_pages).select(F.col("host").alias("__host"), F.col("drop").alias("__drop")))
+    if (named.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= BROADCAST_LINES:
+        named = F.broadcast(named)
     joined = pages.drop("n_lines", "n_dropped").join(named, F.col(host_col).eqNullSafe(F.col("__host")), "left")
     lines = _lines(F.col(text_col))
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__drop"), _hash(x)))

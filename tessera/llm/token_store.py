@@ -363,4 +363,5 @@ def read_store(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataF
 
     rows = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", "pack", "chunks", "root")
     # documents of a pack meet in a task, in the order in which its frames hold them
-    return rows.repartition("pack").sortWithinPartitions("pack", "start").drop("pack").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    n = max(1, min(rows.select("pack").distinct().count(), 10_000))  # recipes are small, what they name is not
+    return rows.repartition(n, "pack").sortWithinPartitions("pack", "start").drop("pack").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")

@@ -178,17 +178,21 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     # labels are at most a few tens of thousands: sampled_labels bounds them
     own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(F.broadcast(labels.select("doc_id", "y")), F.col("id") == F.col("doc_id")).select("text", "y")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(seen: list[Counter], rows: list[int]) -> pa.RecordBatch:
+        keys = list(seen[0].keys() | seen[1].keys())
+        cols = [["", *keys], [rows[1], *(seen[1][k] for k in keys)], [rows[0], *(seen[0][k] for k in keys)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["term", "bad", "good"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
         rows = [0, 0]
-        for pdf in batches:
-            for t, y in zip(pdf["text"], pdf["y"]):
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[1 if y else 0].update(_terms_of(t))
                 rows[1 if y else 0] += 1
-        keys = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": ["", *keys], "bad": [rows[1], *(seen[1][k] for k in keys)], "good": [rows[0], *(seen[0][k] for k in keys)]})
+        yield counted(seen, rows)
 
-    counts = own.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 2 or term = ''")
+    counts = own.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 2 or term = ''")
     top = counts.orderBy(F.when(F.col("term") == "", 0).otherwise(1), (F.col("bad") - 4 * F.col("good")).desc(), "term").limit(20_000).collect()
     total = next(((r.bad, r.good) for r in top if r.term == ""), (0, 0))
     if not total[0] or not total[1]:
@@ -199,36 +203,35 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     kept: dict[str, float] = {}
     for gain, _, term, bad, good in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
         weight = math.log((bad + 0.5) / (total[0] + 1)) - math.log((good + 0.5) / (total[1] + 1))
-        if gain < least or weight < math.log(20) or len(kept) >= MAX_TERMS:
+        if gain < least or weight < math.log(8) or len(kept) >= MAX_TERMS:
             continue
         if not any(term.startswith(k) or k.startswith(term) for k in kept):
             kept[term] = weight
     out = Lexicon(kept, _phrases(exceptions))
 
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter(), Counter()]
-        for pdf in batches:
-            for t, y in zip(pdf["text"], pdf["y"]):
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 flat = folded(t)
                 words = flat.split()
                 number = {}
                 for at, _ in out.matches(flat):
                     number[at] = flat.count(" ", 0, at)
                 seen[1 if y else 0].update({f" {words[i]} {words[i + 1]} " for k in number.values() for i in (k - 1, k) if 0 <= i < len(words) - 1})
-        keys = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": keys, "bad": [seen[1][k] for k in keys], "good": [seen[0][k] for k in keys]})
+        yield counted(seen, [0, 0])
 
     if kept:
-        pairs = own.mapInPandas(around, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        spared = pairs.where("bad = 0 and good >= 3").orderBy(F.desc("good"), "term").limit(MAX_TERMS).collect()
+        pairs = own.mapInArrow(around, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        spared = pairs.where("bad = 0 and good >= 3 and term <> ''").orderBy(F.desc("good"), "term").limit(MAX_TERMS).collect()
         out = Lexicon(kept, sorted({*out.exceptions, *(r.term for r in spared)}))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = [out.features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"a": [v[0] for v in x], "b": [v[1] for v in x], "y": pdf["y"]})
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [out.features(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column(1)], ["a", "b", "y"])
 
-    pdf = own.mapInPandas(measure, "a double, b double, y int").groupBy("a", "b", "y").count().toPandas()  # a row for each labelled one at most
+    pdf = own.mapInArrow(measure, "a double, b double, y int").groupBy("a", "b", "y").count().toPandas()  # a row for each labelled one at most
     x, y = np.repeat(pdf[["a", "b"]].to_numpy(), pdf["count"], axis=0), np.repeat(pdf["y"].to_numpy(float), pdf["count"])
     out.curve = _fit_curve(x, y)
     return out

@@ -211,8 +211,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
                         yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    bundles = spark.read.parquet(f"{folder}/index").select("bundle").distinct()
-    return bundles.mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    bundles = spark.read.parquet(f"{folder}/index").groupBy("bundle").agg(F.sum("length").alias("size"))
+    n = max(1, min(bundles.count(), 10_000))  # the names are small, the bundles are not
+    return bundles.select("bundle").repartition(n, "bundle").mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def lookup(index: DataFrame, folder: str, record_id: str) -> list[tuple[dict[str, str], bytes]]:
