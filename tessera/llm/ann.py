@@ -26,12 +26,14 @@ from tessera.llm._common import ship
 
 LINES = 128
 #: Share of the lines on which a vector has to collide.
-THRESHOLD = 0.55
+THRESHOLD = 0.5
 #: Standard deviations by which a k-th best vector has to exceed the threshold.
-SURE = 1.6
-WINDOW, GROWTH = 0.4, 1.3
+SURE = 1.3
+WINDOW, GROWTH = 0.5, 1.4
 BLOCK, CHUNK = 8_192, 1_024
 SEED = 20
+#: Queries whose collisions are counted together.
+BATCH = 16
 
 
 def _normal_within(t: float) -> float:
@@ -53,12 +55,15 @@ class Block:
 
     def collisions(self, h: np.ndarray, half: float) -> np.ndarray:
         """(query, vector): on how many lines the vector's place is within the window."""
-        out = np.zeros((len(h), self.x.shape[0]), np.uint8)
+        shape = len(h), self.x.shape[0]
+        out, place, inside = np.zeros(shape, np.uint8), np.empty(shape, np.uint16), np.empty(shape, bool)
         for i in range(LINES):
             lo = np.searchsorted(self.sorted[i], h[:, i] - half, "left")
             size = np.searchsorted(self.sorted[i], h[:, i] + half, "right") - lo
             # places below lo wrap around and are beyond the size as well
-            out += (self.rank[i][None] - lo.astype(np.uint16)[:, None]) < size.astype(np.int32)[:, None]
+            np.subtract(self.rank[i][None], lo.astype(np.uint16)[:, None], out=place)
+            np.less(place, size.astype(np.uint16)[:, None], out=inside)
+            np.add(out, inside.view(np.uint8), out=out)
         return out
 
     def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -68,8 +73,8 @@ class Block:
         h = (np.column_stack([q / norm[:, None], np.zeros(len(q))])) @ self.lines.T
         need = math.ceil(THRESHOLD * LINES)
         slack = SURE * math.sqrt(THRESHOLD * (1 - THRESHOLD) / LINES)
-        for a in range(0, len(q), 32):
-            active, half = np.arange(a, min(a + 32, len(q))), WINDOW
+        for a in range(0, len(q), BATCH):
+            active, half = np.arange(a, min(a + BATCH, len(q))), WINDOW
             while len(active):
                 full = half > 8  # projections of points at a distance of at most 2 all fall inside
                 hits = self.collisions(h[active], half) if not full else None
