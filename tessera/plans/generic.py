@@ -29,14 +29,15 @@ def query(sql: str | None = None):
 
 
 _PART = ["p_name", "p_brand", "p_size"]
-_OLD = "SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_partkey % 10 <> 0"
-_NEW = "SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 7 <> 0"
+_OLD = "SELECT p_partkey, p_name, p_brand, p_size FROM part"
+_NEW = "SELECT CASE WHEN p_partkey % 10 = 0 THEN -1 - p_partkey ELSE p_partkey END AS p_partkey, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part"
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All rows in both: the new version has other keys for some and other sizes for some."""
     part = table(spark, d, "part").select("p_partkey", *_PART)
-    new = part.where("p_partkey % 7 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
-    return part.where("p_partkey % 10 <> 0"), new
+    new = part.withColumn("p_size", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return part, new.withColumn("p_partkey", F.when(F.col("p_partkey") % 10 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")))
 
 
 _FULL = f"""
@@ -90,16 +91,17 @@ def last_row_per_key(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT role, turn, min(text) AS text FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1, 2),
-n AS (SELECT role, turn, min(text) AS text FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1, 2)
+    """WITH o AS (SELECT role, turn, min(text) AS text FROM conversations GROUP BY 1, 2),
+n AS (SELECT role, CASE WHEN turn > 3 THEN turn + 2 ELSE turn END AS turn, CASE WHEN turn % 4 = 0 THEN min(text) ELSE max(text) END AS text FROM conversations GROUP BY role, conversations.turn)
 SELECT coalesce(o.role, n.role) AS role, coalesce(o.turn, n.turn) AS pos,
   CASE WHEN o.role IS NULL THEN 'added' WHEN n.role IS NULL THEN 'deleted' WHEN o.text IS NOT DISTINCT FROM n.text THEN 'unchanged' ELSE 'changed' END AS action,
   o.text AS old_value, n.text AS new_value FROM o FULL JOIN n ON o.role = n.role AND o.turn = n.turn"""
 )
 def positional_list_diff(spark, d):
     c = table(spark, d, "conversations")
-    side = lambda k: c.where(F.col("conv_id") % k == 0).groupBy("role", "turn").agg(F.min("text").alias("text"))
-    return diff.positional_diff(side(2), side(3), ["role"], "turn", "text")
+    old = c.groupBy("role", "turn").agg(F.min("text").alias("text"), F.max("text").alias("last"))
+    new = old.select("role", F.when(F.col("turn") > 3, F.col("turn") + 2).otherwise(F.col("turn")).alias("turn"), F.when(F.col("turn") % 4 == 0, F.col("text")).otherwise(F.col("last")).alias("text"))
+    return diff.positional_diff(old, new, ["role"], "turn", "text")
 
 
 @query(
@@ -112,8 +114,8 @@ def duplicate_sibling_index(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT p_brand, p_type AS name, max(p_size) AS value, min(p_name) AS status FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1, 2),
-n AS (SELECT p_brand, p_type AS name, max(p_size) AS value, min(p_name) AS status FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1, 2)
+    """WITH o AS (SELECT p_brand, p_type AS name, max(p_size) AS value, min(p_name) AS status FROM part GROUP BY 1, 2),
+n AS (SELECT p_brand, CASE WHEN max(p_size) > 45 THEN p_type || '+' ELSE p_type END AS name, max(p_size) AS value, max(p_name) AS status FROM part GROUP BY p_brand, p_type)
 SELECT coalesce(o.p_brand, n.p_brand) AS p_brand, coalesce(o.name, n.name) AS name,
  CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'deleted' ELSE 'changed' END AS action,
  CASE WHEN o.name IS NOT NULL AND n.name IS NOT NULL AND o.value IS DISTINCT FROM n.value THEN 'error' WHEN o.name IS NOT NULL AND n.name IS NOT NULL AND o.status IS DISTINCT FROM n.status THEN 'warning' ELSE 'info' END AS severity,
@@ -124,11 +126,10 @@ WHERE o.name IS NULL OR n.name IS NULL OR o.value IS DISTINCT FROM n.value OR o.
 def symbolic_entry_diff(spark, d):
     p = table(spark, d, "part")
 
-    def side(k):
-        e = p.where(F.col("p_partkey") % k != 0).groupBy("p_brand", "p_type").agg(F.max("p_size").alias("value"), F.min("p_name").alias("status"))
-        return e.groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_type").alias("name"), "value", "status")).alias("entries"))
-
-    return diff.symbolic_diff(side(10), side(7), ["p_brand"], "entries")
+    e = p.groupBy("p_brand", "p_type").agg(F.max("p_size").alias("value"), F.min("p_name").alias("low"), F.max("p_name").alias("high"))
+    side = lambda name, status: e.groupBy("p_brand").agg(F.collect_list(F.struct(name.alias("name"), "value", F.col(status).alias("status"))).alias("entries"))
+    renamed = F.when(F.col("value") > 45, F.concat("p_type", F.lit("+"))).otherwise(F.col("p_type"))
+    return diff.symbolic_diff(side(F.col("p_type"), "low"), side(renamed, "high"), ["p_brand"], "entries")
 
 
 # --- paths and text ----------------------------------------------------------
@@ -183,7 +184,7 @@ def jaccard_similarity(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(retrieval.lexical_overlap(F.col("text"), F.lit("The attic and the theatre with that")), 6).alias("score"))
 
 
-@query("SELECT doc_id, substr(sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 12) AS fingerprint FROM documents WHERE text = regexp_replace(text, '[^ -~]', '', 'g') OR true")
+@query("SELECT doc_id, substr(sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 12) AS fingerprint FROM documents")
 def fingerprint_sha1(spark, d):
     return table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
 
@@ -223,20 +224,20 @@ def props_variant_extract(spark, d):
 # --- matching ----------------------------------------------------------------
 
 _NATION = """WITH o AS (SELECT s_suppkey AS id, s_nationkey AS kind, regexp_replace(s_name, '^.*#0*', '') AS name FROM supplier),
-n AS (SELECT c_custkey AS id, c_nationkey AS kind, regexp_replace(c_name, '^.*#0*', '') AS name FROM customer WHERE c_custkey <= 400)"""
+n AS (SELECT c_custkey AS id, c_nationkey AS kind, regexp_replace(c_name, '^.*#0*', '') AS name FROM customer)"""
 
 
 def _rename_sides(spark, d):
     name = lambda c: F.regexp_replace(c, "^.*#0*", "")
-    block = lambda c: F.length(c)
+    block = lambda c: F.right(F.col(c), F.lit(2))
     old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("kind"), name("s_name").alias("name"))
-    new = table(spark, d, "customer").where("c_custkey <= 400").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("kind"), name("c_name").alias("name"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("kind"), name("c_name").alias("name"))
     return old.withColumn("block", block("name")), new.withColumn("block", block("name"))
 
 
 _CAND = f"""{_NATION}, named AS (SELECT o.id AS o_id, n.id AS n_id, true AS same_name FROM o JOIN n ON o.kind = n.kind AND o.name = n.name),
 lone AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = o.kind AND n.name = o.name)),
-cand AS (SELECT * FROM named UNION ALL SELECT l.id, n.id, false FROM lone l JOIN n ON l.kind = n.kind AND len(l.name) = len(n.name))"""
+cand AS (SELECT * FROM named UNION ALL SELECT l.id, n.id, false FROM lone l JOIN n ON l.kind = n.kind AND right(l.name, 2) = right(n.name, 2))"""
 
 
 @query(f"{_CAND} SELECT * FROM cand")
@@ -454,25 +455,25 @@ def constraint_number_change(spark, d):
 
 
 @query(
-    """WITH RECURSIVE e(child, parent) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
+    """WITH RECURSIVE e(child, parent) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region),
 c(child, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child) SELECT * FROM c"""
 )
 def typedef_closure(spark, d):
     j = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     e = table(spark, d, "nation").select(j("n", "n_nationkey").alias("child"), j("r", "n_regionkey").alias("parent"))
-    e = e.unionByName(table(spark, d, "customer").where("c_custkey % 10 = 0").select(j("c", "c_custkey").alias("child"), j("n", "c_nationkey").alias("parent")))
+    e = e.unionByName(table(spark, d, "customer").select(j("c", "c_custkey").alias("child"), j("n", "c_nationkey").alias("parent")))
     e = e.unionByName(table(spark, d, "region").select(j("r", "r_regionkey").alias("child"), F.lit("world").alias("parent")))
     return graph.closure(e, "child", "parent")
 
 
 @query(
-    """WITH n AS (SELECT conv_id, turn, turn - 1 AS up FROM conversations), w AS (SELECT * FROM n WHERE conv_id % 5 = 0)
+    """WITH n AS (SELECT conv_id, turn, turn - 1 AS up FROM conversations), w AS (SELECT * FROM n)
 SELECT w.conv_id, w.turn, 'parent' AS kind, n.turn AS other_turn FROM w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.up
 UNION ALL SELECT w.conv_id, w.turn, 'child', n.turn FROM w JOIN n ON n.conv_id = w.conv_id AND n.up = w.turn"""
 )
 def graph_neighbors(spark, d):
     n = table(spark, d, "conversations").select("conv_id", "turn", F.col("conv_id").alias("up_conv"), (F.col("turn") - 1).alias("up"))
-    return graph.neighbours(n, n.where("conv_id % 5 = 0"), ["conv_id", "turn"], ["up_conv", "up"]).select("conv_id", "turn", "kind", "other_turn")
+    return graph.neighbours(n, n, ["conv_id", "turn"], ["up_conv", "up"]).select("conv_id", "turn", "kind", "other_turn")
 
 
 # --- retrieval ---------------------------------------------------------------
