@@ -31,7 +31,8 @@ MAX_WINDOWS = 200_000
 #: A-Z to a-z; every other ASCII character but a-z and 0-9 to a space. Bytes of longer
 #: UTF-8 characters stay: such characters belong to words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that is not lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: str | None) -> list[bytes]:

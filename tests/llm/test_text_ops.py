@@ -119,8 +119,8 @@ def slow_contamination(text, items):
 @pytest.mark.parametrize("limit", [decontam.MAX_WINDOWS, 3])
 def test_decontamination(spark, limit):
     rng = random.Random(2)
-    say = lambda n: " ".join(rng.choice(["a", "b", "Cé", "d1", "e"]) for _ in range(n))
-    items = [(1, say(30)), (2, say(15)), (10, "b a"), (3, say(13)), (4, None), (5, "?!"), (None, say(14)), (3, "zz yy")]
+    say = lambda n: " ".join(rng.choice(["a", "B", "Cé", "d1", "E"]) for _ in range(n))
+    items = [(1, say(30)), (2, say(15)), (10, "b A"), (3, say(13)), (4, None), (5, "?!"), (None, say(14)), (3, "zz yy")]
     rows = list(TEXTS) + [(50 + i, " ".join([say(20), rng.choice(items)[1] or "", say(rng.randint(0, 400))]).replace(" ", rng.choice([" ", "-", ". "]))) for i in range(25)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.decontaminate(messy(spark, rows), bench, max_windows=limit).collect()
