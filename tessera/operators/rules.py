@@ -21,7 +21,8 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
     details: key, subject, action, parent (keyword), parent_action, old_value, new_value,
     change (relaxed, narrowed, ... or null). rules: ord, rule_id, subject, parents
     (array, null for any), action, parent_action, value, from_value, to_value, relaxed
-    (boolean), verdict, verdict_strict; a null condition holds always.
+    (boolean), verdict, verdict_strict and, optionally, same (boolean: the change has or
+    has not to be an equivalent one); a null condition holds always.
 
     The least fitting order is an aggregate over the key (min_by), not a sort; the rules
     are broadcast when counted small."""
@@ -37,8 +38,10 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
         & (none("parent_action") | (F.col("parent_action") == F.col("r_parent_action")))
         & (none("value") | (shown == F.col("r_value")))
         & (none("from_value") | ((F.col("old_value") == F.col("r_from_value")) & (F.col("new_value") == F.col("r_to_value"))))
-        & (none("relaxed") | (F.col("change").isin("relaxed", "equivalent", "expanded") == F.col("r_relaxed")))
+        & (none("relaxed") | (F.coalesce(F.col("change").isin("relaxed", "equivalent", "expanded"), F.lit(False)) == F.col("r_relaxed")))
     )
+    if "same" in rules.columns:
+        fits = fits & (none("same") | (F.col("change").eqNullSafe(F.lit("equivalent")) == F.col("r_same")))
     found = details.join(r, fits).groupBy(key).agg(F.min_by(F.struct(F.col("r_rule_id").alias("rule_id"), mode_verdict(F.col("r_verdict"), F.col("r_verdict_strict"), mode).alias("verdict")), "r_ord").alias("m"))
     return details.join(found, key, "left").select(*details.columns, F.col("m.rule_id").alias("rule_id"), F.coalesce("m.verdict", F.lit(UNMARKED)).alias("verdict"))
 
