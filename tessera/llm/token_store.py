@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,25 +39,52 @@ from tessera.llm._common import filesystem, ship
 
 SPAN, LEAST, MEAN_BITS, MOST = 16, 64, 8, 2_048
 FRAME_BYTES = 1 << 18
-CACHE = 400_000
+#: Words and pre-tokens that a worker keeps; then it starts anew.
+CACHE = 800_000
 _MAGIC = b"TKPK0001"
 
 #: Characters for which lower-casing and splitting at white space in Python is what the
 #: tokenizer's normaliser and pre-tokeniser do; other texts are given to it whole.
 _PLAIN = re.compile(r"[\t-\r -~\xa0-ɏ]*")
+# The pre-token pattern of the tokenizer file, and how byte-level models
+# show bytes as letters (printable ones as themselves, the others from U+0100 on).
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) if b in _PRINTABLE else chr(256 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)}
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class _Words(dict):
+    """Word to its ids, made when first asked for: its pre-tokens, each merged once."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.merge, self.pieces = tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = b""
+        for p in _PRE_TOKEN.findall(word):
+            ids = self.pieces.get(p)
+            if ids is None:
+                shown = p if p.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, p.encode("utf-8")))
+                t = self.merge(shown)
+                ids = self.pieces[p] = struct.pack(f"<{len(t)}I", *(x.id for x in t))
+            out += ids
+        self[word] = out
+        return out
+
+
 class Encoder:
-    """Ids by a tokenizer file that lower-cases and never merges across white space. Its
-    library encodes each distinct word once; texts are put together from words."""
+    """Ids by a tokenizer file that lower-cases, splits by _PRE_TOKEN and works on bytes
+    shown as letters. Its library merges each distinct pre-token once; texts are put
+    together from words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what is parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer)
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -66,19 +94,18 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in (t or "" for t in texts)]
-        new = {w for ws in split if ws for w in ws} - self.words.keys()
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = {w for ws in split if ws for w in ws}
-        listed = list(new)
-        for w, e in zip(listed, self.tokenizer.encode_batch(listed, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) + len(self.words.pieces) > CACHE:
+            self.words = _Words(self.tokenizer)
         get = self.words.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws))
-            for t, ws in zip(texts, split)
-        ]
+        out = []
+        for t in texts:
+            t = t or ""
+            if "<|" not in t and _PLAIN.fullmatch(t):
+                out.append(b"".join(map(get, t.lower().split())))
+            else:
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
+        return out
 
 
 _MIX = np.random.default_rng(64).integers(0, 2**64, 4096, np.uint64)
@@ -138,6 +165,11 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _names(joined: bytes) -> list[bytes]:
+    joined = bytes(joined)
+    return [joined[i : i + 32] for i in range(0, len(joined), 32)]
+
+
 class PackWriter:
     """Chunks in frames, then the index; under a temporary name until it is whole."""
 
@@ -213,7 +245,9 @@ class PackReader:
 
 
 def _encode_packs(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
-    """(doc_id, n_tokens, pack, chunks): a pack a partition, with its own chunks once."""
+    """(doc_id, n_tokens, pack, names, fresh): a pack a partition, with its own chunks
+    once. names: the chunks' names, one after the other; fresh: those of them that this
+    document is the first of its pack to have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, name, writer, seen = Encoder.get(tokenizer), f"{TaskContext.get().partitionId():06d}", None, set()
@@ -224,28 +258,30 @@ def _encode_packs(docs: DataFrame, tokenizer: str, end_id: int, folder: str) ->
                 rows = []
                 for doc_id, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                     raw += end
-                    names, at = [], 0
+                    names, fresh, at = [], [], 0
                     for z in cuts(np.frombuffer(raw, "<u4")):
                         piece = raw[4 * at : 4 * z]
                         at = z
                         names.append(hashlib.sha256(piece).digest())
                         if names[-1] not in seen:
                             seen.add(names[-1])
+                            fresh.append(names[-1])
                             writer = writer or PackWriter(f"{folder}/staging/{name}.pack")
                             writer.add(names[-1], piece)
-                    rows.append((doc_id, len(raw) // 4, name, names))
-                cols = list(zip(*rows)) if rows else [[]] * 4
-                types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_tokens", "pack", "chunks"])
+                    rows.append((doc_id, len(raw) // 4, name, b"".join(names), fresh))
+                cols = list(zip(*rows)) if rows else [[]] * 5
+                types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "n_tokens", "pack", "names", "fresh"])
         if writer is not None:
             writer.close()
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, pack string, chunks array<binary>")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, pack string, names binary, fresh array<binary>")
 
 
 def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write the store below ``folder`` (a new one) and return its recipes: doc_id, start,
-    n_tokens, pack, chunks (array of name and pack), root, shard.
+    n_tokens, pack, names (of its chunks, 32 bytes each), away (place in names and pack
+    of the chunks that another pack has), root, shard.
 
     Null and empty texts have only the end id. Rows that repeat an id each have a recipe,
     ordered by their roots; null ids come first. An empty table gives an empty store.
@@ -259,7 +295,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, i
     _encode_packs(src, tokenizer, end_id, folder).write.parquet(f"{folder}/staging-recipes")
     staged = spark.read.parquet(f"{folder}/staging-recipes")
 
-    names = staged.select("pack", F.explode("chunks").alias("name")).groupBy("name", "pack").agg(F.lit(1).alias("one"))
+    names = staged.select("pack", F.explode("fresh").alias("name"))
     first = names.groupBy("name").agg(F.min("pack").alias("owner"), F.max("pack").alias("last")).where("owner <> last")
     foreign = names.join(first, "name").where("pack <> owner").select(F.col("pack").alias("home"), "name", "owner")
 
@@ -280,14 +316,14 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, i
                 fs.move(old, new)
         if owner and fs.get_file_info(old).type.name != "NotFound":
             fs.delete_file(old)
-        lists = [[bytes(x) for x in xs] for xs in recipes["chunks"]]
-        out = recipes[["doc_id", "n_tokens", "pack"]].copy()
-        out["chunks"] = [[{"name": x, "pack": owner.get(x, pack)} for x in xs] for xs in lists]
+        lists = [_names(x) for x in recipes["names"]]
+        out = recipes[["doc_id", "n_tokens", "pack", "names"]].copy()
+        out["away"] = [[{"at": i, "pack": owner[x]} for i, x in enumerate(xs) if x in owner] if owner else [] for xs in lists]
         out["root"] = [merkle(xs) for xs in lists]
         return out
 
-    kind = "doc_id long, n_tokens long, pack string, chunks array<struct<name:binary,pack:string>>, root binary"
-    linked = staged.groupBy("pack").cogroup(foreign.groupBy("home")).applyInPandas(settle, kind)
+    kind = "doc_id long, n_tokens long, pack string, names binary, away array<struct<at:int,pack:string>>, root binary"
+    linked = staged.drop("fresh").groupBy("pack").cogroup(foreign.groupBy("home")).applyInPandas(settle, kind)
     linked.write.parquet(f"{folder}/linked")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = spark.read.parquet(f"{folder}/linked").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "root").withColumn("shard", F.spark_partition_id())
@@ -295,7 +331,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, i
     for d in ("staging-recipes", "linked", "staging"):
         fs.delete_dir(f"{path}/{d}")
     recipes = read_recipes(spark, folder)
-    recipes.groupBy("shard").applyInPandas(_shard_root, "shard int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
+    recipes.select("shard", "doc_id", "start", "n_tokens", "root").groupBy("shard").applyInPandas(_shard_root, "shard int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
     return recipes
 
 
@@ -317,7 +353,7 @@ def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
     before = spark.createDataFrame(starts, "shard int, before long")
     within = Window.partitionBy("shard").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "pack", "chunks", "root", "shard")
+    return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "pack", "names", "away", "root", "shard")
 
 
 def manifest_root(spark: SparkSession, folder: str) -> str:
@@ -328,7 +364,7 @@ def manifest_root(spark: SparkSession, folder: str) -> str:
 def verify_manifest(spark: SparkSession, folder: str) -> bool:
     """Whether the recipes give the roots that the manifest has."""
     kind = "shard int, n_docs long, n_tokens long, root binary"
-    now = read_recipes(spark, folder).groupBy("shard").applyInPandas(_shard_root, kind)
+    now = read_recipes(spark, folder).select("shard", "doc_id", "start", "n_tokens", "root").groupBy("shard").applyInPandas(_shard_root, kind)
     kept = spark.read.parquet(f"{folder}/manifest")
     return not now.exceptAll(kept).count() and not kept.exceptAll(now).count()
 
@@ -342,26 +378,29 @@ def read_store(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataF
         open_packs: OrderedDict[str, PackReader] = OrderedDict()
 
         def chunk(pack: str, name: bytes) -> bytes:
-            if pack not in open_packs:
+            if pack in open_packs:
+                open_packs.move_to_end(pack)
+            else:
                 open_packs[pack] = PackReader(f"{folder}/packs/{pack}.pack")
                 if len(open_packs) > 24:
                     open_packs.popitem(last=False)[1].close()
-            open_packs.move_to_end(pack)
             return open_packs[pack].chunk(name)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 rows = []
-                for r in batch.slice(i, 500).to_pylist():
-                    ids = b"".join(chunk(c["pack"], c["name"]) for c in r["chunks"])
-                    if len(ids) != 4 * r["n_tokens"] or merkle([c["name"] for c in r["chunks"]]) != r["root"]:
-                        raise ValueError(f"document {r['doc_id']} does not match its recipe")
-                    rows.append((r["doc_id"], r["start"], r["n_tokens"], ids if keep_ids else None, zlib.crc32(ids)))
+                for doc_id, start, n, own, joined, away, root in zip(*(c.to_pylist() for c in batch.slice(i, 500).columns)):
+                    names = _names(joined)
+                    packs = {a["at"]: a["pack"] for a in away}
+                    ids = b"".join([chunk(packs.get(k, own), x) for k, x in enumerate(names)])
+                    if len(ids) != 4 * n or merkle(names) != root:
+                        raise ValueError(f"document {doc_id} does not match its recipe")
+                    rows.append((doc_id, start, n, ids if keep_ids else None, zlib.crc32(ids)))
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    rows = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", "pack", "chunks", "root")
+    rows = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", "pack", "names", "away", "root")
     # documents of a pack meet in a task, in the order in which its frames hold them
     n = max(1, min(rows.select("pack").distinct().count(), 10_000))  # recipes are small, what they name is not
-    return rows.repartition(n, "pack").sortWithinPartitions("pack", "start").drop("pack").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return rows.repartition(n, "pack").sortWithinPartitions("pack", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
