@@ -18,22 +18,17 @@ def corpus(stmts: DataFrame, per_keyword: int | None = None) -> DataFrame:
     skeleton_path, template (masked snippet), tokens (its masks), display_text, module,
     file, line, description.
 
-    Parents and the first child keywords come by joins on (file, id); equal templates of
+    Children come by a join on (file, id); equal templates of
     a module count once, the first in the file staying; with ``per_keyword`` only the
     first so many of a keyword stay (a feature of the corpus build)."""
     s = stmts.select("*", F.concat_ws(":", "prefix", "keyword").alias("shown"))
     kids = s.where("parent_id is not null").groupBy("file", F.col("parent_id").alias("stmt_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "shown", "arg"))).alias("kids"))
-    edges = s.select("file", "stmt_id", "parent_id", "keyword")
-    path = edges.select("file", "stmt_id", F.col("parent_id").alias("up"), F.array("keyword").alias("path"))
-    for _ in range(8):  # deeper ancestors add nothing to the shape
-        up = edges.select("file", F.col("stmt_id").alias("u"), F.col("parent_id").alias("next"), F.col("keyword").alias("k"))
-        path = path.join(up, (path["file"] == up["file"]) & (F.col("up") == F.col("u")), "left").select(path["file"], "stmt_id", F.col("next").alias("up"), F.when(F.col("k").isNull(), F.col("path")).otherwise(F.concat(F.array("k"), F.col("path"))).alias("path"))
-    d = s.join(kids, ["file", "stmt_id"], "left").join(path.drop("up"), ["file", "stmt_id"])
+    d = s.join(kids, ["file", "stmt_id"], "left")
     pieces = F.coalesce(F.transform("kids", lambda k: F.concat_ws(" ", k["shown"], text.mask(k["arg"]))), F.array().cast("array<string>"))
     extension = F.col("prefix").isNotNull()
     keywords = F.array_distinct(F.concat(F.array("keyword"), F.coalesce(F.transform("kids", lambda k: F.regexp_replace(k["shown"], "^[^:]*:", "")), F.array().cast("array<string>"))))
     masked = F.concat_ws(" ", F.array("shown"), F.array(text.mask(F.col("arg"))), F.slice(pieces, F.lit(1), F.lit(8)))
-    shape = F.aggregate(F.col("path"), F.array().cast("array<string>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False)), a).otherwise(F.concat(a, F.array(x))))
+    shape = F.aggregate(F.col("trail"), F.array().cast("array<string>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False)), a).otherwise(F.concat(a, F.array(x))))
     out = d.select(
         F.concat_ws("#", "file", F.col("stmt_id").cast("string")).alias("node_id"),
         F.when(F.col("parent_id").isNotNull(), F.concat_ws("#", "file", F.col("parent_id").cast("string"))).alias("parent_id"),
@@ -60,19 +55,22 @@ def tokens_of(template: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(template, F.lit("<[A-Z_]+>"), F.lit(0)))
 
 
-def embed(template: Column, dims: int = DIMENSIONS) -> Column:
-    """Unit vector of hashed words and pairs of words; the fallback for a neural model."""
-    w = text.words(template)
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws("_", a, b))
-    bins = F.transform(F.concat(w, pairs), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+def embed(rows: DataFrame, template: str, vector: str = "vector", dims: int = DIMENSIONS) -> DataFrame:
+    """``rows`` with a unit vector of hashed words and pairs of words; the fallback for a
+    neural model. Each step is a column of its own, so that none is computed in another's
+    loop."""
+    rows = rows.withColumn("__w", text.words(F.col(template)))
+    pairs = F.zip_with("__w", F.slice("__w", F.lit(2), F.greatest(F.size("__w"), F.lit(1))), lambda a, b: F.concat_ws("_", a, b))
+    rows = rows.withColumn("__bins", F.transform(F.concat("__w", pairs), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")))
+    rows = rows.withColumn("__n", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("__bins", lambda b: b == i)).cast("double")))
+    rows = rows.withColumn("__norm", F.sqrt(F.aggregate("__n", F.lit(0.0), lambda s, x: s + x * x)))
+    unit = F.transform("__n", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(0.0).cast("float"))
+    return rows.withColumn(vector, unit).drop("__w", "__bins", "__n", "__norm")
 
 
 def write_index(docs: DataFrame, folder: str) -> None:
     """The index: Parquet by category, so that a category filter reads its folder only."""
-    docs.withColumn("vector", embed(F.col("template"))).write.partitionBy("category").parquet(folder)
+    embed(docs, "template").write.partitionBy("category").parquet(folder)
 
 
 class Retriever:
@@ -86,7 +84,7 @@ class Retriever:
         a raw statement: a vector top-k after the category filter, then the fused score
         of the features; alternates of the snippet (a string for an identifier) count
         with their best score."""
-        stmts = self.spark.createDataFrame(yang.statement_rows("query", snippet) or [("query", None, 0, None, 0, 0, None, snippet.strip() or "none", None, 1)], model.STATEMENT)
+        stmts = self.spark.createDataFrame(yang.statement_rows("query", snippet) or [("query", None, 0, None, 0, 0, None, snippet.strip() or "none", None, 1, [snippet.strip() or "none"])], model.STATEMENT)
         q = corpus(stmts).orderBy("line", "node_id").first()
         pool = self.docs
         want = category or q.category
@@ -104,7 +102,7 @@ class Retriever:
         return list(dict.fromkeys([template, other]))
 
     def _scored(self, pool: DataFrame, q, template: str, initial_k: int, weights: dict[str, float] | None) -> DataFrame:
-        vec = self.spark.range(1).select(embed(F.lit(template)).alias("v")).first().v
+        vec = embed(self.spark.range(1).select(F.lit(template).alias("t")), "t").first().vector
         sim = retrieval.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in vec]))
         few = pool.withColumn("structure", F.coalesce(sim, F.lit(0.0))).orderBy(F.desc("structure"), F.desc("node_id")).limit(initial_k)
         near = graph.neighbours(self.docs, few, ["node_id"], ["parent_id"])

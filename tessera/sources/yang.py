@@ -108,19 +108,19 @@ def parse(text: str) -> list[Statement]:
 
 
 def statement_rows(file: str, text: str) -> list[tuple]:
-    """STATEMENT rows in the order of the file."""
+    """STATEMENT rows in the order of the file; trail: the keywords from the top to it."""
     rows: list[tuple] = []
     top = parse(text)
     module = next((s.arg for s in top if s.keyword in ("module", "submodule")), None)
 
-    def walk(s: Statement, parent: int | None, ord_: int, depth: int) -> None:
-        me = len(rows)
-        rows.append((file, module, me, parent, ord_, depth, s.prefix, s.keyword, s.arg, s.line))
+    def walk(s: Statement, parent: int | None, ord_: int, trail: list[str]) -> None:
+        me, trail = len(rows), [*trail, s.keyword]
+        rows.append((file, module, me, parent, ord_, len(trail) - 1, s.prefix, s.keyword, s.arg, s.line, trail))
         for i, c in enumerate(s.children):
-            walk(c, me, i, depth + 1)
+            walk(c, me, i, trail)
 
     for i, s in enumerate(top):
-        walk(s, None, i, 0)
+        walk(s, None, i, [])
     return rows
 
 
@@ -197,7 +197,7 @@ def statements(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield _rows(model.STATEMENT, statement_rows(f, t or ""), [_S, _S, _I, _I, _I, _I, _S, _S, _S, _I])
+                yield _rows(model.STATEMENT, statement_rows(f, t or ""), [_S, _S, _I, _I, _I, _I, _S, _S, _S, _I, pa.list_(_S)])
 
     return files.select("file", "text").mapInArrow(run, model.STATEMENT)
 
