@@ -170,3 +170,19 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return pd.Series([contaminated(n, k) for n, k, _, _ in bench.scan([None if t is None else t for t in texts])], dtype=bool)
 
     return docs.where(~gone(F.col("text")))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH iw AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_SQL_WORDS} AS w FROM benchmark),
+ik AS (SELECT item, w, least(len(w), {WINDOW}) AS k FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM ik)),
+dw AS (SELECT row_number() OVER () AS rn, doc_id, {_SQL_WORDS} AS w FROM documents),
+dk AS (SELECT rn, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) ks WHERE len(w) >= k),
+hits AS (SELECT dk.rn, dk.i, dk.k, win.item FROM dk JOIN win ON win.k = dk.k AND win.win = array_to_string(dk.w[dk.i:dk.i + dk.k - 1], ' ')),
+pos AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT rn, i, k FROM hits)) GROUP BY rn),
+its AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM hits) GROUP BY rn)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN pos USING (rn) LEFT JOIN its USING (rn)
+"""

@@ -59,4 +59,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_decontamination, op5_toxicity, op6_token_counts, op7_warc, op8_token_store, op9_line_dedup, op10_bpe)}
 
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
