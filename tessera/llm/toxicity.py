@@ -22,6 +22,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that the lexicon is learned from, as expected number.
 MAX_TRAIN = 20_000
 MAX_TERMS = 2_000
+#: Terms that are looked at, and the log-likelihood beyond chance that one needs: that
+#: of one in a million terms and some more.
+MAX_CANDIDATES = 5_000
+LEAST_GAIN = math.log(1e6) + 3
 PREFIXES = (3, 4, 5, 6, 7)
 
 #: Letters of other scripts that look like Latin ones, and what is written for letters.
@@ -165,12 +170,69 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+BANDS = 4
+_SEEDS = np.random.default_rng(11).integers(1, 2**63, 2 * BANDS, np.uint64) | np.uint64(1)
+
+
+def _bands(text: str | None) -> list[int]:
+    """BANDS keys of two minhashes each over five-word shingles; near copies share one."""
+    w = (text or "").lower().split()
+    shingles = [" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    least = [int((h * s ^ (h >> np.uint64(29)) * s).min()) for s in _SEEDS]
+    return [xxhash.xxh64_intdigest(f"{b} {least[2 * b]} {least[2 * b + 1]}") >> 1 for b in range(BANDS)]
+
+
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """A group number for each row of keys; rows that share a key are in one group."""
+    label = np.arange(len(keys))
+    while True:
+        low = label.copy()
+        for b in range(keys.shape[1]):
+            _, place = np.unique(keys[:, b], return_inverse=True)
+            least = np.full(place.max(initial=0) + 1, len(keys))
+            np.minimum.at(least, place, low)
+            low = np.minimum(low, least[place])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _choose(rows: pd.DataFrame, able: list[tuple]) -> list[tuple[int, float]]:
+    """(term, weight), the most telling first. Near copies count as one text, so words
+    that a toxic text's many copies share tell no more than in one text. Of terms that
+    begin one another, the one that tells most; of equals, the longest."""
+    lists = [np.frombuffer(t, "<u2") for t in rows["terms"]]
+    terms = np.concatenate([*lists, np.empty(0, "<u2")]).astype(np.int64)
+    group = _groups(np.array([np.frombuffer(b, "<i8") for b in rows["bands"]]).reshape(-1, BANDS))
+    y = np.zeros(len(rows), bool)
+    np.logical_or.at(y, group, rows["y"].to_numpy() > 0)
+    heads = np.unique(group)
+    bad_all = int(y[heads].sum())
+    pairs = np.unique(terms * len(rows) + np.repeat(group, [len(x) for x in lists]))
+    term, of = pairs // max(len(rows), 1), pairs % max(len(rows), 1)
+    n, bad = np.bincount(term, minlength=len(able)), np.bincount(term[y[of]], minlength=len(able))
+    prior = bad_all / max(len(heads), 1)
+    if not 0 < prior < 1:
+        return []
+    out: list[tuple[int, float]] = []
+    gain = [_gain(int(b), int(k), prior) if b else 0.0 for b, k in zip(bad, n)]
+    for i in sorted(range(len(able)), key=lambda i: (-round(gain[i], 6), -len(able[i]), able[i])):
+        weight = math.log((bad[i] + 0.5) / (bad_all + 1)) - math.log((n[i] - bad[i] + 0.5) / (len(heads) - bad_all + 1))
+        if gain[i] < LEAST_GAIN or len(out) >= MAX_TERMS:
+            break
+        if weight >= math.log(8) and not any(able[i].startswith(able[k]) or able[k].startswith(able[i]) for k, _ in out):
+            out.append((i, weight))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None) -> Lexicon:
     """Lexicon from documents (doc_id, text) and bounded labels (doc_id, y).
 
     Terms are counted on the executors, by documents and merged in each task before the
     shuffle. A term is taken if its toxic share is beyond chance for as many terms as
-    were seen; of terms that begin one another, the one that tells most. A pair of words
+    were seen, with near copies of a text counted once. A pair of words
     around a term becomes an exception phrase if clean documents hold it and toxic ones
     do not. ``exceptions`` adds phrases."""
     spark = docs.sparkSession
@@ -198,15 +260,19 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     if not total[0] or not total[1]:
         return Lexicon(exceptions=_phrases(exceptions))
     prior = total[0] / sum(total)
-    least = math.log(1e6) + 3
-    found = [(_gain(r.bad, r.bad + r.good, prior), len(r.term), r.term, r.bad, r.good) for r in top if r.term]
-    kept: dict[str, float] = {}
-    for gain, _, term, bad, good in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
-        weight = math.log((bad + 0.5) / (total[0] + 1)) - math.log((good + 0.5) / (total[1] + 1))
-        if gain < least or weight < math.log(8) or len(kept) >= MAX_TERMS:
-            continue
-        if not any(term.startswith(k) or k.startswith(term) for k in kept):
-            kept[term] = weight
+    ranked = sorted(((_gain(r.bad, r.bad + r.good, prior), r.term) for r in top if r.term), key=lambda x: (-x[0], x[1]))
+    able = [t for g, t in ranked if g >= LEAST_GAIN][:MAX_CANDIDATES]
+    number = {t: i for i, t in enumerate(able)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document: its label, the numbers of its candidates, and its bands."""
+        for b in batches:
+            found = [np.array(sorted(number[t] for t in _terms_of(x.as_py()) & number.keys()), "<u2").tobytes() for x in b.column(0)]
+            bands = [np.array(_bands(x.as_py()), "<i8").tobytes() for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary()), pa.array(bands, pa.binary())], ["y", "terms", "bands"])
+
+    rows = own.mapInArrow(held, "y int, terms binary, bands binary").toPandas() if able else None  # at most the sample's rows
+    kept = {able[i]: w for i, w in _choose(rows, able)} if able else {}
     out = Lexicon(kept, _phrases(exceptions))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
