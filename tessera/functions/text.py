@@ -131,3 +131,46 @@ def mask(value: Column, plain: str = "<STRING>") -> Column:
         .when(F.trim(value).contains(" "), "<LIST>")
         .otherwise(plain)
     )
+
+
+def snippet_tokens(text: Column) -> Column:
+    """Tokens of a statement's text: quoted strings and a..b ranges stay whole."""
+    return F.regexp_extract_all(text, F.lit(r"\"[^\"]*\"|'[^']*'|[^\s{};\"']+\.\.[^\s{};\"']+|[^\s{};\"']+|[{};]"), F.lit(0))
+
+
+def strip_tag(text: Column) -> Column:
+    """Without a <tag> at the end."""
+    return F.regexp_replace(text, r"\s*<[^<>]*>\s*$", "")
+
+
+def split_values(text: Column, separator: Column) -> Column:
+    """Non-empty values by a declared separator (a name or the mark itself), else blanks."""
+    mark = F.coalesce(F.when(separator == "comma", ",").when(separator == "semicolon", ";").when(separator == "pipe", "|").when(separator == "space", " ").otherwise(separator), F.lit(" "))
+    parts = F.when(F.trim(mark) == "", F.split(text, r"\s+")).otherwise(F.split(text, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def expression_profile(expr: Column) -> Column:
+    """Which kinds of operators an expression uses, in a fixed order."""
+    kinds = {"and": r"\sand\s", "or": r"\sor\s", "not": r"not\s*\(", "equal": r"[^!<>]=", "unequal": "!=", "order": "[<>]", "function": r"[a-z-]+\(", "predicate": r"\[", "parent": r"\.\."}
+    return F.filter(F.array(*[F.when(expr.rlike(r), F.lit(k)) for k, r in kinds.items()]), lambda x: x.isNotNull())
+
+
+def pattern_profile(pattern: Column) -> Column:
+    """Which constructs a regular expression uses, in a fixed order."""
+    kinds = {"class": r"\[", "repeat": r"[*+?]|\{\d", "either": r"\|", "group": r"\(", "escape": r"\\[dwspDWSP]", "anchor": r"[\^$]", "any": r"(^|[^\\])\."}
+    return F.filter(F.array(*[F.when(pattern.rlike(r), F.lit(k)) for k, r in kinds.items()]), lambda x: x.isNotNull())
+
+
+def repair_skeleton(path: Column, parent: Column, keyword: Column) -> Column:
+    """A skeleton path that starts at module, ends in the keyword and has the parent
+    right before it; consecutive repeats count once."""
+    parts = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "module") & (s != keyword))
+    tail = F.when(parent.isNotNull() & (F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")) != parent) & (parent != "module"), F.array(parent)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(F.lit("module")), parts, tail, F.array(keyword)), "/")
+
+
+def keyword_window(tokens: Column, keywords: Column, size: int = 8) -> Column:
+    """At most ``size`` tokens from the one before the first known keyword on."""
+    at = F.aggregate(F.transform(tokens, lambda t: F.array_contains(keywords, t)), F.struct(F.lit(0).alias("i"), F.lit(0).alias("hit")), lambda s, x: F.struct((s["i"] + 1).alias("i"), F.when((s["hit"] == 0) & x, s["i"] + 1).otherwise(s["hit"]).alias("hit")), lambda s: s["hit"])
+    return F.slice(tokens, F.greatest(at - 1, F.lit(1)), F.lit(size))

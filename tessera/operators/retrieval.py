@@ -166,3 +166,23 @@ def cover_keywords(chosen: DataFrame, pool: DataFrame, key: str, order: list[str
 
 def path_score(a: Column, b: Column) -> Column:
     return path_shape(a, b)
+
+
+def backfill(chosen: DataFrame, pool: DataFrame, key: str, wanted: str, id_col: str, n: int = 20) -> DataFrame:
+    """``chosen`` and, where fewer than n of its rows have the wanted keyword, up to n
+    more of the pool's that have it and are not yet chosen, by id."""
+    if chosen.where(F.col(key) == wanted).limit(n).count() >= n:
+        return chosen
+    more = pool.where(F.col(key) == wanted).join(chosen.select(id_col), id_col, "left_anti").orderBy(id_col).limit(n)
+    return chosen.unionByName(more.select(*chosen.columns))
+
+
+def with_synthetic(top: DataFrame, entries: list[tuple[str, str]]) -> DataFrame:
+    """A top-k (rank, yang_keyword, display_text, ...) and, after it, an entry for each
+    (keyword, text) that it lacks, with ranks that go on and no score."""
+    have = {r.yang_keyword for r in top.select("yang_keyword").distinct().collect()}  # at most k
+    last = top.agg(F.max("rank")).first()[0] or 0
+    rows = [(last + i + 1, k, t) for i, (k, t) in enumerate(e for e in entries if e[0] not in have)]
+    if not rows:
+        return top
+    return top.unionByName(top.sparkSession.createDataFrame(rows, "rank int, yang_keyword string, display_text string"), allowMissingColumns=True)

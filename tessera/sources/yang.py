@@ -275,3 +275,74 @@ def prefixes(stmts: DataFrame) -> DataFrame:
 def includes(stmts: DataFrame) -> DataFrame:
     """(module, included): edges for the closure of a module's submodules."""
     return stmts.where("keyword = 'include'").select("module", F.col("arg").alias("included"))
+
+
+def outline(files: DataFrame) -> DataFrame:
+    """(file, kind, name, belongs_to) by patterns alone, without parsing: enough to find
+    modules and submodules among many files."""
+    body = F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", "")
+    grab = lambda p, i: F.nullif(F.regexp_extract(body, p, i), F.lit(""))
+    head = r"^\s*(module|submodule)\s+\"?([A-Za-z_][\w.-]*)"
+    return files.select("file", grab(head, 1).alias("kind"), grab(head, 2).alias("name"), grab(r"belongs-to\s+\"?([A-Za-z_][\w.-]*)", 1).alias("belongs_to"))
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """(file, keyword, arg) of what looks like a statement, by one pattern over each
+    file without its comments: a rough scan for files that need not be whole."""
+    body = F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", "")
+    found = F.regexp_extract_all(body, F.lit(r"([A-Za-z][\w:-]*)\s+(\"[^\"]*\"|[^\s{};\"]+)\s*[{;]"), F.lit(0))
+    rows = files.select("file", F.explode(found).alias("s"))
+    return rows.select("file", F.regexp_extract("s", r"^([A-Za-z][\w:-]*)", 1).alias("keyword"), F.regexp_replace(F.regexp_extract("s", r"^[^\s]+\s+(\"[^\"]*\"|[^\s{};\"]+)", 1), '"', "").alias("arg"))
+
+
+def resolve_prefixes(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with file) with ``<name>_module``: the module that the prefix of a name
+    stands for in its file; null without prefix or where it is unknown."""
+    p = known.select(F.col("file").alias("__f"), F.col("prefix").alias("__p"), F.col("module").alias(f"{name}_module"))
+    own = F.nullif(F.regexp_extract(name, "^([^:/]+):", 1), F.lit(""))
+    return rows.join(p, (F.col("file") == F.col("__f")) & (own == F.col("__p")), "left").drop("__f", "__p")
+
+
+def module_closure(stmts: DataFrame) -> DataFrame:
+    """(child, ancestor, depth): all files that a module includes, directly or not."""
+    from tessera.operators.graph import closure
+
+    return closure(includes(stmts), "module", "included")
+
+
+def diagnostics(stmts: DataFrame) -> DataFrame:
+    """(file, line, code, message) of references that name nothing: types, groupings,
+    bases and prefixes that no statement of the modules defines."""
+    builtin = ["binary", "bits", "boolean", "decimal64", "empty", "enumeration", "identityref", "instance-identifier", "int8", "int16", "int32", "int64", "leafref", "string", "uint8", "uint16", "uint32", "uint64", "union"]
+    local = F.regexp_replace("arg", "^[^:]*:", "")
+    out = None
+    for keyword, definition in (("type", "typedef"), ("uses", "grouping"), ("base", "identity")):
+        uses = stmts.where(F.col("keyword") == keyword).where(F.col("prefix").isNull()).select("file", "line", "arg", local.alias("name"))
+        uses = uses.where(~F.col("name").isin(builtin)) if keyword == "type" else uses
+        names = stmts.where(F.col("keyword") == definition).select(F.col("arg").alias("name")).distinct()
+        bad = uses.join(names, "name", "left_anti").select("file", "line", F.lit(f"{keyword}-not-found").alias("code"), F.concat(F.lit(f"{definition} "), "arg", F.lit(" is not defined")).alias("message"))
+        out = bad if out is None else out.unionByName(bad)
+    used = stmts.where(F.col("prefix").isNotNull()).select("file", "line", F.col("prefix").alias("p"))
+    bad = used.join(prefixes(stmts).select("file", F.col("prefix").alias("p")), ["file", "p"], "left_anti").select("file", "line", F.lit("prefix-not-found").alias("code"), F.concat(F.lit("prefix "), "p", F.lit(" is not declared")).alias("message"))
+    return out.unionByName(bad)
+
+
+def fingerprints(stmts: DataFrame) -> DataFrame:
+    """(file, stmt_id, keyword, fingerprint) of expressions and patterns."""
+    from tessera.functions.text import fingerprint
+
+    return stmts.where(F.col("keyword").isin("must", "when", "pattern", "path", "default")).select("file", "stmt_id", "keyword", fingerprint(F.col("arg")).alias("fingerprint"))
+
+
+def statement_graph(stmts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges): node_id, keyword, arg; source, target, type."""
+    key = lambda c: F.concat_ws("#", "file", F.col(c).cast("string"))
+    vertices = stmts.select(key("stmt_id").alias("node_id"), "keyword", "arg")
+    edges = stmts.where("parent_id is not null").select(key("parent_id").alias("source"), key("stmt_id").alias("target"), F.lit("parent-child").alias("type"))
+    return vertices, edges
+
+
+def uses_signature(rows: DataFrame) -> DataFrame:
+    """(grouping, n, signature) of nodes: groupings with one signature hold the same."""
+    inside = rows.where(F.col("rel_path").isNotNull())
+    return inside.groupBy("grouping").agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "keyword", "rel_path", F.coalesce("type_name", F.lit(""))))), "\n").cast("binary")).alias("signature"))
