@@ -32,6 +32,8 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that the lexicon is learned from, as expected number.
 MAX_TRAIN = 20_000
 MAX_TERMS = 2_000
+#: Terms that a task counts before it hands its counts on.
+HELD_TERMS = 200_000
 #: Terms that are looked at, and the log-likelihood beyond chance that one needs: that
 #: of one in a million terms and some more.
 MAX_CANDIDATES = 5_000
@@ -252,6 +254,9 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[1 if y else 0].update(_terms_of(t))
                 rows[1 if y else 0] += 1
+                if len(seen[0]) + len(seen[1]) > HELD_TERMS:
+                    yield counted(seen, rows)
+                    seen, rows = [Counter(), Counter()], [0, 0]
         yield counted(seen, rows)
 
     counts = own.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 2 or term = ''")
