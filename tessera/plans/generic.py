@@ -10,9 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import intervals, text
+from tessera.functions import conditions, intervals, text, types, xpath
+from tessera.functions.regex_inclusion import regex_change
 from tessera.operators import diff, graph, matching, report, retrieval, rules
+from tessera.plans import verify
 from tessera.sources.tables import table
+from tessera.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -566,3 +569,69 @@ def category_match(spark, d):
 def previous_token_context(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("previous"), F.first("role").over(w).alias("first"))
+
+
+# --- lattices and streams ----------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 <= p_size % 10 THEN 'relaxed' ELSE 'narrowed' END AS change FROM part")
+def condition_change(spark, d):
+    old = F.concat(F.lit("../size > "), (F.col("p_size") % 10).cast("string"))
+    new = F.concat(F.lit("../size >= "), (F.col("p_partkey") % 7).cast("string"))
+    return table(spark, d, "part").select("p_partkey", conditions.condition_change(old, new).alias("change"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 > p_size % 9 THEN 'relaxed' WHEN p_partkey % 9 < p_size % 9 THEN 'narrowed' ELSE 'equivalent' END AS change FROM part")
+def regex_inclusion(spark, d):
+    up_to = lambda c: F.concat(F.lit("[a-z]{1,"), (F.col(c) % 9 + 1).cast("string"), F.lit("}x?"))
+    return table(spark, d, "part").select("p_partkey", regex_change(up_to("p_size"), up_to("p_partkey")).alias("change"))
+
+
+@query(
+    """WITH t(i, low, high) AS (VALUES (0, -128::HUGEINT, 127::HUGEINT), (1, -32768, 32767), (2, -2147483648, 2147483647), (3, -9223372036854775808, 9223372036854775807), (4, 0, 255), (5, 0, 65535), (6, 0, 4294967295), (7, 0, 18446744073709551615))
+SELECT p_partkey, CASE WHEN o.i = n.i THEN 'equivalent' WHEN n.low <= o.low AND n.high >= o.high THEN 'relaxed' ELSE 'narrowed' END AS change FROM part JOIN t o ON p_size % 8 = o.i JOIN t n ON p_partkey % 8 = n.i"""
+)
+def type_value_space(spark, d):
+    names = F.array(*[F.lit('{"name": "%s"}' % n) for n in ("int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64")])
+    pick = lambda c: F.get(names, (F.col(c) % 8).cast("int"))
+    return table(spark, d, "part").select("p_partkey", types.type_change(pick("p_size"), pick("p_partkey")).alias("change"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'box/' || p_brand || '/x' WHEN 1 THEN 'box/y/z' WHEN 2 THEN NULL ELSE 'box/' || p_brand || '/node/low' END AS path FROM part"""
+)
+def xpath_resolve(spark, d):
+    context = F.concat(F.lit("box/"), F.col("p_brand"), F.lit("/node"))
+    path = F.when(F.col("p_partkey") % 4 == 0, "../p:x").when(F.col("p_partkey") % 4 == 1, "/p:y[id = '1']/p:z").when(F.col("p_partkey") % 4 == 2, "../../../q").otherwise("current()/low")
+    return table(spark, d, "part").select("p_partkey", xpath.resolve(context, path).alias("path"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 3) AS value FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    w = live.windowed_counts(table(spark, d, "events"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 3).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c IN ('relaxed') THEN CASE o_orderstatus WHEN 'O' THEN 'confirmed' ELSE 'conflict' END WHEN c = 'narrowed' THEN CASE o_orderstatus WHEN 'F' THEN 'confirmed' ELSE 'conflict' END ELSE 'unverified' END AS outcome FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'relaxed' WHEN 1 THEN 'narrowed' END AS c FROM orders)")
+def verification_outcome(spark, d):
+    change = F.when(F.col("o_orderkey") % 3 == 0, "relaxed").when(F.col("o_orderkey") % 3 == 1, "narrowed")
+    verdict = F.when(F.col("o_orderstatus") == "O", rules.BC).when(F.col("o_orderstatus") == "F", rules.NBC).otherwise(rules.UNMARKED)
+    rows = table(spark, d, "orders").select("o_orderkey", change.alias("change"), verdict.alias("verdict"))
+    return verify.verify(rows).select("o_orderkey", "outcome")
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(e, '\\sand\\s') THEN 'and' END, CASE WHEN regexp_matches(e, '\\sor\\s') THEN 'or' END, CASE WHEN regexp_matches(e, '[^!<>]=') THEN 'equal' END, CASE WHEN regexp_matches(e, '[<>]') THEN 'order' END], lambda x: x IS NOT NULL), ',') AS profile
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a = ' || p_size || ' and b' WHEN 1 THEN 'a > ' || p_size || ' or c' WHEN 2 THEN 'a' ELSE 'a = 1 or b < 2' END AS e FROM part)"""
+)
+def expression_profile(spark, d):
+    size = F.col("p_size").cast("string")
+    e = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("a = "), size, F.lit(" and b"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("a > "), size, F.lit(" or c"))).when(F.col("p_partkey") % 4 == 2, "a").otherwise("a = 1 or b < 2")
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.expression_profile(e), ",").alias("profile"))
+
+
+@query("SELECT c_mktsegment AS home, count(*) AS n, sum(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END)::BIGINT AS without FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def enrich_left_join(spark, d):
+    """The shape of joining report rows to expansions: all rows stay."""
+    c, o = table(spark, d, "customer").select("c_custkey", "c_mktsegment"), table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(F.col("c_mktsegment").alias("home")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey").isNull()).alias("without"))

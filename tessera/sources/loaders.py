@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 KINDS = {"xml": "xml", "txt": "text", "md": "text", "py": "code", "java": "code", "c": "code", "yang": "code", "json": "text", "pdf": "pdf", "docx": "docx"}
 
 
@@ -31,6 +33,7 @@ def xml_text(text: str) -> str:
 
 def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     """path, kind, length, content (null for kinds whose library is not installed)."""
+    ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), ext), F.lit("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions.text import strip_prefixes
+from tessera.session import ship
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<note>//[^\n]*|/\*.*?\*/)|(?P<double>"(?:\\.|[^"\\])*")|(?P<single>'[^']*')|(?P<mark>[{};])|(?P<plus>\+(?=\s*["']))|(?P<word>(?:[^\s{};"'/]|/(?![/*]))+)|(?P<odd>.)""",
@@ -193,6 +194,7 @@ _S, _I = pa.string(), pa.int32()
 
 def statements(files: DataFrame) -> DataFrame:
     """STATEMENT rows of (file, text) rows; null texts have none."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,6 +206,7 @@ def statements(files: DataFrame) -> DataFrame:
 
 def nodes(files: DataFrame) -> DataFrame:
     """NODE rows with ``props``, an array of (kind, field, pos, value)."""
+    ship(files.sparkSession)
     kind = pa.list_(pa.struct([("kind", _S), ("field", _S), ("pos", _I), ("value", _S)]))
     schema = f"{model.NODE}, props array<struct<kind:string,field:string,pos:int,value:string>>"
 
