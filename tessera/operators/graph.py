@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 MAX_DEPTH = 32
 
 
@@ -31,11 +33,11 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int = MAX_DEPT
     frontier until none is new; cycles end as no pair is taken twice."""
     base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct()
     step = base.select(F.col("child").alias("c"), F.col("ancestor").alias("a"))
-    done = base.withColumn("depth", F.lit(1)).checkpoint(True)
+    done = cut(base.withColumn("depth", F.lit(1)))
     front = done
     for depth in range(2, max_depth + 1):
-        front = front.join(step, front.ancestor == step.c).select(front.child, step.a.alias("ancestor")).distinct().join(done.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint(True)
+        front = cut(front.join(step, front.ancestor == step.c).select(front.child, step.a.alias("ancestor")).distinct().join(done.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             break
-        done = done.unionByName(front).checkpoint(True)
+        done = cut(done.unionByName(front))
     return done

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard
+from tessera.session import cut
 
 MAX_ROUNDS = 100
 
@@ -37,14 +38,12 @@ def set_similarity(a: Column, b: Column) -> Column:
     return jaccard(a, b)
 
 
-def greedy_assign(pairs: DataFrame, left: str, right: str, score: str, cut=None) -> DataFrame:
+def greedy_assign(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """The pairs that greedy choice by (score descending, left, right) takes: each id once.
 
     Under that strict order the choice is the fixpoint of taking pairs that are the best
     for both their sides. Each round is two aggregates and two anti joins, so no group
-    is collected in one task. Ids are distinct values of their side. ``cut`` cuts the
-    lineage between rounds (checkpoint by default)."""
-    cut = cut or (lambda df: df.checkpoint(True))
+    is collected in one task. Ids are distinct values of their side."""
     rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
     rest, taken = cut(pairs.withColumn("__rank", rank)), None
     for _ in range(MAX_ROUNDS):

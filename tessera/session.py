@@ -7,7 +7,7 @@ import tempfile
 import threading
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCK = threading.Lock()
@@ -33,3 +33,23 @@ def ship(spark: SparkSession | None = None) -> None:
                         z.write(full, os.path.relpath(full, root))
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, as a full URI:
+    ``spark.checkpoint.dir``. Only where the cluster names none (tests on one machine) is
+    a local one set. Checkpoints work from then on."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(path)
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(True)

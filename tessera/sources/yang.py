@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions.text import strip_prefixes
-from tessera.session import ship
+from tessera.session import cut, ship
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<note>//[^\n]*|/\*.*?\*/)|(?P<double>"(?:\\.|[^"\\])*")|(?P<single>'[^']*')|(?P<mark>[{};])|(?P<plus>\+(?=\s*["']))|(?P<word>(?:[^\s{};"'/]|/(?![/*]))+)|(?P<odd>.)""",
@@ -234,10 +234,10 @@ def expand_uses(rows: DataFrame) -> DataFrame:
     out = rows
     front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(F.regexp_replace("path", "/[^/]*$", "").alias("at"), local("uses").alias("want"))
     for _ in range(MAX_DEPTH):
-        made = front.join(inside, F.col("want") == F.col("g")).select(
+        made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
             F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_props").alias("props"),
-        ).checkpoint(True)
+        ))
         if not made.limit(1).count():
             break
         out = out.unionByName(made)
