@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import threading
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-_LOCK = threading.Lock()
+from tessera.session import cut, shared_folder, ship
+from tessera.sources.tables import table
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that their Python
-    workers can import it whatever their working folder is."""
-    sc = spark.sparkContext
-    with _LOCK:
-        if sc.applicationId in _SHIPPED:
-            return
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = os.path.join(tempfile.mkdtemp(), "tessera_package.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "tessera")):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(path)
-        _SHIPPED.add(sc.applicationId)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-    Only where the cluster names none (tests on one machine) is a local one set."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["cut", "filesystem", "fold_of", "sampled_labels", "shared_folder", "ship", "table", "work_folder"]
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -51,16 +18,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def fold_of(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k. A null id is in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)
