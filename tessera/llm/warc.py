@@ -212,8 +212,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     bundles = spark.read.parquet(f"{folder}/index").groupBy("bundle").agg(F.sum("length").alias("size"))
-    n = max(1, min(bundles.count(), 10_000))  # the names are small, the bundles are not
-    return bundles.select("bundle").repartition(n, "bundle").mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    # the names are small, the bundles are not: dealt by number and by a key of its own,
+    # as Spark would drop a second exchange by name and then merge its few bytes
+    n = max(1, min(bundles.count(), 10_000))
+    return bundles.select("bundle").repartition(n, F.xxhash64("bundle")).mapInPandas(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
 
 def lookup(index: DataFrame, folder: str, record_id: str) -> list[tuple[dict[str, str], bytes]]:
