@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from tessera.llm._common import cut, ship
 
 MAX_ROUNDS = 64
+#: Rows from which a fingerprint is hot, and how many hot ones (16 bytes each) are sent to
+#: all tasks; beyond, all rows meet their components in one join that Spark can split.
+HOT, BROADCAST_HOT = 1_000, 100_000
 
 
 def shingle_hashes(text: str | None, k: int = 3) -> np.ndarray:
@@ -126,13 +129,21 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows. Other columns are ignored, whatever their names.
     """
     rows = cut(fingerprints(docs, id_col, text_col, k))
-    nodes = cut(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = cut(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     edges = cut(links(nodes.select(F.col("fp").alias("node"), "fp"), max_distance))
     label = components(edges)
     best = label.join(nodes, label.node == nodes.fp).groupBy("label").agg(F.min("rep").alias("least"))
     named = label.join(best, "label").select(F.col("node").alias("fp"), "least")
-    known = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(known, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"))
+    hot = known.where(F.col("n") >= HOT).drop("n")
+    if hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+        # the many rows of a hot fingerprint meet its component where they are
+        met = rows.join(F.broadcast(hot), "fp")
+        rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(known.where(F.col("n") < HOT).drop("n"), "fp", "left")
+        out = met.unionByName(rest)
+    else:
+        out = rows.join(known.drop("n"), "fp", "left")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, max_distance: int = 3) -> DataFrame:

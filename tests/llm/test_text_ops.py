@@ -48,7 +48,10 @@ def slow_components(ids, fps):
     return [least.get(root(i)) for i in range(len(ids))]
 
 
-def test_fingerprints_and_components(spark, data):
+@pytest.mark.parametrize("hot, sent", [(1000, 100_000), (2, 100_000), (2, 0)])
+def test_fingerprints_and_components(spark, monkeypatch, hot, sent):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BROADCAST_HOT", sent)
     rng = random.Random(5)
     base = [" ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(60)) for _ in range(12)]
     rows = list(TEXTS)
