@@ -64,13 +64,20 @@ def path_shape(a: Column, b: Column) -> Column:
 
 def words(text: Column, least: int = 1) -> Column:
     """Lower-case runs of letters of a-z, digits and underscores, of at least that length."""
-    return F.filter(F.split(F.lower(text), "[^0-9a-z_]+"), lambda t: F.length(t) >= least)
+    parts = F.array_remove(F.split(F.lower(text), "[^0-9a-z_]+"), "")
+    return parts if least <= 1 else F.filter(parts, lambda t: F.length(t) >= least)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it: projections that
+    are merged would compute it for each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def jaccard(a: Column, b: Column, empty: float = 100.0, scale: float = 100.0) -> Column:
     """Jaccard index of two arrays as sets; ``empty`` where both are."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(empty)).otherwise(F.lit(scale) * F.size(F.array_intersect(a, b)) / union)
+    sizes = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(F.size(F.array_union(s["a"], s["b"])).alias("u"), F.size(F.array_intersect(s["a"], s["b"])).alias("i")))
+    return let(sizes, lambda s: F.when(s["u"] == 0, F.lit(empty)).otherwise(F.lit(scale) * s["i"] / s["u"]))
 
 
 def identifier_form(name: Column) -> Column:

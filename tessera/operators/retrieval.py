@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, path_shape, words
+from tessera.functions.text import jaccard, let, words
 
 # The weights of the features of a candidate.
 WEIGHTS = {
@@ -47,10 +47,6 @@ def ranked(few: DataFrame, order: list[Column], partition: list[str] | None = No
     return few.select(F.row_number().over(w).alias("rank"), "*")
 
 
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents that hold a query term, by BM25 with the idf
     ln(1 + (N - df + 0.5) / (df + 0.5)).
@@ -59,8 +55,8 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str, k1: floa
     counts, with no shuffle of postings."""
     terms = sorted(set(query))
     toks = words(F.col(text_col))
-    counts = [F.size(F.filter(F.col("t"), _equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)]
-    tf = docs.select(id_col, F.filter(toks, lambda x: x != "").alias("t")).select(id_col, F.size("t").alias("len"), *counts)
+    counted = let(toks, lambda t: F.struct(F.size(t).alias("len"), *[(F.size(t) - F.size(F.array_remove(t, q))).alias(f"tf{i}") for i, q in enumerate(terms)]))
+    tf = docs.select(id_col, counted.alias("c")).select(id_col, "c.*")
     total = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     mean = total.avg or 1.0
     score = F.lit(0.0)
@@ -164,10 +160,6 @@ def cover_keywords(chosen: DataFrame, pool: DataFrame, key: str, order: list[str
     return chosen.unionByName(cap_per_key(lacking, key, order, n).drop("rank"))
 
 
-def path_score(a: Column, b: Column) -> Column:
-    return path_shape(a, b)
-
-
 def backfill(chosen: DataFrame, pool: DataFrame, key: str, wanted: str, id_col: str, n: int = 20) -> DataFrame:
     """``chosen`` and, where fewer than n of its rows have the wanted keyword, up to n
     more of the pool's that have it and are not yet chosen, by id."""
