@@ -13,16 +13,17 @@ MAX_ROUNDS = 100
 
 def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str) -> DataFrame:
     """Pairs of a deleted (o_*) and an added row (n_*) of one kind: where rows of the same
-    name exist, only those; otherwise all of the kind that a block column allows.
-
-    Both sides must have a column ``block``: without a same-named partner, only rows that
-    share a block meet. It bounds the pairs (a name's first letters, its sorted words);
-    use a constant only where a kind is known to be small."""
+    name exist, only those; otherwise all of the kind. Where both sides have a column
+    ``block``, others meet inside a block alone, which loses the rest."""
     o = deleted.select(*[F.col(c).alias(f"o_{c}") for c in deleted.columns])
     n = added.select(*[F.col(c).alias(f"n_{c}") for c in added.columns])
     named = o.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col(f"o_{name}") == F.col(f"n_{name}")))
     lone = o.join(added.select(F.col(kind).alias("k"), F.col(name).alias("m")).distinct(), (F.col(f"o_{kind}") == F.col("k")) & (F.col(f"o_{name}") == F.col("m")), "left_anti")
-    other = lone.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col("o_block") == F.col("n_block")))
+    same_kind = F.col(f"o_{kind}") == F.col(f"n_{kind}")
+    if "block" in deleted.columns and "block" in added.columns:
+        other = lone.join(n, same_kind & (F.col("o_block") == F.col("n_block")))
+    else:
+        other = lone.join(n, same_kind)
     return named.withColumn("same_name", F.lit(True)).unionByName(other.withColumn("same_name", F.lit(False)))
 
 

@@ -260,7 +260,8 @@ def rename_scores(spark, d):
 
 @query()
 def greedy_assignment(spark, d):
-    pairs = matching.candidates(*_rename_sides(spark, d), "kind", "name")
+    old, new = _rename_sides(spark, d)
+    pairs = matching.candidates(old.drop("block"), new.drop("block"), "kind", "name")
     score = F.when(F.col("same_name"), F.lit(100.0)).otherwise(60.0 - F.abs(F.col("o_id") - F.col("n_id")) % 17)
     return matching.greedy_assign(pairs.select("o_id", "n_id", score.alias("score")), "o_id", "n_id", "score")
 
