@@ -11,22 +11,50 @@ from tessera.session import cut
 MAX_ROUNDS = 100
 
 
-def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str) -> DataFrame:
+def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items: str | None = None, least: float = 0.0) -> DataFrame:
     """Pairs of a deleted (o_*) and an added row (n_*) of one kind: where rows of the same
-    name exist, only those; otherwise all of the kind. Where both sides have a column
-    ``block``, others meet inside a block alone, which loses the rest."""
+    name exist, only those; otherwise all of the kind.
+
+    With ``items``, an array column, of these others only (and all) pairs whose items
+    have a Jaccard index of at least ``least``; two empty arrays are alike. It bounds the
+    pairs where the score needs shared items. Where both sides have a column ``block``,
+    others meet inside a block alone, which loses the rest."""
     o = deleted.select(*[F.col(c).alias(f"o_{c}") for c in deleted.columns])
     n = added.select(*[F.col(c).alias(f"n_{c}") for c in added.columns])
     named = o.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col(f"o_{name}") == F.col(f"n_{name}")))
     lone = o.join(added.select(F.col(kind).alias("k"), F.col(name).alias("m")).distinct(), (F.col(f"o_{kind}") == F.col("k")) & (F.col(f"o_{name}") == F.col("m")), "left_anti")
     same_kind = F.col(f"o_{kind}") == F.col(f"n_{kind}")
-    if "block" in deleted.columns and "block" in added.columns:
+    if items is not None and least > 0:
+        other = _similar(lone, n, kind, items, least)
+    elif "block" in deleted.columns and "block" in added.columns:
         other = lone.join(n, same_kind & (F.col("o_block") == F.col("n_block")))
     else:
         other = lone.join(n, same_kind)
     return named.withColumn("same_name", F.lit(True)).unionByName(other.withColumn("same_name", F.lit(False)))
 
 
+def _similar(o: DataFrame, n: DataFrame, kind: str, items: str, least: float) -> DataFrame:
+    """All pairs of one kind whose items have a Jaccard index of at least ``least`` > 0.
+
+    Two such sets share an item among the rarest ``size - ceil(least * size) + 1`` of
+    each, so distinct sets meet on these by equality; rows then meet on their sets."""
+    sets = lambda df, s: df.select(F.col(f"{s}_{kind}").alias("k"), F.array_sort(F.array_distinct(f"{s}_{items}")).alias("set")).where("set is not null").distinct()
+    every = sets(o, "o").union(sets(n, "n")).distinct()
+    # "0" stands for the empty set, "1" leads an item
+    keys = F.when(F.size("set") == 0, F.array(F.lit("0"))).otherwise(F.transform("set", lambda x: F.concat(F.lit("1"), x)))
+    each = every.select("k", "set", F.explode(keys).alias("key"))
+    often = each.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"))
+    order = each.join(often, ["k", "key"]).groupBy("k", "set").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
+    size = F.size("order")
+    first = cut(order.select("k", "set", F.explode(F.slice("order", F.lit(1), F.least(size, size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1))).alias("x")).select("k", "set", F.col("x.key").alias("key")))
+    a = first.join(sets(o, "o"), ["k", "set"], "left_semi").select("k", "key", F.col("set").alias("o_set"))
+    b = first.join(sets(n, "n"), ["k", "set"], "left_semi").select("k", "key", F.col("set").alias("n_set"))
+    alike = a.join(b, ["k", "key"]).select("k", "o_set", "n_set").distinct().where(jaccard(F.col("o_set"), F.col("n_set"), 1.0, 1.0) >= least - 1e-9)
+    of = lambda df, s: df.withColumn(f"{s}_set", F.array_sort(F.array_distinct(f"{s}_{items}")))
+    left, right = of(o, "o").withColumn("k", F.col(f"o_{kind}")), of(n, "n").withColumn("k", F.col(f"n_{kind}"))
+    return left.join(alike, ["k", "o_set"]).join(right, ["k", "n_set"]).select(*o.columns, *n.columns)
+
+
 def pair_score(same_name: Column, attributes: Column, constraints: Column, path: Column, name: Column) -> Column:
     """Weighted similarity (0 to 100) of a candidate pair, by whether the names agree."""
     # The weights of a same-named and of any other pair.
@@ -35,6 +63,13 @@ def pair_score(same_name: Column, attributes: Column, constraints: Column, path:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(same_name, named).otherwise(other)))
 
 
+def least_attributes(threshold: float) -> float:
+    """The Jaccard index (0 to 1) that attributes (and constraints, if these are the same
+    items) of a pair with other names need for ``pair_score`` to reach ``threshold``
+    when name and path are equal."""
+    return (threshold - 15.0 - 5.0) / 80.0
+
+
 def set_similarity(a: Column, b: Column) -> Column:
     return jaccard(a, b)
 

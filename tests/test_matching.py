@@ -20,3 +20,31 @@ def test_greedy_assignment_sees_all_of_a_kind(spark, data):
     named = {(kind, name) for _, kind, name in new}
     pairs = [(o[0], n[0], 100.0 if o[2] == n[2] else 60.0 - abs(o[0] - n[0]) % 17) for o in old for n in new if o[1] == n[1] and (o[2] == n[2] or o[1:] not in named)]
     assert sorted(map(tuple, generic.greedy_assignment(spark, data).collect())) == chosen(pairs)
+
+
+def test_similar_items_find_every_pair(spark):
+    from tessera.operators import matching
+
+    rng = random.Random(7)
+    side = lambda at: [(at + i, rng.choice("xy"), f"{at}-{i}", [rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))]) for i in range(60)]
+    old, new = side(0), side(100)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, kind string, name string, items array<string>")
+    for least in (0.35, 0.5, 1.0, 0.0):
+        alike = lambda a, b: len(set(a) & set(b)) >= least * len(set(a) | set(b)) - 1e-9  # noqa: E731, B023
+        got = matching.candidates(frame(old), frame(new), "kind", "name", "items", least).select("o_id", "n_id").collect()
+        assert sorted(map(tuple, got)) == sorted((o[0], n[0]) for o in old for n in new if o[1] == n[1] and alike(o[3], n[3]))
+
+
+def test_nodes_renamed_and_moved_are_found(spark, tmp_path):
+    from tessera.plans import schema_diff
+
+    def nodes(name, body):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.yang").write_text(f'module m {{ namespace "urn:m"; prefix m; {body} }}')
+        return schema_diff.load_nodes(spark, str(tmp_path / name))
+
+    foo = 'type string {{ length "1..9"; }} default "k"; units "m"; description "{}";'
+    old = nodes("old", f"container a {{ container x {{ leaf foo {{ {foo.format('the foo')} }} }} }} container c {{ leaf size {{ {foo.format('the size')} mandatory true; }} }}")
+    new = nodes("new", f"container a {{ container y {{ leaf bar {{ {foo.format('the foo')} }} }} }} container d {{ leaf extent {{ {foo.format('the size')} mandatory true; }} }}")
+    moves = {(r.old_path, r.keyword): r.new_path for r in schema_diff.match_moves(old, new).collect()}
+    assert moves["a/x/foo", "leaf"] == "a/y/bar" and moves["c/size", "leaf"] == "d/extent"
