@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard
 from tessera.session import cut
 
-MAX_ROUNDS = 100
+#: Rounds of the greedy choice after which the pairs taken so far are written anew.
+CUT_ROUNDS = 16
 
 
 def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items: str | None = None, least: float = 0.0) -> DataFrame:
@@ -78,23 +79,49 @@ def greedy_assign(pairs: DataFrame, left: str, right: str, score: str) -> DataFr
     """The pairs that greedy choice by (score descending, left, right) takes: each id once.
 
     Under that strict order the choice is the fixpoint of taking pairs that are the best
-    for both their sides. Each round is two aggregates and two anti joins, so no group
-    is collected in one task. Ids are distinct values of their side."""
+    for both their sides, and of classes of ties: where lefts all have the same rights
+    as their best and these have just the lefts, the i-th left gets the i-th right in
+    one round. Each round is aggregates and joins, so no group of pairs is collected in
+    one task. Ids are distinct values of their side; pairs without one are left out."""
     rank = F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r"))
-    rest, taken = cut(pairs.withColumn("__rank", rank)), None
-    for _ in range(MAX_ROUNDS):
-        if not rest.limit(1).count():
-            break
-        by_left = rest.groupBy(left).agg(F.min("__rank").alias("bl"))
-        by_right = rest.groupBy(right).agg(F.min("__rank").alias("br"))
-        best = cut(rest.join(by_left, left).join(by_right, right).where((F.col("__rank") == F.col("bl")) & (F.col("__rank") == F.col("br"))).select(*pairs.columns))
-        taken = best if taken is None else taken.unionByName(best)
+    rest, taken, n = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("__rank", rank)), None, 0
+    while rest.limit(1).count():
+        by_left = rest.groupBy(left).agg(F.min("__rank").alias("__bl"))
+        by_right = rest.groupBy(right).agg(F.min("__rank").alias("__br"))
+        ranked = cut(rest.join(by_left, left).join(by_right, right))
+        dealt = _tied(ranked.select(F.col(left).alias("l"), F.col(right).alias("r"), "__rank", "__bl", "__br"))
+        both = ranked.join(dealt.select(F.col("l").alias(left), F.col("r").alias(right), F.lit(True).alias("__dealt")), [left, right], "left")
+        mutual = (F.col("__rank") == F.col("__bl")) & (F.col("__rank") == F.col("__br"))
+        top = F.col("__rank.s").eqNullSafe(F.col("__bl.s"))
+        best = cut(both.where(mutual | (F.col("__dealt") & top)).select(*pairs.columns))
+        taken, n = best if taken is None else taken.unionByName(best), n + 1
+        if n % CUT_ROUNDS == 0:
+            taken = cut(taken)
         rest = cut(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
-    else:
-        raise RuntimeError(f"the choice did not end in {MAX_ROUNDS} rounds")
     return pairs.limit(0) if taken is None else taken
 
 
+def _tied(ranked: DataFrame) -> DataFrame:
+    """(l, r) of the classes of ties among pairs l, r, __rank, with the best ranks __bl
+    and __br of both sides. A class is named by its score, least left and least right;
+    counts then prove that it has all pairs of its lefts and rights, and that neither
+    have another best partner."""
+    s, l_top, r_top = F.col("__rank.s"), F.col("__bl.s"), F.col("__br.s")
+    own = ranked.where(s.eqNullSafe(l_top)).groupBy("l").agg(F.count(F.lit(1)).alias("nl"))
+    others = ranked.where(s.eqNullSafe(r_top)).groupBy("r").agg(F.count(F.lit(1)).alias("nr"))
+    key = ["cs", "ca", "cb"]
+    met = ranked.where(s.eqNullSafe(l_top) & s.eqNullSafe(r_top)).select("l", "r", s.alias("cs"), F.col("__br.l").alias("ca"), F.col("__bl.r").alias("cb")).join(own, "l").join(others, "r")
+
+    def side(i: str, n: str) -> tuple[DataFrame, DataFrame]:
+        ids = met.groupBy(*key, i).agg(F.count(F.lit(1)).alias("e"), F.max(n).alias("all"))
+        return ids, ids.groupBy(*key).agg(F.count(F.lit(1)).alias(f"ids_{i}"), F.min("e").alias(f"e_{i}"), F.max("all").alias(f"all_{i}"))
+
+    (ls, l_sum), (rs, r_sum) = side("l", "nl"), side("r", "nr")
+    whole = l_sum.join(r_sum, key).where("e_l = all_l and e_r = all_r and e_l = ids_r and e_r = ids_l").select(*key)
+    at = lambda ids, i: ids.join(whole, key, "left_semi").select(*key, i, F.row_number().over(Window.partitionBy(*key).orderBy(i)).alias("at"))
+    return at(ls, "l").join(at(rs, "r"), [*key, "at"]).select("l", "r")
+
+
 def child_pairs(parents: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
     """(old_path, new_path) of nodes below a paired parent with the same suffix: each
     deleted node takes its nearest paired ancestor. Ancestors are listed and joined by

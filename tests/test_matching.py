@@ -48,3 +48,17 @@ def test_nodes_renamed_and_moved_are_found(spark, tmp_path):
     new = nodes("new", f"container a {{ container y {{ leaf bar {{ {foo.format('the foo')} }} }} }} container d {{ leaf extent {{ {foo.format('the size')} mandatory true; }} }}")
     moves = {(r.old_path, r.keyword): r.new_path for r in schema_diff.match_moves(old, new).collect()}
     assert moves["a/x/foo", "leaf"] == "a/y/bar" and moves["c/size", "leaf"] == "d/extent"
+
+
+def test_greedy_choice_among_ties(spark):
+    from tessera.operators import matching
+
+    def same(pairs):
+        got = matching.greedy_assign(spark.createDataFrame(pairs, "a long, b long, score double"), "a", "b", "score")
+        assert sorted(map(tuple, got.collect())) == chosen(pairs)
+
+    same([(i, j, 80.0) for i in range(150) for j in range(130)])
+    # two classes of one score, a class below them that they rob, and a bridge
+    same([(i, j, 50.0) for i in range(9) for j in range(7)] + [(i, j, 50.0) for i in range(20, 25) for j in range(30, 39)] + [(i, j, 40.0) for i in range(20, 30) for j in range(5, 39)] + [(8, 30, 50.0)])
+    rng = random.Random(2)
+    same([(i, j, float(rng.randint(0, 2))) for i in range(14) for j in range(16) if rng.random() < 0.7])
