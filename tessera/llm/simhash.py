@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import cut, ship
 
-MAX_ROUNDS = 64
 #: Rows from which a fingerprint is hot, and how many hot ones (16 bytes each) are sent to
 #: all tasks; beyond, all rows meet their components in one join that Spark can split.
 HOT, BROADCAST_HOT = 1_000, 100_000
@@ -104,20 +103,26 @@ def links(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches.
-    Labels fall to the least label of the neighbours and then jump to their label's
-    label, until none changes; nothing but a count comes to the driver."""
+    Labels fall to the least label's label of the neighbours; what a node learns its old
+    label learns, too, so that whole trees are hooked and rounds grow with the logarithm
+    of the longest path. It ends when none changes; nothing but a count comes to the
+    driver."""
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
     label = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = label.join(near, label.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        up = label.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        step = step.join(up, F.col("low") == F.col("up")).select("node", "old", F.least("low", "up_label").alias("label"))
-        step = cut(step)
+    while True:
+        # only labels that have a lower one; where these are few, a hot label's nodes stay where they are
+        held = label.select(F.col("label").alias("held")).distinct()
+        up = label.where("node <> label").join(held, F.col("node") == F.col("held"), "left_semi").select(F.col("node").alias("up"), F.col("label").alias("jump"))
+        if up.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+            up = F.broadcast(up)
+        label = label.join(up, F.col("label") == F.col("up"), "left").select("node", "label", F.coalesce("jump", "label").alias("jump"))
+        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("jump").alias("near"))
+        step = cut(label.join(near, label.node == near.u).select("node", F.col("label").alias("old"), F.least("jump", "near").alias("low")))
+        hook = step.groupBy("old").agg(F.min("low").alias("hook")).select(F.col("old").alias("root"), "hook")
+        step = cut(step.join(hook, F.col("node") == F.col("root"), "left").select("node", "old", F.least("low", "hook").alias("label")))
         label = step.select("node", "label")
         if not step.where("old <> label").limit(1).count():
             return label
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_distance: int = 3) -> DataFrame:
