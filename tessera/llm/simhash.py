@@ -130,11 +130,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have no words and the fingerprint zero, linked like any other.
     Repeated rows and repeated ids each keep their row; a row with a null id gets the
-    component of its fingerprint (null if no row with an id is in it). An empty table
-    gives no rows. Other columns are ignored, whatever their names.
+    component of its fingerprint and links others like any row (null if no row of the
+    component has an id). An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = cut(fingerprints(docs, id_col, text_col, k))
-    nodes = cut(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     edges = cut(links(nodes.select(F.col("fp").alias("node"), "fp"), max_distance))
     label = components(edges)
     best = label.join(nodes, label.node == nodes.fp).groupBy("label").agg(F.min("rep").alias("least"))
@@ -154,12 +154,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, max_distance: int = 3) -> DataFrame:
     """The documents that stay: of each component the one with the smallest id; of rows
     that repeat this id, one. Rows with a null id stay, one for each text, where no row
-    of their fingerprint has an id, and go otherwise. Same columns as ``docs``."""
+    of their component has an id, and go otherwise. Same columns as ``docs``."""
     found = cut(simhash_components(docs, max_distance=max_distance))
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
     out = docs.join(keep.distinct(), F.col("doc_id") == F.col("__keep"), "left_semi")
     if keep.groupBy("__keep").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
-    if found.where("doc_id is null and component_id is null").limit(1).count():
-        out = out.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    lost = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    if lost.limit(1).count():
+        alone = docs.where("doc_id is null").dropDuplicates(["text"])
+        texts = _text_fingerprints(alone.select("text")).join(lost, "fingerprint", "left_semi").select(F.col("text").alias("__text"))
+        out = out.unionByName(alone.join(texts, F.col("text").eqNullSafe(F.col("__text")), "left_semi"))
     return out
+
+
+def _text_fingerprints(texts: DataFrame) -> DataFrame:
+    """(text, fingerprint as 16 hex digits) of each row."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{fingerprint(t.as_py()):016x}" for t in b.column(0)])], ["text", "fingerprint"])
+
+    return texts.mapInArrow(run, "text string, fingerprint string")

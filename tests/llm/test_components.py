@@ -9,3 +9,19 @@ def test_long_chain_in_random_order_is_one_component(spark):
     edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2001, 2000)], "a long, b long")
     got = dict(map(tuple, simhash.components(edges).collect()))
     assert got == {**{i: 0 for i in range(1000)}, 2000: 2000, 2001: 2000}
+
+
+def test_rows_without_id_are_nodes(spark, monkeypatch):
+    # the text is its fingerprint: 0 and 63 meet by way of 7 alone, far ones stand apart
+    far, near = str(0xFFFF << 20), str(0xFFFF << 20 | 1)
+    docs = spark.createDataFrame([(1, "0"), (2, "63"), (None, "7"), (None, far), (None, near), (None, near), (5, str(0xFFFF << 40)), (None, str(0xFFFF << 40 | 3))], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.select("doc_id", docs.text.cast("long").alias("fp")))
+    monkeypatch.setattr(simhash, "_text_fingerprints", lambda texts: texts.selectExpr("text", "lower(lpad(hex(cast(text as bigint)), 16, '0')) as fingerprint"), raising=False)
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert got[1, 0] == got[2, 63] == got[None, 7] == 1 and got[None, int(far)] is None and got[None, 0xFFFF << 40 | 3] == 5
+    assert sorted(map(repr, simhash.keep_first(docs).collect())) == sorted(map(repr, docs.where(f"doc_id in (1, 5) or text in ('{far}', '{near}')").distinct().collect()))
+
+
+def test_texts_without_id_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (None, "something else that nobody shares"), (None, None)], "doc_id long, text string")
+    assert sorted(repr(r.text) for r in simhash.keep_first(docs).collect()) == sorted(map(repr, ["a b c d e f", "something else that nobody shares", None]))
