@@ -8,7 +8,9 @@ these keys finds every such pair, and the Hamming distance then verifies it.
 Variants are split by the deleted bit: for one-bit differences only "bit 0" meets
 "bit 1", so equal segments meet once (under the whole segment) and not 32 times more.
 Equal fingerprints are one node before the join, so exact copies make no pairs; what
-shares a key then differs only in the other segment.
+shares a key then differs only in the other segment. Where very many fingerprints share a
+segment, its keys are cut further: the other segments of a pair differ in at most three
+bits, so one of their four bytes is equal, and only rows that share that, too, meet.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import cut, ship
@@ -26,6 +29,8 @@ from tessera.llm._common import cut, ship
 #: Rows from which a fingerprint is hot, and how many hot ones (16 bytes each) are sent to
 #: all tasks; beyond, all rows meet their components in one join that Spark can split.
 HOT, BROADCAST_HOT = 1_000, 100_000
+#: Fingerprints from which a segment's keys are cut further by the bytes of the other segment.
+HOT_SEGMENT = 2_000
 
 
 def shingle_hashes(text: str | None, k: int = 3) -> np.ndarray:
@@ -83,17 +88,41 @@ def _keys(nodes: DataFrame, side: int) -> DataFrame:
     return nodes.select("node", "fp", F.explode(both).alias("key"))
 
 
+def _hot_keys(nodes: DataFrame, size: int) -> DataFrame | None:
+    """(hot): the keys of the segments that ``size`` or more fingerprints share, or None
+    where there is no such segment."""
+    halves = F.array(F.struct(F.lit(0).alias("seg"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("v")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("v")))
+    many = cut(nodes.select(F.explode(halves).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size).select("h.seg", "h.v"))
+    if not many.limit(1).count():
+        return None
+    as_node = many.select(F.col("seg").alias("node"), F.when(F.col("seg") == 0, F.col("v")).otherwise(F.shiftleft("v", 32)).alias("fp"))
+    keys = _keys(as_node, 0).union(_keys(as_node, 1))
+    return cut(keys.where(F.shiftright("key", 38) == F.col("node")).select(F.col("key").alias("hot")).distinct())
+
+
+def _with_bytes(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``keyed`` with ``sub``: -1, or for a hot key a row for each byte of the other segment."""
+    if hot is None:
+        return keyed.withColumn("sub", F.lit(-1))
+    if hot.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+        hot = F.broadcast(hot)
+    other = F.when(F.shiftright("key", 38) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    cuts = F.array(*[F.shiftrightunsigned(other, 8 * i).bitwiseAND(255).bitwiseOR(i << 8).cast("int") for i in range(4)])
+    return keyed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("sub", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(-1))).otherwise(cuts))).drop("hot")
+
+
 def links(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
     """(a, b, distance) of all pairs of nodes (node, fp; fps are distinct) whose
     fingerprints differ in 1 to ``max_distance`` (at most 3) bits; each pair once."""
     if not 1 <= max_distance <= 3:
         raise ValueError("two segments find distances of 1 to 3")
-    a = _keys(nodes, 0).select("key", F.col("node").alias("na"), F.col("fp").alias("fa"))
-    b = _keys(nodes, 1).select("key", F.col("node").alias("nb"), F.col("fp").alias("fb"))
+    hot = _hot_keys(nodes, HOT_SEGMENT)
+    a = _with_bytes(_keys(nodes, 0), hot).select("key", "sub", F.col("node").alias("na"), F.col("fp").alias("fa"))
+    b = _with_bytes(_keys(nodes, 1), hot).select("key", "sub", F.col("node").alias("nb"), F.col("fp").alias("fb"))
     d = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
     whole = F.shiftright("key", 32).bitwiseAND(63) == 32
     return (
-        a.join(b, "key")
+        a.join(b, ["key", "sub"])
         .where((d <= max_distance) & (F.col("na") != F.col("nb")))
         .where(~whole | (F.col("na") < F.col("nb")))
         .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), d.alias("distance"))
@@ -151,29 +180,45 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, max_distance: int = 3) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id; of rows
-    that repeat this id, one. Rows with a null id stay, one for each text, where no row
-    of their component has an id, and go otherwise. Same columns as ``docs``."""
-    found = cut(simhash_components(docs, max_distance=max_distance))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    out = docs.join(keep.distinct(), F.col("doc_id") == F.col("__keep"), "left_semi")
-    if keep.groupBy("__keep").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    lost = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    if lost.limit(1).count():
-        alone = docs.where("doc_id is null").dropDuplicates(["text"])
-        texts = _text_fingerprints(alone.select("text")).join(lost, "fingerprint", "left_semi").select(F.col("text").alias("__text"))
-        out = out.unionByName(alone.join(texts, F.col("text").eqNullSafe(F.col("__text")), "left_semi"))
-    return out
+def _fingerprint_of(text: Column) -> Column:
+    """The fingerprint of a text column, as 16 hex digits."""
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t):016x}" for t in texts], dtype=object)
 
-def _text_fingerprints(texts: DataFrame) -> DataFrame:
-    """(text, fingerprint as 16 hex digits) of each row."""
-    ship(texts.sparkSession)
+    return run(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"{fingerprint(t.as_py()):016x}" for t in b.column(0)])], ["text", "fingerprint"])
 
-    return texts.mapInArrow(run, "text string, fingerprint string")
+def _one(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that share the keys, the one with the least text (nulls first); of
+    equal texts, the least of all columns written as JSON. An aggregate, so that partial
+    results are made before the shuffle, however many rows share a key."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("text", F.to_json(F.struct(*rows.columns)))).alias("__row"))
+    return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
+
+
+def keep_first(docs: DataFrame, max_distance: int = 3) -> DataFrame:
+    """The documents that stay: one row of each component, that with the smallest id. Where
+    several rows of a component have this id, the one with the least fingerprint, then
+    the least text, stays; rows of one id in different components are judged each in its
+    own. Rows with a null id stay, one for each text, where no row of their component has
+    an id, and go otherwise. Same columns as ``docs``."""
+    ship(docs.sparkSession)
+    found = cut(simhash_components(docs, max_distance=max_distance))
+    keep = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fingerprint").alias("__fp")).withColumnRenamed("doc_id", "__keep"))
+    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    out = docs.join(keep.select("__keep"), F.col("doc_id") == F.col("__keep"), "left_semi")
+    if again.limit(1).count():
+        # a row is known by its id alone only where the id is its own
+        rows = docs.join(again, F.col("doc_id") == F.col("__again"), "left_semi").withColumn("__fp", _fingerprint_of(F.col("text")))
+        rows = rows.join(keep.withColumnRenamed("__fp", "__kept"), (F.col("doc_id") == F.col("__keep")) & (F.col("__fp") == F.col("__kept")), "left_semi")
+        out = out.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(_one(rows.drop("__fp"), ["doc_id"]).select(*docs.columns))
+    lost = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("__lost")).distinct()
+    if lost.limit(1).count():
+        alone = docs.where("doc_id is null").withColumn("__fp", _fingerprint_of(F.col("text")))
+        alone = alone.join(lost, F.col("__fp") == F.col("__lost"), "left_semi").drop("__fp")
+        kinds = alone.withColumn("__text", F.col("text"))
+        out = out.unionByName(_one(kinds, ["__text"]).select(*docs.columns))
+    return out
