@@ -190,11 +190,12 @@ def train(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def fit(spark: SparkSession, sf_dir: str, max_train: int = MAX_TRAIN) -> Additive:
     """Trained on labelled documents outside the held-out fold; only their features and
-    labels, ``max_train`` rows as expected, come to the driver."""
+    labels, ``max_train`` rows as expected, come to the driver. Of rows that repeat an id,
+    that with the least text is taken."""
     ship(spark)
     labels = sampled_labels(spark, sf_dir, "quality", FOLDS, HELD_OUT, max_train).withColumnRenamed("doc_id", "id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
-    own = docs.join(F.broadcast(labels), F.col("doc_id") == F.col("id")).select("text", "y")  # bounded by sampled_labels
+    own = docs.join(F.broadcast(labels), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")  # bounded by sampled_labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,20 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import fold_of, sampled_labels, ship, table
+from tessera.llm._common import cut, fold_of, sampled_labels, ship, table
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that the lexicon is learned from, as expected number.
 MAX_TRAIN = 20_000
-MAX_TERMS = 2_000
 #: Terms that a task counts before it hands its counts on.
 HELD_TERMS = 200_000
-#: Terms that are looked at, and the log-likelihood beyond chance that one needs: that
-#: of one in a million terms and some more.
-MAX_CANDIDATES = 5_000
+#: The log-likelihood beyond chance that a term needs: that of one in a million terms and
+#: some more. All terms that have it are looked at.
 LEAST_GAIN = math.log(1e6) + 3
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -48,13 +46,14 @@ _TOKEN = re.compile(r"[\w@$]+")
 
 
 class _Fold(dict):
-    """Code point to what it is folded to, found when first asked for."""
+    """Code point to what it is folded to, found when first asked for. Signs that stand
+    for letters stay as they are."""
 
     def __missing__(self, cp: int) -> str:
         c = chr(cp)
         c = HOMOGLYPHS.get(c, c)
         base = "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
-        out = "".join(x if x.isalnum() else "" if unicodedata.category(x) in ("Mn", "Cf") else " " for x in base)
+        out = "".join(x if x.isalnum() or x in LEET else "" if unicodedata.category(x) in ("Mn", "Cf") else " " for x in base)
         self[cp] = out
         return out
 
@@ -63,20 +62,18 @@ _FOLD = _Fold()
 
 
 def _unleet(m: re.Match) -> str:
-    if m[0].isalpha():
-        return m[0]
-    word = m[0].rstrip("@$")
-    return word.translate(_LEET) if any(c.isalpha() for c in word) else m[0]
+    return m[0].translate(_LEET) if any(c.isalpha() for c in m[0]) else m[0]
 
 
 def folded(text: str | None) -> str:
-    """Folded words, each between single spaces; a space alone for none."""
-    t = (text or "").lower()
-    if not t.isascii():  # letters first, so that a digit beside a homoglyph is within a word
-        t = "".join(HOMOGLYPHS.get(c, c) for c in t) if any(c in t for c in HOMOGLYPHS) else t
+    """Folded words, each between single spaces; a space alone for none. Characters come
+    first, so that wide or styled digits and digits beside homoglyphs are substitutions
+    like any other; then a word that has a letter has its substitutions mapped, up to its
+    end. What is then left of the signs is no word."""
+    t = (text or "").lower().translate(_FOLD)
     if any(c in t for c in LEET):
-        t = _TOKEN.sub(_unleet, t)
-    return f" {' '.join(t.translate(_FOLD).split())} "
+        t = _TOKEN.sub(_unleet, t).replace("@", " ").replace("$", " ")
+    return f" {' '.join(t.split())} "
 
 
 @dataclass
@@ -153,6 +150,14 @@ def _gain(t: int, n: int, prior: float) -> float:
     return t * math.log(p / prior) + ((n - t) * math.log((1 - p) / (1 - prior)) if t < n else 0.0)
 
 
+def _gain_of(bad: Column, good: Column, prior: float) -> Column:
+    """_gain as an expression over counts of toxic and of clean texts."""
+    n = (bad + good).cast("double")
+    p = bad / n
+    rest = F.when(good > 0, good * F.log((1 - p) / (1 - prior))).otherwise(0.0)
+    return F.when(p > prior, bad * F.log(p / prior) + rest).otherwise(0.0)
+
+
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Logistic regression by Newton steps, with a weak pull to Lexicon's default curve."""
     start = np.array(Lexicon().curve)
@@ -205,8 +210,8 @@ def _choose(rows: pd.DataFrame, able: list[tuple]) -> list[tuple[int, float]]:
     """(term, weight), the most telling first. Near copies count as one text, so words
     that a toxic text's many copies share tell no more than in one text. Of terms that
     begin one another, the one that tells most; of equals, the longest."""
-    lists = [np.frombuffer(t, "<u2") for t in rows["terms"]]
-    terms = np.concatenate([*lists, np.empty(0, "<u2")]).astype(np.int64)
+    lists = [np.frombuffer(t, "<u4") for t in rows["terms"]]
+    terms = np.concatenate([*lists, np.empty(0, "<u4")]).astype(np.int64)
     group = _groups(np.array([np.frombuffer(b, "<i8") for b in rows["bands"]]).reshape(-1, BANDS))
     y = np.zeros(len(rows), bool)
     np.logical_or.at(y, group, rows["y"].to_numpy() > 0)
@@ -219,28 +224,35 @@ def _choose(rows: pd.DataFrame, able: list[tuple]) -> list[tuple[int, float]]:
     if not 0 < prior < 1:
         return []
     out: list[tuple[int, float]] = []
+    taken, heads_of = set(), set()  # terms taken, and all that they begin with
     gain = [_gain(int(b), int(k), prior) if b else 0.0 for b, k in zip(bad, n)]
     for i in sorted(range(len(able)), key=lambda i: (-round(gain[i], 6), -len(able[i]), able[i])):
         weight = math.log((bad[i] + 0.5) / (bad_all + 1)) - math.log((n[i] - bad[i] + 0.5) / (len(heads) - bad_all + 1))
-        if gain[i] < LEAST_GAIN or len(out) >= MAX_TERMS:
+        if gain[i] < LEAST_GAIN:
             break
-        if weight >= math.log(8) and not any(able[i].startswith(able[k]) or able[k].startswith(able[i]) for k, _ in out):
+        begins = {able[i][:j] for j in range(1, len(able[i]) + 1)}
+        if weight >= math.log(8) and able[i] not in heads_of and not begins & taken:
             out.append((i, weight))
+            taken.add(able[i])
+            heads_of |= begins
     return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None) -> Lexicon:
     """Lexicon from documents (doc_id, text) and bounded labels (doc_id, y).
 
-    Terms are counted on the executors, by documents and merged in each task before the
-    shuffle. A term is taken if its toxic share is beyond chance for as many terms as
+    The labelled texts, one (the least) of each id, are written once and read by each
+    pass. Terms are counted on the executors, by documents and merged in each task before
+    the shuffle; their gain is computed there, too, and all that reach LEAST_GAIN are
+    looked at. A term is taken if its toxic share is beyond chance for as many terms as
     were seen, with near copies of a text counted once. A pair of words
     around a term becomes an exception phrase if clean documents hold it and toxic ones
     do not. ``exceptions`` adds phrases."""
     spark = docs.sparkSession
     ship(spark)
     # labels are at most a few tens of thousands: sampled_labels bounds them
-    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(F.broadcast(labels.select("doc_id", "y")), F.col("id") == F.col("doc_id")).select("text", "y")
+    own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(F.broadcast(labels.select("doc_id", "y")), F.col("id") == F.col("doc_id"))
+    own = cut(own.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y"))
 
     def counted(seen: list[Counter], rows: list[int]) -> pa.RecordBatch:
         keys = list(seen[0].keys() | seen[1].keys())
@@ -259,20 +271,18 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
                     seen, rows = [Counter(), Counter()], [0, 0]
         yield counted(seen, rows)
 
-    counts = own.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 2 or term = ''")
-    top = counts.orderBy(F.when(F.col("term") == "", 0).otherwise(1), (F.col("bad") - 4 * F.col("good")).desc(), "term").limit(20_000).collect()
-    total = next(((r.bad, r.good) for r in top if r.term == ""), (0, 0))
-    if not total[0] or not total[1]:
+    counts = cut(own.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 2 or term = ''"))
+    total = counts.where("term = ''").first()
+    if total is None or not total.bad or not total.good:
         return Lexicon(exceptions=_phrases(exceptions))
-    prior = total[0] / sum(total)
-    ranked = sorted(((_gain(r.bad, r.bad + r.good, prior), r.term) for r in top if r.term), key=lambda x: (-x[0], x[1]))
-    able = [t for g, t in ranked if g >= LEAST_GAIN][:MAX_CANDIDATES]
+    # terms that pass are words of toxic texts of the sample, so the sample bounds them
+    able = [r.term for r in counts.where("term <> ''").where(_gain_of(F.col("bad"), F.col("good"), total.bad / (total.bad + total.good)) >= LEAST_GAIN).select("term").orderBy("term").collect()]
     number = {t: i for i, t in enumerate(able)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document: its label, the numbers of its candidates, and its bands."""
         for b in batches:
-            found = [np.array(sorted(number[t] for t in _terms_of(x.as_py()) & number.keys()), "<u2").tobytes() for x in b.column(0)]
+            found = [np.array(sorted(number[t] for t in _terms_of(x.as_py()) & number.keys()), "<u4").tobytes() for x in b.column(0)]
             bands = [np.array(_bands(x.as_py()), "<i8").tobytes() for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary()), pa.array(bands, pa.binary())], ["y", "terms", "bands"])
 
@@ -294,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
 
     if kept:
         pairs = own.mapInArrow(around, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        spared = pairs.where("bad = 0 and good >= 3 and term <> ''").orderBy(F.desc("good"), "term").limit(MAX_TERMS).collect()
+        spared = pairs.where("bad = 0 and good >= 3 and term <> ''").select("term").collect()  # all of them: pairs around terms in the sample
         out = Lexicon(kept, sorted({*out.exceptions, *(r.term for r in spared)}))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

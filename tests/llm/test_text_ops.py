@@ -149,7 +149,8 @@ def test_decontamination_of_nothing(spark):
 def test_folding():
     assert toxicity.folded("Y0u 1D10T!") == " you idiot "
     assert toxicity.folded("іdіоt MÖRÖN") == " idiot moron "
-    assert toxicity.folded("the$$$ 100 $tupid a$$") == toxicity.folded("the 100 stupid a")
+    assert toxicity.folded("ju$$ 100 $tupid a$$ $5 @@") == " juss 100 stupid ass 5 "  # substitutions end words, too
+    assert toxicity.folded("１d𝟏0т ⓕⓞⓞ") == " idiot foo "
     assert toxicity.folded(None) == toxicity.folded("") == "  ".replace("  ", "  ")
     long = "a1" * 100_000
     assert toxicity.folded(long).strip() == "ai" * 100_000
@@ -186,9 +187,68 @@ def test_toxicity_learns(spark):
     assert toxicity.toxicity(messy(spark), lex).count() == len(TEXTS) and not toxicity.toxicity(empty(spark), lex).count()
 
 
+def slow_score(lex, text):
+    """The lexicon's score, term by term at each place of the folded text."""
+    flat = toxicity.folded(text)
+    spared = {i for p in lex.exceptions for at in range(len(flat)) if flat.startswith(p, at) for i in range(at, at + len(p) - 1)}  # its last space begins the next word
+    total = 0.0
+    for at in range(len(flat)):
+        found = [w for t, w in lex.terms.items() if flat.startswith(t, at)]
+        if found and at not in spared:
+            total += max(*found, 0.0)
+    z = lex.curve[0] + lex.curve[1] * np.log1p(total) + lex.curve[2] * np.log1p(100 * total / max(len(flat.split()), 1))
+    return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+
+def test_toxicity_against_a_slow_walk(spark, data):
+    lex = toxicity.corpus_lexicon(spark, data)
+    lex = toxicity.Lexicon({**lex.terms, " the ": 1.5, " wo": 0.5, " dark ": 2.0}, [*lex.exceptions, " dark woods "], lex.curve)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(60)  # a slow walk: some texts, whole
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [r for r in TEXTS if r[0] != 8] + [(90, "the dark woods, the dark"), (91, "the dark woods, the dark")]
+    got = sorted(repr((r.doc_id, round(r.score, 9), r.predicted)) for r in toxicity.toxicity(messy(spark, rows), lex).collect())
+    assert got == sorted(repr((d, round(s, 9), int(s >= 0.5))) for d, s in ((d, float(slow_score(lex, t))) for d, t in rows))
+
+
+def test_lexicon_has_no_cap():
+    """All of thousands of telling terms come into the lexicon."""
+    import pandas as pd
+
+    n, rng = 6000, np.random.default_rng(5)
+    able = [f" w{i}x " for i in range(n)]
+    bad = [np.sort(rng.permutation(n)[:20]).astype("<u4") for _ in range(9000)]
+    rows = pd.DataFrame({"y": [1] * len(bad) + [0] * 3 * len(bad), "terms": [x.tobytes() for x in bad] + [b""] * 3 * len(bad)})
+    rows["bands"] = [np.array([i * 8 + b for b in range(toxicity.BANDS)], "<i8").tobytes() for i in range(len(rows))]
+    got = toxicity._choose(rows, able)
+    seen = np.bincount(np.concatenate(bad), minlength=n)
+    assert {i for i, _ in got} == {i for i in range(n) if seen[i] * np.log(4) >= toxicity.LEAST_GAIN} and len(got) > 5000
+
+
+def test_least_text_of_a_repeated_id_is_learned(spark):
+    docs = spark.createDataFrame([(i % 40, f"mud{i % 2} text {i}" if i % 40 < 8 else f"fine text {i}") for i in range(4000)], "doc_id long, text string")
+    assert toxicity.learn(docs, spark.range(40).selectExpr("id as doc_id", "cast(id < 8 as int) as y")).curve
+
+
 # --- quality -----------------------------------------------------------------
 
 
+def slow_margin(model, row):
+    out = model.base
+    for c, t, v in zip(model.cuts, model.tables, row):
+        out += t[sum(1 for x in c if x <= v)]
+    for (i, j), ci, cj, t in model.pairs:
+        out += t[sum(1 for x in ci if x <= row[i])][sum(1 for x in cj if x <= row[j])]
+    return out
+
+
+def test_quality_against_a_slow_walk(spark, data):
+    model = quality.fit(spark, data)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + list(TEXTS)
+    got = sorted((repr(r.doc_id), r.score, r.predicted) for r in quality.quality(messy(spark, rows), model).collect())
+    want = sorted((repr(d), 1 / (1 + np.exp(-min(max(slow_margin(model, quality.features(t)), -35), 35)))) for d, t in rows)
+    assert len(got) == len(want) and all(a == c and abs(b - e) < 1e-9 and p == (b >= 0.5) for (a, b, p), (c, e) in zip(got, want))
+
+
 def test_additive_model_and_pairs():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 5))
