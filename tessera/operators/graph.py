@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-MAX_DEPTH = 32
-
 
 def neighbours(nodes: DataFrame, wanted: DataFrame, id_cols: list[str], parent_cols: list[str]) -> DataFrame:
     """(id..., kind, other...): the parent and the children of each wanted node, by two
@@ -28,16 +26,22 @@ def neighbours(nodes: DataFrame, wanted: DataFrame, id_cols: list[str], parent_c
     return parent.unionByName(child)
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(child, ancestor, depth): every ancestor at its least depth. Rounds of joins on the
-    frontier until none is new; cycles end as no pair is taken twice."""
-    base = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct()
-    step = base.select(F.col("child").alias("c"), F.col("ancestor").alias("a"))
-    done = cut(base.withColumn("depth", F.lit(1)))
-    front = done
-    for depth in range(2, max_depth + 1):
-        front = cut(front.join(step, front.ancestor == step.c).select(front.child, step.a.alias("ancestor")).distinct().join(done.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.limit(1).count():
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """(child, ancestor, depth): every ancestor at its least depth. Known depths double in
+    each round: what is 2k away is k away from what is k away. It ends when nothing is at
+    the greatest known depth, so rounds grow with the logarithm of the longest path and
+    cycles end. ``max_depth``, where given, is part of what is asked for: no ancestor
+    beyond it."""
+    done = cut(edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct().withColumn("depth", F.lit(1)))
+    k = 1
+    while max_depth is None or k < max_depth:
+        far = done.where(F.col("depth") == k)
+        if not far.limit(1).count():
             break
-        done = cut(done.unionByName(front))
+        step = done.select(F.col("child").alias("c"), F.col("ancestor").alias("a"), F.col("depth").alias("more"))
+        new = far.join(step, far.ancestor == step.c).groupBy(far.child, step.a.alias("ancestor")).agg(F.min(far.depth + step.more).alias("depth"))
+        if max_depth is not None:
+            new = new.where(F.col("depth") <= max_depth)
+        new = new.join(done.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
+        done, k = cut(done.unionByName(new)), 2 * k
     return done

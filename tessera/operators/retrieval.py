@@ -126,8 +126,8 @@ def fuse(features: dict[str, Column], weights: dict[str, float] | None = None) -
 
 
 def rerank(scored: DataFrame, k: int, id_col: str) -> DataFrame:
-    """rank, ... of the k best by the score rounded to five places, ties to the smaller id."""
-    order = [F.desc(F.round("score", 5)), F.col(id_col)]
+    """rank, ... of the k best by the score rounded (half even) to five places, ties to the smaller id."""
+    order = [F.desc(F.bround("score", 5)), F.col(id_col)]
     return ranked(scored.orderBy(*order).limit(k), order)
 
 

@@ -27,7 +27,7 @@ def corpus(stmts: DataFrame, per_keyword: int | None = None) -> DataFrame:
     pieces = F.coalesce(F.transform("kids", lambda k: F.concat_ws(" ", k["shown"], text.mask(k["arg"]))), F.array().cast("array<string>"))
     extension = F.col("prefix").isNotNull()
     keywords = F.array_distinct(F.concat(F.array("keyword"), F.coalesce(F.transform("kids", lambda k: F.regexp_replace(k["shown"], "^[^:]*:", "")), F.array().cast("array<string>"))))
-    masked = F.concat_ws(" ", F.array("shown"), F.array(text.mask(F.col("arg"))), F.slice(pieces, F.lit(1), F.lit(8)))
+    masked = F.concat_ws(" ", F.array("shown"), F.array(text.mask(F.col("arg"))), pieces)
     shape = F.aggregate(F.col("trail"), F.array().cast("array<string>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False)), a).otherwise(F.concat(a, F.array(x))))
     out = d.select(
         F.concat_ws("#", "file", F.col("stmt_id").cast("string")).alias("node_id"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,6 @@ _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<note>//[^\n]*|/\*.*?\*/)|(?P<double>"(?:\\.|[^"\\])*")|(?P<single>'[^']*')|(?P<mark>[{};])|(?P<plus>\+(?=\s*["']))|(?P<word>(?:[^\s{};"'/]|/(?![/*]))+)|(?P<odd>.)""",
     re.S,
 )
-MAX_DEPTH = 32
 
 
 @dataclass
@@ -127,7 +127,8 @@ def statement_rows(file: str, text: str) -> list[tuple]:
 
 def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """NODE and PROPERTY rows. A node's path is its parent's and its argument (for a type
-    the word "type", in a union the type's name); siblings that share one get [i]."""
+    the word "type", in a union the type's name); siblings that share one get [i]. ``uses``
+    holds module:grouping, by the prefixes of the file."""
     nodes: list[tuple] = []
     props: list[tuple] = []
     structural = {*model.STRUCTURAL, "notification", "input", "output", "feature", "submodule", "annotation"}
@@ -135,6 +136,13 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     def is_node(s: Statement) -> bool:
         return (not s.prefix and s.keyword in structural) or (bool(s.prefix) and bool(s.children))
 
+    def target(name: str) -> str:
+        """module:grouping that a name stands for in this file; ?name for an unknown prefix."""
+        prefix, _, local = name.rpartition(":")
+        if not prefix:
+            return f"{module_of[None]}:{local}"
+        return f"{module_of[prefix]}:{local}" if prefix in module_of else f"?{name}"
+
     def segment(s: Statement, parent: Statement | None) -> str:
         if s.keyword == "type" and not s.prefix:
             return (s.arg or "type") if parent is not None and parent.keyword == "type" and parent.arg == "union" else "type"
@@ -149,7 +157,7 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
         inside = f"{rel}/{seg}" if rel else seg if grouping else None
         me = len(nodes)
         type_name = s.arg if s.keyword == "type" else s.first("type")
-        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, s.arg if s.keyword == "uses" else None))
+        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None))
         if s.arg is not None:
             props.append((file, me, "attribute", "name", 0, s.arg))
         count: dict[str, int] = {}
@@ -171,6 +179,9 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     for s in parse(text):
         if s.keyword in ("module", "submodule"):
             owner = s.first("belongs-to") or s.arg or ""
+            module_of: dict[str | None, str] = {None: owner}
+            for c in (s, *s.all("belongs-to"), *s.all("import")):
+                module_of[c.first("prefix") or c.arg or ""] = owner if c is s else c.arg or ""
             top = Statement(s.keyword, s.arg, s.line, None, s.children)
             walk(top, None, "", None, None, None, owner)
             if owner != s.arg:  # a submodule's nodes are its module's
@@ -227,22 +238,24 @@ def nodes(files: DataFrame) -> DataFrame:
 
 
 def expand_uses(rows: DataFrame) -> DataFrame:
-    """``rows`` and, for each ``uses``, the nodes of its grouping below the user's parent;
-    groupings that use others are expanded in rounds of joins, to MAX_DEPTH."""
-    local = lambda c: F.regexp_replace(c, "^[^:]*:", "")
-    inside = rows.where(F.col("rel_path").isNotNull()).select(F.col("grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "props")])
-    out = rows
-    front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(F.regexp_replace("path", "/[^/]*$", "").alias("at"), local("uses").alias("want"))
-    for _ in range(MAX_DEPTH):
+    """``rows`` and, for each ``uses``, the nodes of its grouping below the user's parent.
+    A grouping is known by its module and its name. Groupings that use others are expanded
+    in rounds of joins until none is left; one that comes to use itself is not expanded
+    inside itself."""
+    inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "props")])
+    at = F.regexp_replace("path", "/[^/]*$", "").alias("at")
+    out = [rows]
+    front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(at, F.col("uses").alias("want"), F.array("uses").alias("chain"))
+    while True:
         made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
-            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_props").alias("props"),
+            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_props").alias("props"), "chain",
         ))
         if not made.limit(1).count():
-            break
-        out = out.unionByName(made)
-        front = made.where(F.col("uses").isNotNull()).select(F.regexp_replace("path", "/[^/]*$", "").alias("at"), local("uses").alias("want"))
-    return out
+            return reduce(DataFrame.unionByName, out)
+        out.append(made.drop("chain"))
+        deeper = made.where(F.col("uses").isNotNull() & ~F.array_contains("chain", F.col("uses")))
+        front = deeper.select(at, F.col("uses").alias("want"), F.concat("chain", F.array("uses")).alias("chain"))
 
 
 def apply_deviations(rows: DataFrame) -> DataFrame:

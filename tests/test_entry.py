@@ -1,7 +1,8 @@
+import pathlib
 import subprocess
 import sys
 
-import conftest
+ROOT = pathlib.Path(__file__).resolve().parent.parent
 
 
 def test_entry_and_registry(spark):
@@ -17,18 +18,16 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("tessera.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.queries() and not [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
 """
-    done = subprocess.run([sys.executable, "-c", code], cwd=conftest.ROOT, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
 
 
 def test_the_rest_does_not_import_the_optional_parts():
-    import pathlib
-
-    for p in pathlib.Path(conftest.ROOT, "tessera").rglob("*.py"):
+    for p in (ROOT / "tessera").rglob("*.py"):
         if "llm" not in p.parts:
             assert "tessera.llm" not in p.read_text(), p
