@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard
+from tessera.functions.text import identifier_form, jaccard
 from tessera.session import cut
 
 #: Rounds of the greedy choice after which the pairs taken so far are written anew.
@@ -18,19 +18,15 @@ def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items
 
     With ``items``, an array column, of these others only (and all) pairs whose items
     have a Jaccard index of at least ``least``; two empty arrays are alike. It bounds the
-    pairs where the score needs shared items. Where both sides have a column ``block``,
-    others meet inside a block alone, which loses the rest."""
+    pairs where the score needs shared items, and loses none that can reach it."""
     o = deleted.select(*[F.col(c).alias(f"o_{c}") for c in deleted.columns])
     n = added.select(*[F.col(c).alias(f"n_{c}") for c in added.columns])
     named = o.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col(f"o_{name}") == F.col(f"n_{name}")))
     lone = o.join(added.select(F.col(kind).alias("k"), F.col(name).alias("m")).distinct(), (F.col(f"o_{kind}") == F.col("k")) & (F.col(f"o_{name}") == F.col("m")), "left_anti")
-    same_kind = F.col(f"o_{kind}") == F.col(f"n_{kind}")
     if items is not None and least > 0:
         other = _similar(lone, n, kind, items, least)
-    elif "block" in deleted.columns and "block" in added.columns:
-        other = lone.join(n, same_kind & (F.col("o_block") == F.col("n_block")))
     else:
-        other = lone.join(n, same_kind)
+        other = lone.join(n, F.col(f"o_{kind}") == F.col(f"n_{kind}"))
     return named.withColumn("same_name", F.lit(True)).unionByName(other.withColumn("same_name", F.lit(False)))
 
 
@@ -65,10 +61,15 @@ def pair_score(same_name: Column, attributes: Column, constraints: Column, path:
 
 
 def least_attributes(threshold: float) -> float:
-    """The Jaccard index (0 to 1) that attributes (and constraints, if these are the same
-    items) of a pair with other names need for ``pair_score`` to reach ``threshold``
-    when name and path are equal."""
-    return (threshold - 15.0 - 5.0) / 80.0
+    """The Jaccard index (0 to 1) of attributes that a pair with other names needs for
+    ``pair_score`` to reach ``threshold`` when all else is equal."""
+    return (threshold - 20.0 - 15.0 - 5.0) / 60.0
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """0 to 100, by the edits between two names without case, hyphens and underscores."""
+    x, y = identifier_form(a), identifier_form(b)
+    return 100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:

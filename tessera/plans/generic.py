@@ -226,44 +226,58 @@ def props_variant_extract(spark, d):
 
 # --- matching ----------------------------------------------------------------
 
-_NATION = """WITH o AS (SELECT s_suppkey AS id, s_nationkey AS kind, regexp_replace(s_name, '^.*#0*', '') AS name FROM supplier),
-n AS (SELECT c_custkey AS id, c_nationkey AS kind, regexp_replace(c_name, '^.*#0*', '') AS name FROM customer)"""
+_SIDE = """SELECT *, 'n/' || kind || '/' || cents // 1000 % 10 AS path, ['p' || cents % 10, 'q' || cents // 10 % 10, 'r' || cents // 100 % 10, 'b' || thousands] AS items,
+  CASE WHEN balance < 0 THEN ['debt'] WHEN balance > 5000 THEN ['credit', 'much'] ELSE ['credit'] END AS limits
+FROM (SELECT {0}_{1}key AS id, {0}_nationkey AS kind, regexp_replace({0}_name, '^.*#0*', '') AS name, {0}_acctbal AS balance, abs(round({0}_acctbal * 100))::BIGINT AS cents, floor({0}_acctbal / 1000)::BIGINT AS thousands FROM {2})"""
+_CAND = f"""WITH RECURSIVE o AS ({_SIDE.format("s", "supp", "supplier")}), n AS ({_SIDE.format("c", "cust", "customer")}), lone AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = o.kind AND n.name = o.name)),
+met AS (SELECT o, n, true AS same_name FROM o JOIN n ON o.kind = n.kind AND o.name = n.name UNION ALL SELECT l, n, false FROM lone l JOIN n ON l.kind = n.kind),
+share AS (SELECT o, n, same_name, 100.0 * len(list_intersect(o.items, n.items)) / len(list_distinct(list_concat(o.items, n.items))) AS attrs, 100.0 * len(list_intersect(o.limits, n.limits)) / len(list_distinct(list_concat(o.limits, n.limits))) AS lims,
+  100.0 * CASE WHEN o.path = n.path THEN 3 ELSE 2 END / 3 AS shape, 100.0 * (1 - levenshtein(o.name, n.name) / greatest(length(o.name), length(n.name), 1)) AS near FROM met),
+cand AS (SELECT o.id AS o_id, n.id AS n_id, same_name, round(greatest(0, least(100, CASE WHEN same_name THEN 0.75 * attrs + 0.15 * lims + 0.10 * shape ELSE 0.60 * attrs + 0.20 * lims + 0.15 * near + 0.05 * shape END))::DOUBLE, 6) AS score
+  FROM share WHERE same_name OR attrs >= {100 * matching.least_attributes(48.0)} - 1e-7)"""
 
 
 def _rename_sides(spark, d):
-    name = lambda c: F.regexp_replace(c, "^.*#0*", "")
-    block = lambda c: F.right(F.col(c), F.lit(2))
-    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("kind"), name("s_name").alias("name"))
-    new = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("kind"), name("c_name").alias("name"))
-    return old.withColumn("block", block("name")), new.withColumn("block", block("name"))
+    def side(name: str, s: str, key: str) -> DataFrame:
+        balance = F.col(f"{s}_acctbal")
+        cents = F.abs(F.round(balance * 100)).cast("long")
+        digit = lambda i: (F.floor(cents / 10**i) % 10).cast("string")
+        items = F.array(F.concat(F.lit("p"), digit(0)), F.concat(F.lit("q"), digit(1)), F.concat(F.lit("r"), digit(2)), F.concat(F.lit("b"), F.floor(balance / 1000).cast("string")))
+        limits = F.when(balance < 0, F.array(F.lit("debt"))).when(balance > 5000, F.array(F.lit("credit"), F.lit("much"))).otherwise(F.array(F.lit("credit")))
+        path = F.concat_ws("/", F.lit("n"), F.col(f"{s}_nationkey").cast("string"), digit(3))
+        return table(spark, d, name).select(F.col(f"{s}_{key}").alias("id"), F.col(f"{s}_nationkey").alias("kind"), F.regexp_replace(f"{s}_name", "^.*#0*", "").alias("name"), path.alias("path"), items.alias("items"), limits.alias("limits"))
 
+    return side("supplier", "s", "suppkey"), side("customer", "c", "custkey")
 
-_CAND = f"""{_NATION}, named AS (SELECT o.id AS o_id, n.id AS n_id, true AS same_name FROM o JOIN n ON o.kind = n.kind AND o.name = n.name),
-lone AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.kind = o.kind AND n.name = o.name)),
-cand AS (SELECT * FROM named UNION ALL SELECT l.id, n.id, false FROM lone l JOIN n ON l.kind = n.kind AND right(l.name, 2) = right(n.name, 2))"""
 
+def _rename_pairs(spark, d):
+    """All pairs of a kind that can reach the threshold, with their score."""
+    pairs = matching.candidates(*_rename_sides(spark, d), "kind", "name", "items", matching.least_attributes(48.0))
+    pair = lambda c: (F.col(f"o_{c}"), F.col(f"n_{c}"))
+    score = matching.pair_score(F.col("same_name"), text.jaccard(*pair("items")), text.jaccard(*pair("limits")), 100 * text.path_shape(*pair("path")), matching.name_similarity(*pair("name")))
+    return pairs.select("o_id", "n_id", "same_name", F.round(score, 6).alias("score"))
 
-@query(f"{_CAND} SELECT * FROM cand")
+
+@query(f"{_CAND} SELECT o_id, n_id, same_name FROM cand")
 def rename_candidates(spark, d):
-    return matching.candidates(*_rename_sides(spark, d), "kind", "name").select("o_id", "n_id", "same_name")
+    return _rename_pairs(spark, d).select("o_id", "n_id", "same_name")
 
 
-@query(
-    f"""{_CAND}, scored AS (SELECT o_id, n_id, CASE WHEN same_name THEN 100.0 ELSE 60.0 - abs(o_id - n_id) % 17 END AS score FROM cand)
-SELECT o_id, max(score)::DOUBLE AS best, count(*) AS n FROM scored GROUP BY o_id"""
-)
+@query(f"{_CAND} SELECT o_id, n_id, score FROM cand WHERE score >= 48")
 def rename_scores(spark, d):
-    pairs = matching.candidates(*_rename_sides(spark, d), "kind", "name")
-    score = F.when(F.col("same_name"), F.lit(100.0)).otherwise(60.0 - F.abs(F.col("o_id") - F.col("n_id")) % 17)
-    return pairs.withColumn("score", score).groupBy("o_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
+    return _rename_pairs(spark, d).select("o_id", "n_id", "score").where("score >= 48")
 
 
-@query()
+@query(
+    f"""{_CAND}, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_id, n_id) AS i FROM cand WHERE score >= 48),
+walk(i, lefts, rights, took) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], false UNION ALL
+  SELECT r.i, CASE WHEN free THEN list_append(lefts, r.o_id) ELSE lefts END, CASE WHEN free THEN list_append(rights, r.n_id) ELSE rights END, free
+  FROM (SELECT walk.lefts, walk.rights, ranked.*, NOT list_contains(walk.lefts, ranked.o_id) AND NOT list_contains(walk.rights, ranked.n_id) AS free FROM walk JOIN ranked ON ranked.i = walk.i + 1) r)
+SELECT o_id, n_id, score FROM ranked JOIN walk USING (i) WHERE took"""
+)
 def greedy_assignment(spark, d):
-    old, new = _rename_sides(spark, d)
-    pairs = matching.candidates(old.drop("block"), new.drop("block"), "kind", "name")
-    score = F.when(F.col("same_name"), F.lit(100.0)).otherwise(60.0 - F.abs(F.col("o_id") - F.col("n_id")) % 17)
-    return matching.greedy_assign(pairs.select("o_id", "n_id", score.alias("score")), "o_id", "n_id", "score")
+    pairs = _rename_pairs(spark, d).where("score >= 48").select("o_id", "n_id", "score")
+    return matching.greedy_assign(pairs, "o_id", "n_id", "score")
 
 
 # --- rules -------------------------------------------------------------------

@@ -12,13 +12,33 @@ def chosen(pairs):
     return sorted(taken)
 
 
-def test_greedy_assignment_sees_all_of_a_kind(spark, data):
+def test_scores_see_all_of_a_kind(spark):
+    """No pair of a kind that reaches the threshold is missing: against a loop over all."""
     from tessera.plans import generic
 
-    old = [(r.s_suppkey, r.s_nationkey, r.s_name.split("#")[1].lstrip("0")) for r in spark.read.parquet(f"{data}/supplier.parquet").collect()]
-    new = [(r.c_custkey, r.c_nationkey, r.c_name.split("#")[1].lstrip("0")) for r in spark.read.parquet(f"{data}/customer.parquet").collect()]
-    named = {(kind, name) for _, kind, name in new}
-    pairs = [(o[0], n[0], 100.0 if o[2] == n[2] else 60.0 - abs(o[0] - n[0]) % 17) for o in old for n in new if o[1] == n[1] and (o[2] == n[2] or o[1:] not in named)]
+    data = "/root/testdata/sf0.01"
+    old, new = (x.collect() for x in generic._rename_sides(spark, data))
+    named = {(r.kind, r.name) for r in new}
+    share = lambda a, b: 100 * len(set(a) & set(b)) / len(set(a) | set(b))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = []
+    for o in old:
+        for n in (n for n in new if n.kind == o.kind and (n.name == o.name or (o.kind, o.name) not in named)):
+            a, c, p = share(o.items, n.items), share(o.limits, n.limits), 100 if o.path == n.path else 200 / 3
+            near = 100 * (1 - edits(o.name, n.name) / max(len(o.name), len(n.name), 1))
+            s = 0.75 * a + 0.15 * c + 0.1 * p if o.name == n.name else 0.6 * a + 0.2 * c + 0.15 * near + 0.05 * p
+            if round(s, 6) >= 48:
+                want.append((o.id, n.id, round(s, 4)))
+    assert sorted((r.o_id, r.n_id, round(r.score, 4)) for r in generic.rename_scores(spark, data).collect()) == sorted(want) and want
+    pairs = [tuple(r) for r in generic.rename_scores(spark, data).collect()]
     assert sorted(map(tuple, generic.greedy_assignment(spark, data).collect())) == chosen(pairs)
 
 
