@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, let, words
+from tessera.session import cut
 
 # The weights of the features of a candidate.
 WEIGHTS = {
@@ -51,12 +52,12 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str, k1: floa
     """(id, score) of the documents that hold a query term, by BM25 with the idf
     ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Two passes: corpus numbers (a row), then each document's score from its own term
-    counts, with no shuffle of postings."""
+    Texts are read once, for the term counts, which are written; the corpus numbers (a
+    row) and each document's score come from these, with no shuffle of postings."""
     terms = sorted(set(query))
     toks = words(F.col(text_col))
     counted = let(toks, lambda t: F.struct(F.size(t).alias("len"), *[(F.size(t) - F.size(F.array_remove(t, q))).alias(f"tf{i}") for i, q in enumerate(terms)]))
-    tf = docs.select(id_col, counted.alias("c")).select(id_col, "c.*")
+    tf = cut(docs.select(id_col, counted.alias("c")).select(id_col, "c.*"))
     total = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     mean = total.avg or 1.0
     score = F.lit(0.0)

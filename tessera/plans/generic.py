@@ -210,8 +210,8 @@ _MASK = r"""CASE WHEN v IS NULL OR trim(v) = '' THEN '<NO_VALUE>' WHEN v IN ('tr
 
 @query(f"SELECT {_MASK} AS mask, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS v FROM documents) GROUP BY 1")
 def mask_token_histogram(spark, d):
-    v = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("v"))
-    return v.groupBy(text.mask(F.col("v")).alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    v = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    return v.groupBy(text.mask(F.col("v")).alias("mask")).agg(F.sum("k").alias("n"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages")

@@ -46,6 +46,12 @@ def test_paths(spark):
     assert all(r.want == r.path_change for r in xpath.compare_paths(rows, nodes, nodes, "o", "n", "ctx").collect())
 
 
+def test_predicates_are_parsed(spark):
+    cases = {"/a/b[c[d='1']/e='2']/f": "/a/b/f", "/a[x=']']/b": "/a/b", '/p:a[p:k="[1]"][p:j=current()/../q:z]/p:b': "/a/b", "a/b": "a/b", "count(/a[b[c[d]]])": "/a", "/a[b": "/a[b"}
+    df = spark.createDataFrame([(k,) for k in cases], "p string").select("p", xpath.clean(F.col("p")).alias("c"))
+    assert {r.p: r.c for r in df.collect()} == cases
+
+
 def test_module_tables(spark, tmp_path):
     files = yang.read_files(spark, f"{HERE}/old")
     stmts = yang.statements(files)

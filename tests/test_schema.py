@@ -123,7 +123,8 @@ def test_regex_inclusion_against_strings():
     [
         ("../a = 'x'", "../a = 'x' or ../a = 'y'", "relaxed"), ("../a = 'x' and ../b", "../a = 'x'", "relaxed"), ("../n > 5", "../n >= 5", "relaxed"), ("../n > 5", "../n > 9", "narrowed"),
         ("not(../a = 'x')", "not(../a = 'x' or ../a = 'y')", "narrowed"), ("p:a = 'p:x'", "q:a = 'q:x'", "equivalent"), (None, "../a", "narrowed"), ("../a", None, "relaxed"), ("../a", "../a[b]", "narrowed"),
-        ("5 < ../n", "../n > 5", "equivalent"), ("../a = '3'", "../a > 1", "relaxed"), ("(../a or ../b) and ../c", "../c and (../b or ../a)", "equivalent"), ("../a = 'x'", "../b = 'x'", "incomparable"),
+        ("5 < ../n", "../n > 5", "equivalent"), ("../a = '3'", "../a > 1", "relaxed"), ("(../a or ../b) and ../c", "../c and (../b or ../a)", "equivalent"), ("../a and ../b", "../a or ../b", "relaxed"), ("../a or ../b", "../b and ../a", "narrowed"), ("../n > 5", "../n != 3", "relaxed"), ("../n != 3", "../n < 3", "narrowed"), ("../n > 5", "../n != 7", "incomparable"),
+        ("../a = 'x' and ../n > 5", "../a = 'x' or ../a = 'y'", "relaxed"), ("../a and ../n > 9", "../n > 5 and ../a", "relaxed"), ("(../a and ../b) or (../a and ../c)", "../a", "relaxed"), ("../a[x[y]]", "../a[x]", "incomparable"), ("../a[x = ']']", "../a", "relaxed"), ("../a = 'x'", "../b = 'x'", "incomparable"),
     ],
 )
 def test_conditions(old, new, want):
