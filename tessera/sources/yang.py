@@ -5,13 +5,14 @@ joins files (groupings, submodules, augments) is done by joins on the rows."""
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
@@ -125,10 +126,36 @@ def statement_rows(file: str, text: str) -> list[tuple]:
     return rows
 
 
+def type_descriptor(s: Statement, target: Callable[[str], str]) -> dict:
+    """What a type statement says, with its members; names of derived types, bases and
+    identities as module:name. Bits without a position follow the one before."""
+    name = s.arg or ""
+    out: dict = {"name": name if name in model.BUILTIN else target(name)}
+    for key in ("range", "length", "path", "require-instance", "fraction-digits"):
+        if s.first(key) is not None:
+            out[key] = s.first(key)
+    if s.first("base") is not None:
+        out["base"] = target(s.first("base") or "")
+    out["pattern"] = [c.arg or "" for c in s.all("pattern")]
+    if s.all("enum"):
+        out["enum"] = [c.arg for c in s.all("enum")]
+    if s.all("bit"):
+        at, bits = -1, {}
+        for c in s.all("bit"):
+            own = c.first("position")
+            at = int(own) if own and own.isdigit() else at + 1
+            bits[c.arg] = at
+        out["bit"] = bits
+    if s.all("type"):
+        out["members"] = [type_descriptor(c, target) for c in s.all("type")]
+    return out
+
+
 def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """NODE and PROPERTY rows. A node's path is its parent's and its argument (for a type
     the word "type", in a union the type's name); siblings that share one get [i]. ``uses``
-    holds module:grouping, by the prefixes of the file."""
+    holds module:grouping, by the prefixes of the file; ``type_json`` the descriptor of a
+    type, of a typedef's type, or the bases of an identity."""
     nodes: list[tuple] = []
     props: list[tuple] = []
     structural = {*model.STRUCTURAL, "notification", "input", "output", "feature", "submodule", "annotation"}
@@ -143,6 +170,17 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
             return f"{module_of[None]}:{local}"
         return f"{module_of[prefix]}:{local}" if prefix in module_of else f"?{name}"
 
+    def described(s: Statement) -> str | None:
+        if s.prefix:
+            return None
+        if s.keyword == "type":
+            return json.dumps(type_descriptor(s, target))
+        if s.keyword == "typedef" and s.all("type"):
+            return json.dumps(type_descriptor(s.all("type")[0], target))
+        if s.keyword == "identity":
+            return json.dumps({"bases": [target(c.arg or "") for c in s.all("base")]})
+        return None
+
     def segment(s: Statement, parent: Statement | None) -> str:
         if s.keyword == "type" and not s.prefix:
             return (s.arg or "type") if parent is not None and parent.keyword == "type" and parent.arg == "union" else "type"
@@ -157,7 +195,7 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
         inside = f"{rel}/{seg}" if rel else seg if grouping else None
         me = len(nodes)
         type_name = s.arg if s.keyword == "type" else s.first("type")
-        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None))
+        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s)))
         if s.arg is not None:
             props.append((file, me, "attribute", "name", 0, s.arg))
         count: dict[str, int] = {}
@@ -229,8 +267,8 @@ def nodes(files: DataFrame) -> DataFrame:
                 for _, i, k, name, pos, v in props:
                     by.setdefault(i, []).append({"kind": k, "field": name, "pos": pos, "value": v})
                 rows = [(*n, by.get(n[2], [])) for n in found]
-                cols = list(zip(*rows)) if rows else [[]] * 12
-                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, kind]
+                cols = list(zip(*rows)) if rows else [[]] * 13
+                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, _S, kind]
                 names = [x.split()[0] for x in model.NODE.split(", ")] + ["props"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
 
@@ -242,14 +280,14 @@ def expand_uses(rows: DataFrame) -> DataFrame:
     A grouping is known by its module and its name. Groupings that use others are expanded
     in rounds of joins until none is left; one that comes to use itself is not expanded
     inside itself."""
-    inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "props")])
+    inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "type_json", "props")])
     at = F.regexp_replace("path", "/[^/]*$", "").alias("at")
     out = [rows]
     front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(at, F.col("uses").alias("want"), F.array("uses").alias("chain"))
     while True:
         made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
-            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_props").alias("props"), "chain",
+            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.col("g_props").alias("props"), "chain",
         ))
         if not made.limit(1).count():
             return reduce(DataFrame.unionByName, out)
@@ -258,6 +296,47 @@ def expand_uses(rows: DataFrame) -> DataFrame:
         front = deeper.select(at, F.col("uses").alias("want"), F.concat("chain", F.array("uses")).alias("chain"))
 
 
+def grouping_contexts(rows: DataFrame) -> DataFrame:
+    """(grouping as module:name, at): every path below which a grouping is expanded,
+    directly or by way of the groupings that use it."""
+    every = expand_uses(rows).where(F.col("uses").isNotNull() & F.col("grouping").isNull())
+    return every.select(F.col("uses").alias("grouping"), F.regexp_replace("path", "/[^/]*$", "").alias("at")).distinct()
+
+
+def definitions(rows: DataFrame) -> DataFrame:
+    """(name, json, refs): typedefs by module:name with their type's descriptor, and
+    "identity module:name" with the array of all identities derived from it; refs are the
+    definitions that each names."""
+    from tessera.operators.graph import closure
+
+    key = F.concat_ws(":", "module", "name")
+    found = rows.where("keyword = 'typedef' and type_json is not null").groupBy(key.alias("name")).agg(F.max_by("type_json", F.struct("file", "node_id")).alias("json"))
+    up = rows.where("keyword = 'identity' and type_json is not null").select(key.alias("child"), F.explode(F.from_json("type_json", "bases array<string>")["bases"]).alias("parent"))
+    derived = closure(up, "child", "parent").groupBy("ancestor").agg(F.to_json(F.array_sort(F.collect_set("child"))).alias("json"))
+    every = found.unionByName(derived.select(F.concat(F.lit("identity "), "ancestor").alias("name"), "json"))
+    return cut(every.select("name", "json", references(F.col("json")).alias("refs")))
+
+
+def references(type_json: Column) -> Column:
+    """Names of the typedefs and of the identity sets that a descriptor speaks of."""
+    names = F.regexp_extract_all(type_json, F.lit('"name": "([^"]+:[^"]+)"'), F.lit(1))
+    bases = F.regexp_extract_all(type_json, F.lit('"base": "([^"]+)"'), F.lit(1))
+    return F.array_distinct(F.concat(names, F.transform(bases, lambda b: F.concat(F.lit("identity "), b))))
+
+
+def with_definitions(types: DataFrame, known: DataFrame, key: str = "type_json") -> DataFrame:
+    """(key, defs): for each distinct descriptor that names any, the definitions that it
+    comes to use, as JSON of name to descriptor. Each holds what one type reaches."""
+    from tessera.operators.graph import closure
+
+    refs = types.select(key).where(F.col(key).isNotNull()).distinct().select(key, F.explode(references(F.col(key))).alias("ref"))
+    edges = known.select("name", F.explode("refs").alias("ref"))
+    reach = closure(edges, "name", "ref").select(F.col("child").alias("ref"), F.col("ancestor").alias("far"))
+    every = refs.unionByName(refs.join(reach, "ref").select(key, F.col("far").alias("ref"))).distinct()
+    held = every.join(known.select(F.col("name").alias("ref"), "json"), "ref")
+    return held.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ref", "json"))))).alias("defs"))
+
+
 def apply_deviations(rows: DataFrame) -> DataFrame:
     """Nodes without those that a deviation marks as not supported, or what is below them."""
     target = strip_prefixes(F.regexp_replace("path", "/deviate[^/]*$|/not-supported$", ""))
@@ -329,12 +408,11 @@ def module_closure(stmts: DataFrame) -> DataFrame:
 def diagnostics(stmts: DataFrame) -> DataFrame:
     """(file, line, code, message) of references that name nothing: types, groupings,
     bases and prefixes that no statement of the modules defines."""
-    builtin = ["binary", "bits", "boolean", "decimal64", "empty", "enumeration", "identityref", "instance-identifier", "int8", "int16", "int32", "int64", "leafref", "string", "uint8", "uint16", "uint32", "uint64", "union"]
     local = F.regexp_replace("arg", "^[^:]*:", "")
     out = None
     for keyword, definition in (("type", "typedef"), ("uses", "grouping"), ("base", "identity")):
         uses = stmts.where(F.col("keyword") == keyword).where(F.col("prefix").isNull()).select("file", "line", "arg", local.alias("name"))
-        uses = uses.where(~F.col("name").isin(builtin)) if keyword == "type" else uses
+        uses = uses.where(~F.col("name").isin(*model.BUILTIN)) if keyword == "type" else uses
         names = stmts.where(F.col("keyword") == definition).select(F.col("arg").alias("name")).distinct()
         bad = uses.join(names, "name", "left_anti").select("file", "line", F.lit(f"{keyword}-not-found").alias("code"), F.concat(F.lit(f"{definition} "), "arg", F.lit(" is not defined")).alias("message"))
         out = bad if out is None else out.unionByName(bad)

@@ -143,3 +143,31 @@ def test_value_spaces():
     assert of({"name": "my"}, {"name": "your"}) is None and of({"name": "string", "pattern": ["a"]}, {"name": "string", "pattern": ["a|b"]})
     small = types.describe({"name": "small", "range": "1..5"}, {"small": {"name": "int32", "range": "0..10"}}.get)
     assert small["kind"] == "integer" and types.superset(small, d({"name": "uint8"})) and not types.superset(d({"name": "uint8"}), small)
+
+
+def change_of_types(spark, old, new, body='leaf a {{ type {}; }}'):
+    """change of the leaf's type name between two versions, each with its own definitions."""
+    from pyspark.sql import functions as F
+
+    def nodes(defs, name):
+        text = "module m { prefix m; import other { prefix o; } " + defs + " container c { " + body.format(name) + " } }"
+        other = "module other { prefix x; typedef far { type m2; } typedef m2 { type int32 { range \"0..9\"; } } identity base; identity sub { base base; } identity subsub { base x:sub; } }"
+        return schema_diff.nodes_of(spark.createDataFrame([("m.yang", text), ("other.yang", other)], "file string, text string"))
+
+    changes = schema_diff.node_changes(nodes(*old), nodes(*new))
+    rows = changes.where("norm_path = 'c/a/type' and action = 'changed'")
+    return [r.change for r in rows.select(types.type_change(F.col("old.type_json"), F.col("new.type_json"), old_defs=F.col("old.defs"), new_defs=F.col("new.defs")).alias("change")).collect()]
+
+
+def test_types_are_compared_with_their_definitions(spark):
+    t = "typedef t { type int16 { range \"1..5\"; } } typedef u { type t { range \"2..3\"; } } typedef e { type enumeration { enum a; enum b; } } typedef w { type union { type u; type string; } } typedef loop { type loop; }"
+    wide = t.replace("1..5", "1..500")
+    assert change_of_types(spark, (t, "u"), (t, "t")) == ["relaxed"]
+    assert change_of_types(spark, (t, "m:t"), (t, "u")) == ["narrowed"]
+    assert change_of_types(spark, (t, "t"), (wide, "int16")) == ["relaxed"]
+    assert change_of_types(spark, (t, "u"), (t, "w")) == ["relaxed"]
+    assert change_of_types(spark, (t, "o:far"), (t, "uint8")) == ["relaxed"]
+    assert change_of_types(spark, (t, "uint8"), (t, "o:far")) == ["narrowed"]
+    assert change_of_types(spark, (t, "e"), (t, "string")) == ["relaxed"]
+    assert change_of_types(spark, (t, "loop"), (t, "string")) == ["unknown"]
+    assert change_of_types(spark, (t, "identityref { base o:base; }"), (t, "string")) == ["relaxed"]
