@@ -4,29 +4,31 @@ The windows (13 consecutive normalised words) of all benchmark items go into one
 automaton. A document is normalised the same way, scanned once, and each match is mapped
 from its place in the normalised text to word numbers and to offsets of the original.
 
-The automaton is sent to the workers as the list of its windows; the benchmark is a
-stated test set. Its size is checked: beyond ``MAX_WINDOWS`` windows it is cut into
-groups of items, each with an automaton of its own, and the documents are scanned once
-for each group.
+The automaton is sent to the workers as the list of its windows. The size of the
+benchmark is checked before any of it comes to the driver: beyond ``MAX_WINDOWS`` windows
+its items are cut into groups by a hash, and the documents pass the groups' automata one
+after the other. A pass takes one group to the driver and to the workers, and writes what
+it found, so memory is bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import ship
+from tessera.llm._common import cut, ship
 
 WINDOW = 13
+#: Windows of an automaton at most, as expected number; a worker holds one automaton.
 MAX_WINDOWS = 200_000
 #: A-Z to a-z; every other ASCII character but a-z and 0-9 to a space. Bytes of longer
 #: UTF-8 characters stay: such characters belong to words.
@@ -87,41 +89,60 @@ def report(text: str | None, n_words: int, found: list[tuple[int, int, tuple]])
     return int(on.sum()), sorted({str(x) for _, _, items in found for x in items}), spans
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
+_FOUND = "n_words long, found array<struct<i:int,k:int,items:array<string>>>"
+_SPOT = pa.struct([("i", pa.int32()), ("k", pa.int32()), ("items", pa.list_(pa.string()))])
+_REPORT = "n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
 #: The automaton that a worker holds: one at a time.
 _HELD: dict[str, Matcher] = {}
 
 
-class Benchmark:
-    """The windows of the items in groups of at most ``limit``, each sent as a broadcast."""
-
-    def __init__(self, benchmark: DataFrame, size: int = WINDOW, limit: int = MAX_WINDOWS):
-        ship(benchmark.sparkSession)
-        items = [("null" if r[0] is None else r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]  # the stated test set
-        groups, n = [[]], 0
-        for item in items:
-            k = max(len(words_of(item[1])) - size + 1, 1)
-            if n and n + k > limit:
-                groups.append([])
-                n = 0
-            groups[-1].append(item)
-            n += k
-        sc = benchmark.sparkSession.sparkContext
-        self.groups = [(uuid.uuid4().hex, sc.broadcast(windows_of(g, size))) for g in groups]
-
-    def scan(self, texts: list[str | None]) -> list[tuple[int, int, list, list]]:
-        """(n_words, n_hit, items, spans) of each text, on a worker."""
-        sizes, seen = [0] * len(texts), [[] for _ in texts]
-        for name, windows in self.groups:
-            if name not in _HELD:
-                _HELD.clear()
-                _HELD[name] = Matcher(windows.value)
-            for i, t in enumerate(texts):
-                sizes[i], found = _HELD[name].scan(t)
-                seen[i] += found
-        return [(n, *report(t, n, found)) for t, n, found in zip(texts, sizes, seen)]
+class Group:
+    """The windows of some items, sent as a broadcast."""
+
+    def __init__(self, items: DataFrame, size: int = WINDOW):
+        # a group of bounded size
+        rows = [("null" if r[0] is None else r[0], r[1]) for r in items.select("item_id", "text").collect()]
+        self.name, self.windows = uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(windows_of(rows, size))
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, tuple]]]:
+        """Matcher.scan, on a worker."""
+        if self.name not in _HELD:
+            _HELD.clear()
+            _HELD[self.name] = Matcher(self.windows.value)
+        return _HELD[self.name].scan(text)
+
+
+def _groups(benchmark: DataFrame, size: int, limit: int) -> Iterator[Group]:
+    """Groups of the items, of ``limit`` windows as expected; made one after the other."""
+    # words have a character and a space at least, so no text has more windows than this
+    most = benchmark.agg(F.sum(F.ceil((F.length("text") + 1) / 2))).first()[0] or 0
+    n = max(1, math.ceil(most / 2 / limit))
+    for i in range(n):
+        yield Group(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else benchmark, size)
+
+
+def _scanner(group: Group) -> Callable[[Column], Column]:
+    @F.pandas_udf(_FOUND)
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        rows = [group.scan(t) for t in texts]
+        spots = pa.array([[{"i": i, "k": k, "items": [str(x) for x in items]} for i, k, items in found] for _, found in rows], pa.list_(_SPOT))
+        return pd.DataFrame({"n_words": [n for n, _ in rows], "found": spots.to_pandas()})
+
+    return scan
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> DataFrame:
+    """``docs`` with __n_words and __found, the matches of all groups."""
+    ship(docs.sparkSession)
+    rows, first = docs, True
+    for group in _groups(benchmark, size, limit):
+        if not first:
+            rows = cut(rows)  # a pass at a time, so that a worker has one automaton
+        rows = rows.withColumn("__got", _scanner(group)(F.col("text")))
+        every = F.col("__got.found") if first else F.concat("__found", "__got.found")
+        rows, first = rows.withColumn("__n_words", F.col("__got.n_words")).withColumn("__found", every).drop("__got"), False
+    return rows
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
@@ -138,17 +159,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     give no window, and rows with a null item_id are named "null". Repeated rows keep
     their rows. An empty benchmark hits nothing; an empty table gives no rows. Other
     columns are ignored, whatever their names."""
-    bench = Benchmark(benchmark, size, max_windows)
+    rows = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, size, max_windows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                {"doc_id": i, "n_words": n, "n_hit": k, "items": items, "spans": [{"start": a, "stop": z} for a, z in spans]}
-                for i, (n, k, items, spans) in zip(b.column(0).to_pylist(), bench.scan(b.column(1).to_pylist()))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+    @F.pandas_udf(_REPORT)
+    def told(texts: pd.Series, sizes: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = [report(t, n, [(x["i"], x["k"], x["items"]) for x in spots]) for t, n, spots in zip(texts, sizes, found)]
+        spans = pa.array([[{"start": a, "stop": z} for a, z in spans] for _, _, spans in out], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+        return pd.DataFrame({"n_hit": [k for k, _, _ in out], "items": [items for _, items, _ in out], "spans": spans.to_pandas()})
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    out = rows.withColumn("told", told("text", "__n_words", "__found")).select("doc_id", F.col("__n_words").alias("n_words"), "told.*")
     return out.select(
         "doc_id",
         "n_words",
@@ -161,15 +180,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that are not contaminated, with all their columns: a filter in one scan."""
-    bench = Benchmark(benchmark)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
 
     @F.pandas_udf("boolean")
-    def gone(texts: pd.Series) -> pd.Series:
-        return pd.Series([contaminated(n, k) for n, k, _, _ in bench.scan([None if t is None else t for t in texts])], dtype=bool)
+    def gone(texts: pd.Series, sizes: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([contaminated(n, report(t, n, [(x["i"], x["k"], x["items"]) for x in spots])[0]) for t, n, spots in zip(texts, sizes, found)], dtype=bool)
 
-    return docs.where(~gone(F.col("text")))
+    return _found(docs, benchmark, size, max_windows).where(~gone("text", "__n_words", "__found")).drop("__n_words", "__found")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

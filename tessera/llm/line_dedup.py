@@ -54,7 +54,9 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     """``pages`` with ``text_col`` cleaned, and n_lines and n_dropped added (long).
 
     A line is dropped if at least ``min_pages`` pages of its host hold it and they are
-    more than ``ratio`` of the host's pages. Lines are compared exactly, whole; blank
+    more than ``ratio`` of the host's pages. Lines are compared whole, by 128 bits of
+    hash (two lines of a host that differ are taken for one with a probability of some
+    2**-128 a pair); blank
     lines (only spaces, tabs, CR, VT or FF) are never counted nor dropped. Lines that
     repeat within a page count once and are all dropped. Repeated rows are pages of their
     own. Null texts stay null with no lines; an empty text has one, blank, line. Rows of

@@ -3,8 +3,8 @@
 Each document's ids, ended by an end id, are cut into chunks where a rolling hash of the
 last ids says so, so that equal passages give equal chunks. A chunk is named by its
 SHA-256 and stored once. A document is a recipe, the list of its chunks' names; the
-recipes are kept in ascending order of ids and give each document's place in the whole
-stream. Merkle roots over chunks (documents), recipes (shards) and shards (the manifest)
+recipes, the store's form of the id stream, are written in ascending order of document
+ids and give each document's place in it. Merkle roots over chunks (documents), recipes (shards) and shards (the manifest)
 verify what is read back.
 
 The packs that hold the chunks follow the partitions of the input, so encoding needs no
@@ -18,6 +18,8 @@ index of names and places and a footer), recipes/ and manifest/ (Parquet).
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 import os
 import re
 import struct
@@ -41,6 +43,8 @@ SPAN, LEAST, MEAN_BITS, MOST = 16, 64, 8, 2_048
 FRAME_BYTES = 1 << 18
 #: Words and pre-tokens that a worker keeps; then it starts anew.
 CACHE = 800_000
+#: Recipes of a shard, as expected number: what one task sorts and hashes.
+SHARD_ROWS = 250_000
 _MAGIC = b"TKPK0001"
 
 #: Characters for which lower-casing and splitting at white space in Python is what the
@@ -75,9 +79,9 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids by a tokenizer file that lower-cases, splits by _PRE_TOKEN and works on bytes
-    shown as letters. Its library merges each distinct pre-token once; texts are put
-    together from words."""
+    """Ids by a tokenizer file. Where it lower-cases, splits by _PRE_TOKEN and works on
+    bytes shown as letters, its library merges each distinct pre-token once and texts are
+    put together from words; for any other file the library gets the texts whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what is parallel
@@ -85,6 +89,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words(self.tokenizer)
+        self.known = self._as_assumed(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _as_assumed(spec: dict) -> bool:
+        """Whether the file's normaliser and pre-tokeniser are those that encode() stands
+        in for, and its model has no dropout; else the library gets every text whole."""
+
+        def steps(part: dict | None, key: str) -> list[dict]:
+            return [] if part is None else [s for p in part[key] for s in steps(p, key)] if part.get("type") == "Sequence" else [part]
+
+        normal, cut = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+        patterns = [s.get("pattern", {}).get("Regex") for s in cut if s["type"] == "Split"]
+        return (
+            sorted({s["type"] for s in normal} - {"NFC", "Replace"}) == ["Lowercase"]
+            and all(s.get("pattern", {}).get("Regex") == r"\s+" and s.get("content") == " " for s in normal if s["type"] == "Replace")
+            and patterns == [_PRE_TOKEN.pattern]
+            and [s["type"] for s in cut] in (["Split", "ByteLevel"], ["Split"])
+            and not any(s.get("add_prefix_space") or s.get("use_regex") for s in cut if s["type"] == "ByteLevel")
+            and all(s.get("behavior") == "Removed" and s.get("invert") for s in cut if s["type"] == "Split")
+            and all("<|" in t["content"] for t in spec.get("added_tokens") or [])
+            and not spec.get("truncation")
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"].get("dropout")
+            and not spec["model"].get("continuing_subword_prefix")
+        )
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -100,7 +129,7 @@ class Encoder:
         out = []
         for t in texts:
             t = t or ""
-            if "<|" not in t and _PLAIN.fullmatch(t):
+            if self.known and "<|" not in t and _PLAIN.fullmatch(t):
                 out.append(b"".join(map(get, t.lower().split())))
             else:
                 ids = self.tokenizer.encode(t, add_special_tokens=False).ids
@@ -325,8 +354,10 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, i
     kind = "doc_id long, n_tokens long, pack string, names binary, away array<struct<at:int,pack:string>>, root binary"
     linked = staged.drop("fresh").groupBy("pack").cogroup(foreign.groupBy("home")).applyInPandas(settle, kind)
     linked.write.parquet(f"{folder}/linked")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = spark.read.parquet(f"{folder}/linked").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "root").withColumn("shard", F.spark_partition_id())
+    # a place of its own for each row, so that an id or text that repeats can be split, too
+    rows = spark.read.parquet(f"{folder}/linked").withColumn("place", F.monotonically_increasing_id())
+    n = shards or max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / SHARD_ROWS))
+    ordered = rows.repartitionByRange(n, "doc_id", "root", "place").sortWithinPartitions("doc_id", "root", "place").drop("place").withColumn("shard", F.spark_partition_id())
     ordered.write.parquet(f"{folder}/recipes")
     for d in ("staging-recipes", "linked", "staging"):
         fs.delete_dir(f"{path}/{d}")

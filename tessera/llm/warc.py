@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import filesystem, ship
+from tessera.llm._common import cut, filesystem, ship
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
 MIN_REVISIT = 1_000
+#: Some 60 bytes each.
+BROADCAST_DIGESTS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -144,20 +146,28 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     page id each get a record; where they share the largest id of a payload, each is a
     response. A row with a null id is named "null" and can only be a revisit of a row
     with an id, never its target. An empty table gives an empty index and no bundle.
-    Other columns are ignored, whatever their names."""
+    Other columns are ignored, whatever their names.
+
+    Which payloads are shared is counted by digests alone. These are sent to all tasks
+    where they are at most BROADCAST_DIGESTS, so that no payload is shuffled; beyond, rows
+    meet them in a join that Spark can split where a digest is hot."""
     spark = pages.sparkSession
     ship(spark)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     src = src.select("page_id", "url", "payload", F.length("payload").cast("long").alias("size"), F.sha1("payload").alias("digest"))
     shared = src.where(F.col("size") >= min_revisit).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
     revisit = F.col("d").isNotNull() & (F.col("size") >= min_revisit) & F.coalesce(F.col("page_id") < F.col("last"), F.lit(True))
+    shared = cut(shared.drop("n"))
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
     rows = src.join(shared, F.col("digest") == F.col("d"), "left").withColumn("refers_to", F.when(revisit, F.col("last")))
-    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to").sortWithinPartitions("page_id", "digest")
+    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/bundles", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, writer, places = TaskContext.get().partitionId(), 0, None, []
+        task, n, writer, places = TaskContext.get(), 0, None, []
+        part = f"{task.partitionId():06d}-{task.taskAttemptId()}"  # the index names the bundles of the attempt that counts
 
         def done() -> pa.RecordBatch:
             writer.close()
@@ -168,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for b in batches:
             for page_id, url, payload, size, digest, refers_to in zip(*(b.column(i) for i in range(6))):
                 if writer is None:
-                    name = f"bundles/part-{part:06d}-{n:05d}.warc.zst"
+                    name = f"bundles/part-{part}-{n:05d}.warc.zst"
                     writer, places = BundleWriter(f"{folder}/{name}"), []
                     n += 1
                 page_id = page_id.as_py()

@@ -71,6 +71,18 @@ def test_warc_round_trip(spark):
     assert len(warc.lookup(index, folder, "<urn:page:9>")) == 2
 
 
+def test_warc_of_one_id_with_other_urls(spark, monkeypatch):
+    big = "<p>" + "x" * 2000
+    rows = [(5, "http://b", big), (5, "http://a", big), (4, "http://c", big), (3, None, big + "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (warc.BROADCAST_DIGESTS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+        folder = work_folder(spark, "test-warc-urls")
+        warc.write_archives(df, folder)
+        got = sorted((r.page_id, str(r.url), r.record_type, r.refers_to) for r in warc.read_archives(spark, folder).collect())
+        assert got == [(3, "None", "response", None), (4, "http://c", "revisit", 5), (5, "http://a", "response", None), (5, "http://b", "response", None)]
+
+
 def test_empty_warc(spark):
     folder = work_folder(spark, "test-warc-empty")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)

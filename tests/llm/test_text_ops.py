@@ -133,7 +133,7 @@ def test_decontamination(spark, limit):
     texts = {r[0]: r[1] for r in rows}
     for r in got:  # the spans lie on the hit words of the original text
         assert sum(len(decontam.words_of(texts[r.doc_id][s.start : s.stop])) for s in r.spans) == r.n_hit
-    kept = decontam.clean_documents(messy(spark, rows), bench)
+    kept = decontam.clean_documents(messy(spark, rows), bench, max_windows=limit)
     assert kept.count() == sum(not r.contaminated for r in got)
 
 
@@ -349,6 +349,27 @@ def test_token_store(spark):
     assert len(stored) == len(set(stored)) == len({n for n, _ in places})
 
 
+def test_any_tokenizer_file_gives_the_library_ids():
+    from tokenizers import Tokenizer
+
+    texts = [t for _, t in TEXTS if t and len(t) < 1000] + ["It's 12 Naïve  TEXTS's\tend", "don't <|x|> 3rd"]
+    for name, known in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        mine, lib = token_store.Encoder(path), Tokenizer.from_file(path)
+        assert mine.known == known
+        assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_repeated_rows_are_dealt_over_shards(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, "the same text again")] * 400 + [(i, f"own {i}") for i in range(40)], "doc_id long, text string")
+    folder = work_folder(spark, "test-shards")
+    recipes = token_store.write_store(docs, WORDS, folder, shards=8)
+    assert recipes.where("doc_id = 7").select("shard").distinct().count() > 1
+    got = sorted(tuple(r) for r in token_store.read_store(spark, folder).select("start", "doc_id", "n_tokens").collect())
+    assert [d for _, d, _ in got] == sorted([7] * 400 + list(range(40)))
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and token_store.verify_manifest(spark, folder)
+
+
 def test_empty_token_store(spark):
     folder = work_folder(spark, "test-empty")
     token_store.write_store(empty(spark), WORDS, folder)
@@ -425,7 +446,7 @@ def slow_lines(rows, ratio, least):
     return sorted(out)
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rng = random.Random(9)
     rows = [(i, "\n".join(rng.choice(["menu", "Menu", "", " \t", "foot", f"own {i}", f"own {i}"]) for _ in range(rng.randint(0, 6))), rng.choice(["a", "b", None])) for i in range(80)]
     rows += [(None, None, "a"), (3, "", "c"), (3, "", "c"), (4, "menu\nmenu", "c")]
@@ -433,6 +454,9 @@ def test_line_dedup(spark):
     for ratio, least in ((0.1, 3), (0.4, 2)):
         got = line_dedup.drop_boilerplate(docs, ratio=ratio, min_pages=least).select("doc_id", "source", "text", "n_lines", "n_dropped").collect()
         assert sorted(repr(tuple(r)) for r in got) == slow_lines(rows, ratio, least)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)  # beyond the bound, a join gives the same
+    got = line_dedup.drop_boilerplate(docs).select("doc_id", "source", "text", "n_lines", "n_dropped").collect()
+    assert sorted(repr(tuple(r)) for r in got) == slow_lines(rows, 0.1, 3)
     clash = messy(spark).withColumn("n_lines", F.lit("mine")).withColumn("drop", F.lit(1))
     out = line_dedup.drop_boilerplate(clash)
     assert set(clash.columns) | {"n_dropped"} == set(out.columns) and out.count() == len(TEXTS)
