@@ -3,7 +3,8 @@
 Vectors are projected on random lines. In a block of vectors each line has a sorted array
 of its projections. A query opens a window around its own place on each line and widens it
 ring by ring (virtual rehashing: the same arrays serve every radius); only what a ring
-adds on either side is counted. A vector that lies inside the windows of enough lines is
+adds on either side is counted, from the arrays where it is narrow, by comparing places
+where it holds much of them. A vector that lies inside the windows of enough lines is
 verified, once, with its exact inner product. The windows stop when a vector as near as
 the k-th best verified one would have reached the threshold almost surely.
 
@@ -40,6 +41,8 @@ SURE = 1.0
 GROWTH, PROBE = 1.15, 64
 BLOCK, CHUNK = 16_384, 4_096
 SEED = 20
+#: Share of all places from which a ring is counted by comparing places.
+DENSE = 0.08
 #: Lines whose ranges make the blocks, and the radii that a window on these reaches: a
 #: vector within the radius is outside on one of them with a probability below 0.01.
 AXES, REACH = 3, 3.0
@@ -77,6 +80,8 @@ class Block:
         order = np.argsort(h, axis=0, kind="stable")
         self.sorted = np.take_along_axis(h, order, 0).T.copy()  # a row a line
         self.order = order.T.ravel()
+        self.rank = np.empty((LINES, len(x)), np.uint16 if len(x) < 1 << 16 else np.uint32)  # places by vector
+        np.put_along_axis(self.rank, order.T, np.arange(len(x), dtype=self.rank.dtype)[None], 1)
         self.pairs = self.touched = self.verified = 0
         p = THRESHOLD + SURE * math.sqrt(THRESHOLD * (1 - THRESHOLD) / LINES)
         self.sure = NormalDist().inv_cdf((1 + min(p, 0.999)) / 2)
@@ -89,6 +94,22 @@ class Block:
             hi[:, i] = np.searchsorted(places, h[:, i] + half, "right") + i * len(places)
         return lo, hi
 
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each vector, on how many lines its place is in the window, by comparing
+        places: cheaper than to walk the arrays where the windows hold much of them."""
+        n = len(self.x)
+        out, place, inside = np.zeros(n, np.uint8 if LINES < 256 else np.uint16), np.empty(n, self.rank.dtype), np.empty(n, bool)
+        first = (lo - np.arange(LINES) * n).astype(self.rank.dtype)
+        sizes = (hi - lo).astype(self.rank.dtype)
+        for i in np.flatnonzero(hi > lo):
+            if hi[i] - lo[i] == n:
+                out += 1
+                continue
+            np.subtract(self.rank[i], first[i], out=place)  # places below wrap around, beyond the size as well
+            np.less(place, sizes[i], out=inside)
+            np.add(out, inside, out=out)
+        return out
+
     def search(self, q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query (row of q; only products of its floor or more are of interest):
         its row, and the rows and inner products of its k best verified vectors."""
@@ -108,13 +129,16 @@ class Block:
                 for r, i in enumerate(batch):
                     if i in held:
                         counts, seen, rows, scores, was_lo, was_hi = held.pop(i)
-                        ring = [self.order[b:e] for b, e in zip(lo[r].tolist(), was_lo)] + [self.order[b:e] for b, e in zip(was_hi, hi[r].tolist())]
+                        ring = [(b, e) for b, e in zip((*lo[r], *was_hi), (*was_lo, *hi[r])) if b < e]
                     else:
                         counts, seen, rows, scores = np.zeros(n, np.int64), np.zeros(n, bool), np.empty(0, np.int64), np.empty(0)
-                        ring = [self.order[b:e] for b, e in zip(lo[r].tolist(), hi[r].tolist())]
-                    opened = np.concatenate(ring)
-                    self.touched += len(opened)
-                    counts += np.bincount(opened, minlength=n)
+                        ring = [(b, e) for b, e in zip(lo[r], hi[r]) if b < e]
+                    size = sum(e - b for b, e in ring)
+                    self.touched += int(size)
+                    if size > DENSE * n * LINES:
+                        counts = self.collisions(lo[r], hi[r]).astype(np.int64)
+                    elif ring:
+                        counts += np.bincount(np.concatenate([self.order[b:e] for b, e in ring]), minlength=n)
                     new = np.flatnonzero((counts >= need) & ~seen)
                     self.verified += len(new)
                     seen[new] = True
@@ -127,7 +151,7 @@ class Block:
                     if half[r] >= min(enough, WHOLE):
                         yield int(i), rows, scores
                     else:
-                        held[i] = counts, seen, rows, scores, lo[r].tolist(), hi[r].tolist()
+                        held[i] = counts, seen, rows, scores, lo[r], hi[r]
                         left.append((i, min(half[r] * GROWTH, enough)))
                 batch, half = np.array([i for i, _ in left], int), np.array([w for _, w in left])
 
