@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ancestors, parent_path, segments
+from tessera.functions.text import ancestors, fingerprint, parent_path, segments
 from tessera.operators.rules import BC, NBC, UNMARKED
+from tessera.session import cut
 
 
 def section(missing: Column, own: Column, any_child_nbc: Column) -> Column:
@@ -86,3 +87,69 @@ def uncovered(changes: DataFrame, covered: DataFrame, keyword: str = "keyword",
     left = changes.where(F.col("verdict") == UNMARKED).join(covered.select(keyword).distinct(), keyword, "left_anti")
     rest = [c for c in left.columns if c != keyword]
     return left.groupBy(keyword).agg(F.min_by(F.struct(*rest), order).alias("r")).select(keyword, "r.*")
+
+
+def passes(changes: DataFrame, details: DataFrame) -> DataFrame:
+    """The rows of a report, after all passes in their order.
+
+    changes: change_id, section, keyword, action, verdict, old_path, new_path, old_file,
+    old_line, new_file, new_line. details: change_id, subject, action, old_value,
+    new_value, verdict. Result: section, keyword, kind (added, deleted, changed, renamed,
+    reallocated), verdict, paths, old_file, old_line, new_file, new_line, details (sorted).
+
+    Only the details of one change, and the paths of changes that one place of a file
+    gives, are collected."""
+    shown = F.coalesce("new_path", "old_path")
+    # unmarked details leave a marked change and form one of their own
+    tagged = changes.where(F.col("verdict") != UNMARKED)
+    loose = details.where(F.col("verdict") == UNMARKED).join(tagged.where("action = 'changed'").select("change_id"), "change_id", "left_semi")
+    apart = tagged.join(loose.select("change_id").distinct(), "change_id", "left_semi").withColumn("section", F.lit("unmarked")).withColumn("verdict", F.lit(UNMARKED))
+    rest = details.join(loose.select("change_id").distinct(), "change_id", "left_anti").unionByName(details.where(F.col("verdict") != UNMARKED).join(loose.select("change_id").distinct(), "change_id", "left_semi"))
+    apart_id = F.concat(F.lit("unmarked "), F.col("change_id").cast("string"))
+    changes = changes.withColumn("change_id", F.col("change_id").cast("string")).unionByName(apart.withColumn("change_id", apart_id))
+    details = rest.withColumn("change_id", F.col("change_id").cast("string")).unionByName(loose.withColumn("change_id", apart_id))
+    # a breaking change of conditions all of which are known compatible elsewhere is compatible
+    condition = F.col("subject").isin("when", "must") & (F.col("action") == "changed")
+    marked = details.withColumn("fingerprint", F.when(condition, fingerprint(F.concat_ws("\u0001", "subject", "old_value", "new_value"))))
+    promoted = promote(changes, marked)
+    changes = promoted.withColumn("section", F.when((F.col("section") == "non_compatible") & (F.col("verdict") == BC), "compatible").otherwise(F.col("section")))
+    # details that change nothing go, and then changes without any
+    details = drop_noops(details)
+    left = details.select("change_id").distinct()
+    moved = F.col("old_path").isNotNull() & F.col("new_path").isNotNull() & (F.col("old_path") != F.col("new_path"))
+    changes = changes.where((F.col("action") != "changed") | moved).unionByName(changes.where((F.col("action") == "changed") & ~moved).join(left, "change_id", "left_semi"))
+    rows = condense(fix_lines(changes))
+    said = details.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("subject", "action", "old_value", "new_value", "verdict"))).alias("details"))
+    rows = rows.join(said, "change_id", "left").select("*", shown.alias("path"))
+    rows = rows.withColumn("details", F.coalesce("details", F.array().cast("array<struct<subject:string,action:string,old_value:string,new_value:string,verdict:string>>")))
+    # what one place of a file gives at several paths is one row
+    keys = ["section", "keyword", "kind", "verdict", "old_file", "old_line", "new_file", "new_line", "details"]
+    placed = F.col("old_file").isNotNull() | F.col("new_file").isNotNull()
+    one = rows.where(placed).groupBy(*keys, F.element_at(segments(F.col("path")), -1).alias("last")).agg(F.sort_array(F.collect_set("path")).alias("paths")).drop("last")
+    rows = one.unionByName(rows.where(~placed).select(*keys, F.array("path").alias("paths")))
+    return drop_type_noise(drop_covered_rows(cut(rows.withColumn("row", F.monotonically_increasing_id())))).drop("row")
+
+
+def drop_covered_rows(rows: DataFrame) -> DataFrame:
+    """Rows (row, keyword, kind, paths) that only repeat what a row above them says: added
+    and renamed ones with a path below one of their kind; reallocated ones all of whose
+    paths are below reallocated or renamed ones; deleted types, enums and unions below a
+    deleted row, unless they are members of a union or an enumeration."""
+    each = rows.select("row", "keyword", "kind", F.explode("paths").alias("path"))
+    above = each.select("kind", "path").distinct()
+    above = above.unionByName(above.where("kind = 'renamed'").withColumn("kind", F.lit("reallocated"))).distinct()
+    up = each.select("row", "keyword", "kind", "path", F.explode(ancestors(F.col("path"))).alias("a"))
+    covered = up.join(above.select("kind", F.col("path").alias("a")), ["kind", "a"], "left_semi").select("row", "kind", "path", "keyword").distinct()
+    inner = F.col("path").rlike("/(union|enum)/")
+    few = covered.where("kind in ('added', 'renamed')").unionByName(covered.where(F.col("kind").eqNullSafe("deleted") & F.col("keyword").isin("type", "enum", "union") & ~inner)).select("row")
+    whole = covered.where("kind = 'reallocated'").groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(rows.select("row", F.size("paths").alias("all")), "row").where("n = all").select("row")
+    return rows.join(few.unionByName(whole).distinct(), "row", "left_anti")
+
+
+def drop_type_noise(rows: DataFrame) -> DataFrame:
+    """Without the breaking rows below a type (its values, bits, members and patterns) whose
+    own change is compatible: they only spell that change out."""
+    good = rows.where("section = 'compatible' and keyword = 'type' and kind = 'changed'").select("details", F.explode("paths").alias("a")).where(F.exists("details", lambda d: d["subject"] == "name")).select("a").distinct()
+    below = rows.where("section = 'non_compatible' and keyword in ('enum', 'bit', 'type')").select("row", F.explode("paths").alias("path"))
+    noise = below.join(good, parent_path(F.col("path")) == F.col("a"), "left_semi").select("row").distinct()
+    return rows.join(noise, "row", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BC, NBC, CONDITIONAL, UNMARKED = "backward-compatible", "non-backward-compatible", "conditional-backward-compatible", "[UNMARKED]"
@@ -22,7 +22,8 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
     change (relaxed, narrowed, ... or null). rules: ord, rule_id, subject, parents
     (array, null for any), action, parent_action, value, from_value, to_value, relaxed
     (boolean), verdict, verdict_strict and, optionally, same (boolean: the change has or
-    has not to be an equivalent one); a null condition holds always.
+    has not to be an equivalent one); a null condition holds always. Rules with
+    ``assistance`` hand it on (false where none fits).
 
     The least fitting order is an aggregate over the key (min_by), not a sort; the rules
     are broadcast when counted small."""
@@ -42,27 +43,30 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
     )
     if "same" in rules.columns:
         fits = fits & (none("same") | (F.col("change").eqNullSafe(F.lit("equivalent")) == F.col("r_same")))
-    found = details.join(r, fits).groupBy(key).agg(F.min_by(F.struct(F.col("r_rule_id").alias("rule_id"), mode_verdict(F.col("r_verdict"), F.col("r_verdict_strict"), mode).alias("verdict")), "r_ord").alias("m"))
-    return details.join(found, key, "left").select(*details.columns, F.col("m.rule_id").alias("rule_id"), F.coalesce("m.verdict", F.lit(UNMARKED)).alias("verdict"))
+    extra = ["assistance"] if "assistance" in rules.columns else []
+    found = details.join(r, fits).groupBy(key).agg(F.min_by(F.struct(F.col("r_rule_id").alias("rule_id"), mode_verdict(F.col("r_verdict"), F.col("r_verdict_strict"), mode).alias("verdict"), *[F.col(f"r_{c}").alias(c) for c in extra]), "r_ord").alias("m"))
+    return details.join(found, key, "left").select(*details.columns, F.col("m.rule_id").alias("rule_id"), F.coalesce("m.verdict", F.lit(UNMARKED)).alias("verdict"), *[F.coalesce(f"m.{c}", F.lit(False)).alias(c) for c in extra])
 
 
 def settle_conditional(rows: DataFrame, change: str = "change_id", verdict: str = "verdict", is_parent: str = "is_parent") -> DataFrame:
-    """A conditional parent is compatible if all its details are; other rows stay."""
-    w = Window.partitionBy(change)
-    fine = F.min(F.when(F.col(is_parent), F.lit(None)).otherwise((F.col(verdict) == BC).cast("int"))).over(w)
-    return rows.withColumn(verdict, F.when(F.col(is_parent) & (F.col(verdict) == CONDITIONAL), F.when(F.coalesce(fine, F.lit(1)) == 1, BC).otherwise(NBC)).otherwise(F.col(verdict)))
+    """A conditional parent is compatible if all its details are; other rows stay. The
+    details are aggregated with partial results and joined to the parents, so a change
+    with any number of details is no task of its own."""
+    fine = rows.where(~F.col(is_parent)).groupBy(change).agg(F.bool_and(F.coalesce(F.col(verdict) == BC, F.lit(False))).alias("__fine"))
+    both = rows.join(fine.withColumnRenamed(change, "__c"), F.col(change) == F.col("__c"), "left")
+    settled = F.when(F.col(is_parent) & (F.col(verdict) == CONDITIONAL), F.when(F.coalesce("__fine", F.lit(True)), BC).otherwise(NBC)).otherwise(F.col(verdict))
+    return both.withColumn(verdict, settled).select(*rows.columns)
 
 
 def propagate(rows: DataFrame, change: str = "change_id", action: str = "action", verdict: str = "verdict", is_parent: str = "is_parent") -> DataFrame:
     """A deleted breaking parent breaks every marked detail; a breaking parent whose
-    details all are compatible breaks those. One window over the change."""
-    w = Window.partitionBy(change)
-    parent_nbc = F.max((F.col(is_parent) & (F.col(verdict) == NBC)).cast("int")).over(w) == 1
-    parent_gone = F.max((F.col(is_parent) & (F.col(action) == "deleted")).cast("int")).over(w) == 1
-    child_nbc = F.max((~F.col(is_parent) & (F.col(verdict) == NBC)).cast("int")).over(w) == 1
-    marked = F.col(verdict) != UNMARKED
-    breaks = ~F.col(is_parent) & marked & parent_nbc & (parent_gone | (~child_nbc & (F.col(verdict) == BC)))
-    return rows.withColumn(verdict, F.when(breaks, NBC).otherwise(F.col(verdict)))
+    details all are compatible breaks those. One aggregate over the change."""
+    nbc = F.col(verdict) == NBC
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    marks = rows.groupBy(change).agg(some(F.col(is_parent) & nbc).alias("__nbc"), some(F.col(is_parent) & (F.col(action) == "deleted")).alias("__gone"), some(~F.col(is_parent) & nbc).alias("__child"))
+    both = rows.join(marks.where("__nbc").withColumnRenamed(change, "__c"), F.col(change) == F.col("__c"), "left")
+    breaks = ~F.col(is_parent) & (F.col(verdict) != UNMARKED) & F.col("__nbc") & (F.col("__gone") | (~F.col("__child") & (F.col(verdict) == BC)))
+    return both.withColumn(verdict, F.when(breaks, NBC).otherwise(F.col(verdict))).select(*rows.columns)
 
 
 def clone_rules(rules: DataFrame, similar: str, keyword: str) -> DataFrame:

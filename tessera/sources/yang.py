@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
-from tessera.functions.text import strip_prefixes
+from tessera.functions.text import ancestors, strip_prefixes
 from tessera.session import cut, ship
 
 _TOKEN = re.compile(
@@ -170,6 +170,15 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
             return f"{module_of[None]}:{local}"
         return f"{module_of[prefix]}:{local}" if prefix in module_of else f"?{name}"
 
+    def aim(s: Statement, parent: Statement | None) -> str | None:
+        """The node that a deviation, or a part of it, is about: module/path without prefixes."""
+        owner = s if s.keyword == "deviation" else parent
+        if s.prefix or owner is None or owner.keyword != "deviation" or not owner.arg:
+            return None
+        steps = [x for x in owner.arg.split("/") if x]
+        head = target(steps[0]).rpartition(":")[0].lstrip("?") if steps else ""
+        return "/".join([head, *(x.rpartition(":")[2] for x in steps)])
+
     def described(s: Statement) -> str | None:
         if s.prefix:
             return None
@@ -195,7 +204,7 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
         inside = f"{rel}/{seg}" if rel else seg if grouping else None
         me = len(nodes)
         type_name = s.arg if s.keyword == "type" else s.first("type")
-        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s)))
+        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s), aim(s, parent)))
         if s.arg is not None:
             props.append((file, me, "attribute", "name", 0, s.arg))
         count: dict[str, int] = {}
@@ -267,8 +276,8 @@ def nodes(files: DataFrame) -> DataFrame:
                 for _, i, k, name, pos, v in props:
                     by.setdefault(i, []).append({"kind": k, "field": name, "pos": pos, "value": v})
                 rows = [(*n, by.get(n[2], [])) for n in found]
-                cols = list(zip(*rows)) if rows else [[]] * 13
-                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, _S, kind]
+                cols = list(zip(*rows)) if rows else [[]] * 14
+                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, _S, _S, kind]
                 names = [x.split()[0] for x in model.NODE.split(", ")] + ["props"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
 
@@ -287,7 +296,7 @@ def expand_uses(rows: DataFrame) -> DataFrame:
     while True:
         made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
-            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.col("g_props").alias("props"), "chain",
+            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.lit(None).cast("string").alias("target"), F.col("g_props").alias("props"), "chain",
         ))
         if not made.limit(1).count():
             return reduce(DataFrame.unionByName, out)
@@ -338,14 +347,24 @@ def with_definitions(types: DataFrame, known: DataFrame, key: str = "type_json")
 
 
 def apply_deviations(rows: DataFrame) -> DataFrame:
-    """Nodes without those that a deviation marks as not supported, or what is below them."""
-    target = strip_prefixes(F.regexp_replace("path", "/deviate[^/]*$|/not-supported$", ""))
-    gone = rows.where((F.col("keyword") == "deviate") & (F.col("name") == "not-supported")).select(target.alias("gone"))
-    from tessera.functions.text import ancestors, strip_prefixes as strip
-
-    up = rows.select(F.col("path").alias("p"), F.explode(F.concat(ancestors(strip(F.col("path"))), F.array(strip(F.col("path"))))).alias("a"))
+    """Nodes as the deviations leave them. not-supported takes a node and what is below it
+    away; add appends properties, replace gives those of the same name other values, and
+    delete takes away properties of the same name and value. Targets are known by module
+    and path; of several deviations of one node all properties count."""
+    path = strip_prefixes(F.col("path"))
+    marks = rows.where((F.col("keyword") == "deviate") & F.col("target").isNotNull())
+    gone = marks.where("name = 'not-supported'").select(F.col("target").alias("gone")).distinct()
+    up = rows.select(F.col("path").alias("p"), F.explode(F.concat(ancestors(path), F.array(path))).alias("a"))
     hit = up.join(gone, F.col("a") == F.col("gone"), "left_semi").select("p").distinct()
-    return rows.where(F.col("keyword").isin("deviation", "deviate")).unionByName(rows.where(~F.col("keyword").isin("deviation", "deviate")).join(hit, F.col("path") == F.col("p"), "left_anti"))
+    own = rows.where(F.col("keyword").isin("deviation", "deviate"))
+    kept = rows.where(~F.col("keyword").isin("deviation", "deviate")).join(hit, F.col("path") == F.col("p"), "left_anti")
+    said = F.filter("props", lambda p: p["field"] != "name")
+    changes = marks.where("name in ('add', 'replace', 'delete')").groupBy("target").agg(*[F.flatten(F.collect_list(F.when(F.col("name") == kind, said))).alias(f"__{kind}") for kind in ("add", "replace", "delete")])
+    both = kept.join(changes.withColumnRenamed("target", "__target"), path == F.col("__target"), "left")
+    same = lambda p, of: F.exists(F.col(of), lambda q: q["field"] == p["field"])
+    left = F.filter("props", lambda p: ~same(p, "__replace") & ~F.exists("__delete", lambda q: (q["field"] == p["field"]) & q["value"].eqNullSafe(p["value"])))
+    props = F.when(F.col("__target").isNull(), F.col("props")).otherwise(F.concat(left, "__replace", "__add"))
+    return own.unionByName(both.withColumn("props", props).select(*rows.columns))
 
 
 def typedefs(stmts: DataFrame) -> DataFrame:
