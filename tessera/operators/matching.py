@@ -123,6 +123,24 @@ def _tied(ranked: DataFrame) -> DataFrame:
     return at(ls, "l").join(at(rs, "r"), [*key, "at"]).select("l", "r")
 
 
+def items_by_name(old: DataFrame, new: DataFrame, owner: str, name: str, items: str, least: float = 55.0) -> DataFrame:
+    """owner, old_name, new_name, action of the items of lists. Items of an owner meet by
+    name; of the others the greedy choice by the similarity of ``items`` (an array), from
+    ``least`` on; the rest is added or deleted. Names are distinct in an owner."""
+    o = old.select(owner, F.col(name).alias("old_name"), F.col(items).alias("a"))
+    n = new.select(owner, F.col(name).alias("new_name"), F.col(items).alias("b"))
+    named = o.withColumn("name", F.col("old_name")).join(n.withColumn("name", F.col("new_name")), [owner, "name"], "full_outer")
+    met = named.where("old_name is not null and new_name is not null").select(owner, "old_name", "new_name", F.when(F.array_sort("a") == F.array_sort("b"), "unchanged").otherwise("changed").alias("action"))
+    side = lambda c, v: named.where(F.col("new_name" if c == "old_name" else "old_name").isNull()).select(F.col(owner).alias("kind"), F.col(c).alias("name"), F.col(v).alias("items"))
+    gone, came = cut(side("old_name", "a")), cut(side("new_name", "b"))
+    pairs = candidates(gone, came, "kind", "name", "items", least / 100)
+    key = lambda s: F.concat_ws("\u0001", F.col(f"{s}_kind").cast("string"), f"{s}_name")
+    scored = pairs.select(key("o").alias("o"), key("n").alias("n"), F.col("o_kind").alias(owner), F.col("o_name").alias("old_name"), F.col("n_name").alias("new_name"), F.round(jaccard(F.col("o_items"), F.col("n_items")), 6).alias("score")).where(F.col("score") >= least)
+    taken = cut(greedy_assign(scored, "o", "n", "score").select(owner, "old_name", "new_name", F.lit("changed").alias("action")))
+    left = lambda df, c, action: df.select(F.col("kind").alias(owner), F.col("name").alias(c)).join(taken.select(owner, c), [owner, c], "left_anti").select(owner, *[(F.col(x) if x == c else F.lit(None).cast("string")).alias(x) for x in ("old_name", "new_name")], F.lit(action).alias("action"))
+    return met.unionByName(taken).unionByName(left(gone, "old_name", "deleted")).unionByName(left(came, "new_name", "added"))
+
+
 def child_pairs(parents: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
     """(old_path, new_path) of nodes below a paired parent with the same suffix: each
     deleted node takes its nearest paired ancestor. Ancestors are listed and joined by

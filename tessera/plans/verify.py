@@ -44,6 +44,17 @@ def verify(details: DataFrame, verifier: Verifier | None = None) -> DataFrame:
     return asked.withColumn("outcome", outcome(static_decision(F.col("change")), F.col("decision"), F.col("verdict")))
 
 
+def lookup(details: DataFrame, given: DataFrame) -> DataFrame:
+    """details with the decision and explanation that ``given`` (subject, old_value,
+    new_value, decision, explanation) has for the same change, and the outcome. Of several
+    decisions for a change the least counts; what was never given stays unverified."""
+    keys = ["subject", "old_value", "new_value"]
+    once = given.groupBy(*keys).agg(F.min(F.struct("decision", "explanation")).alias("__said")).select(*[F.col(c).alias(f"__{c}") for c in keys], "__said")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    out = details.join(once, same, "left").select(*details.columns, F.col("__said.decision").alias("decision"), F.col("__said.explanation").alias("explanation"))
+    return out.withColumn("outcome", outcome(static_decision(F.col("change")), F.col("decision"), F.col("verdict")))
+
+
 def learn_rules(table: DataFrame, unmarked: DataFrame, nearest: Callable[[str], str | None], log_path: str | None = None) -> DataFrame:
     """The rule table with, for each keyword without rules, the rules of the keyword that
     ``nearest`` names. The keywords are those of a report, few by nature. Attempts are

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import generic
+from tessera.plans import generic, modules  # noqa: F401  (modules registers its queries)
 
 
 @pytest.fixture(scope="module")
