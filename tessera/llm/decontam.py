@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -89,9 +89,10 @@ def report(text: str | None, n_words: int, found: list[tuple[int, int, tuple]])
     return int(on.sum()), sorted({str(x) for _, _, items in found for x in items}), spans
 
 
-_FOUND = "n_words long, found array<struct<i:int,k:int,items:array<string>>>"
+_FOUND = "array<struct<i:int,k:int,items:array<string>>>"
 _SPOT = pa.struct([("i", pa.int32()), ("k", pa.int32()), ("items", pa.list_(pa.string()))])
-_REPORT = "n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
+_REPORT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
 #: The automaton that a worker holds: one at a time.
 _HELD: dict[str, Matcher] = {}
@@ -113,36 +114,41 @@ class Group:
         return _HELD[self.name].scan(text)
 
 
-def _groups(benchmark: DataFrame, size: int, limit: int) -> Iterator[Group]:
-    """Groups of the items, of ``limit`` windows as expected; made one after the other."""
+def _groups(benchmark: DataFrame, size: int, limit: int) -> Iterator[tuple[Group, bool]]:
+    """Groups of the items, of ``limit`` windows as expected, made one after the other,
+    and whether each is the last."""
     # words have a character and a space at least, so no text has more windows than this
     most = benchmark.agg(F.sum(F.ceil((F.length("text") + 1) / 2))).first()[0] or 0
     n = max(1, math.ceil(most / 2 / limit))
     for i in range(n):
-        yield Group(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else benchmark, size)
+        yield Group(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else benchmark, size), i == n - 1
 
 
-def _scanner(group: Group) -> Callable[[Column], Column]:
+def _spots(found: Iterable[dict]) -> list[tuple[int, int, list[str]]]:
+    return [(x["i"], x["k"], list(x["items"])) for x in found]
+
+
+def _scanner(group: Group) -> Callable[[Column, Column], Column]:
+    """What was found before, and what the group finds in a text."""
+
     @F.pandas_udf(_FOUND)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = [group.scan(t) for t in texts]
-        spots = pa.array([[{"i": i, "k": k, "items": [str(x) for x in items]} for i, k, items in found] for _, found in rows], pa.list_(_SPOT))
-        return pd.DataFrame({"n_words": [n for n, _ in rows], "found": spots.to_pandas()})
+    def scan(texts: pd.Series, before: pd.Series) -> pd.Series:
+        out = [[*b, *({"i": i, "k": k, "items": [str(x) for x in items]} for i, k, items in group.scan(t)[1])] for t, b in zip(texts, before)]
+        return pa.array(out, pa.list_(_SPOT)).to_pandas()
 
     return scan
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> DataFrame:
-    """``docs`` with __n_words and __found, the matches of all groups."""
+def _before_last(docs: DataFrame, benchmark: DataFrame, size: int, limit: int) -> tuple[DataFrame, Group]:
+    """``docs`` with __found, the matches of all groups but the last, and the last group."""
     ship(docs.sparkSession)
-    rows, first = docs, True
-    for group in _groups(benchmark, size, limit):
-        if not first:
-            rows = cut(rows)  # a pass at a time, so that a worker has one automaton
-        rows = rows.withColumn("__got", _scanner(group)(F.col("text")))
-        every = F.col("__got.found") if first else F.concat("__found", "__got.found")
-        rows, first = rows.withColumn("__n_words", F.col("__got.n_words")).withColumn("__found", every).drop("__got"), False
-    return rows
+    rows = docs.withColumn("__found", F.array().cast(_FOUND))
+    for group, last in _groups(benchmark, size, limit):
+        if last:
+            return rows, group
+        # written, so that a worker has one automaton at a time
+        rows = cut(rows.withColumn("__found", _scanner(group)("text", "__found")))
+    raise AssertionError("there is a last group")
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
@@ -159,15 +165,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     give no window, and rows with a null item_id are named "null". Repeated rows keep
     their rows. An empty benchmark hits nothing; an empty table gives no rows. Other
     columns are ignored, whatever their names."""
-    rows = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, size, max_windows)
-
-    @F.pandas_udf(_REPORT)
-    def told(texts: pd.Series, sizes: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = [report(t, n, [(x["i"], x["k"], x["items"]) for x in spots]) for t, n, spots in zip(texts, sizes, found)]
-        spans = pa.array([[{"start": a, "stop": z} for a, z in spans] for _, _, spans in out], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-        return pd.DataFrame({"n_hit": [k for k, _, _ in out], "items": [items for _, items, _ in out], "spans": spans.to_pandas()})
-
-    out = rows.withColumn("told", told("text", "__n_words", "__found")).select("doc_id", F.col("__n_words").alias("n_words"), "told.*")
+    rows, group = _before_last(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, size, max_windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t, before in zip(*(c.to_pylist() for c in b.columns)):
+                n, found = group.scan(t)
+                hit, items, spans = report(t, n, [*_spots(before), *found])
+                rows.append({"doc_id": i, "n_words": n, "n_hit": hit, "items": items, "spans": [{"start": a, "stop": z} for a, z in spans]})
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    out = rows.select("doc_id", "text", "__found").mapInArrow(run, f"doc_id long, {_REPORT}")
     return out.select(
         "doc_id",
         "n_words",
@@ -183,11 +192,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def gone(texts: pd.Series, sizes: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([contaminated(n, report(t, n, [(x["i"], x["k"], x["items"]) for x in spots])[0]) for t, n, spots in zip(texts, sizes, found)], dtype=bool)
+    rows, group = _before_last(docs, benchmark, size, max_windows)
 
-    return _found(docs, benchmark, size, max_windows).where(~gone("text", "__n_words", "__found")).drop("__n_words", "__found")
+    @F.pandas_udf("boolean")
+    def gone(texts: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for t, b in zip(texts, before):
+            n, found = group.scan(t)
+            out.append(contaminated(n, report(t, n, [*_spots(b), *found])[0]))
+        return pd.Series(out, dtype=bool)
+
+    return rows.where(~gone("text", "__found")).drop("__found")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

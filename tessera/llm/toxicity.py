@@ -32,7 +32,7 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled rows that the lexicon is learned from, as expected number.
 MAX_TRAIN = 20_000
 #: Terms that a task counts before it hands its counts on.
-HELD_TERMS = 200_000
+HELD_TERMS = 50_000
 #: The log-likelihood beyond chance that a term needs: that of one in a million terms and
 #: some more. All terms that have it are looked at.
 LEAST_GAIN = math.log(1e6) + 3
