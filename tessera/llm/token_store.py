@@ -55,6 +55,7 @@ _PLAIN = re.compile(r"[\t-\r -~\xa0-ɏ]*")
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(b) if b in _PRINTABLE else chr(256 + b - sum(x < b for x in _PRINTABLE)) for b in range(256)}
+_ONE = struct.Struct("<I").pack
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -63,20 +64,25 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.merge, self.pieces = tokenizer.model.tokenize, {}
+        self.merge = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
-        out = b""
-        for p in _PRE_TOKEN.findall(word):
-            ids = self.pieces.get(p)
-            if ids is None:
-                shown = p if p.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, p.encode("utf-8")))
-                t = self.merge(shown)
-                ids = self.pieces[p] = struct.pack(f"<{len(t)}I", *(x.id for x in t))
-            out += ids
+        if word.isalpha() and word.isascii():  # one pre-token
+            out = self._merged(word)
+        else:
+            get, out = self.get, b""
+            for p in _PRE_TOKEN.findall(word):
+                ids = get(p)  # a pre-token is a word that has no other
+                if ids is None:
+                    ids = self[p] = self._merged(p if p.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, p.encode("utf-8"))))
+                out += ids
         self[word] = out
         return out
 
+    def _merged(self, shown: str) -> bytes:
+        t = self.merge(shown)
+        return _ONE(t[0].id) if len(t) == 1 else struct.pack(f"<{len(t)}I", *[x.id for x in t])
+
 
 class Encoder:
     """Ids by a tokenizer file. Where it lower-cases, splits by _PRE_TOKEN and works on
@@ -123,7 +129,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) + len(self.words.pieces) > CACHE:
+        if len(self.words) > CACHE:
             self.words = _Words(self.tokenizer)
         get = self.words.__getitem__
         out = []
