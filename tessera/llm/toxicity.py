@@ -252,7 +252,10 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     ship(spark)
     # labels are at most a few tens of thousands: sampled_labels bounds them
     own = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null").join(F.broadcast(labels.select("doc_id", "y")), F.col("id") == F.col("doc_id"))
-    own = cut(own.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y"))
+    own = cut(own.select("id", "y", "text"))
+    if own.groupBy("id").count().where("count > 1").limit(1).count():
+        own = cut(own.groupBy("id", "y").agg(F.min("text").alias("text")))
+    own = own.select("text", "y")
 
     def counted(seen: list[Counter], rows: list[int]) -> pa.RecordBatch:
         keys = list(seen[0].keys() | seen[1].keys())
