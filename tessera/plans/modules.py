@@ -400,7 +400,7 @@ def condition_matrix(spark, d):
     """SELECT p_partkey, CASE WHEN o IS NULL OR n IS NULL THEN 'needs-analysis' WHEN NOT o AND NOT n THEN 'equivalent' WHEN NOT o THEN 'relaxed' WHEN NOT n THEN 'narrowed' WHEN p_size % 2 = 0 THEN 'equivalent' ELSE 'narrowed' END AS change
 FROM (SELECT p_partkey, p_size, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS o, CASE p_partkey // 3 % 3 WHEN 0 THEN true WHEN 1 THEN false END AS n FROM part)"""
 )
-def operand_validity(spark, d):
+def condition_operands(spark, d):
     """Every cell of the matrix of operands that are valid, invalid or unknown."""
     ok = lambda c: F.when(c == 0, True).when(c == 1, False)
     k = F.col("p_partkey")
