@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -317,6 +318,35 @@ def test_token_counts_match_a_library():
     assert all(mine.counts[w] == len(lib.encode("▁" + w).ids) for w in words)
 
 
+def test_prefixes_are_scored_once(monkeypatch):
+    rng = random.Random(9)
+    scores = {c: -8.0 - i * 0.37 for i, c in enumerate("▁abc")} | {"".join(rng.choice("abc") for _ in range(3)): -rng.random() * 9 for _ in range(12)}
+    model, made = token_counts.Pieces(scores), []
+    forward = model._forward
+    model._forward = lambda text, end, *rest: made.append(text[:end]) or forward(text, end, *rest)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(400)}
+    for part in (set(sorted(words)[::2]), words):
+        model.add(part)
+    assert sorted(made) == sorted({("▁" + w)[:i] for w in words for i in range(1, len(w) + 2)})
+    want = {w: slow_count(w, scores) for w in words}
+    assert model.counts == want
+    monkeypatch.setattr(token_counts, "NODES", 5)  # planted anew again and again
+    again = token_counts.Pieces(scores)
+    again.add(words)
+    assert again.counts == want and len(again.best) < 20
+
+
+def test_long_pre_tokens_are_scored_alone(monkeypatch):
+    rng = random.Random(10)
+    scores = {c: -8.0 - i * 0.37 for i, c in enumerate("▁abc")} | {"".join(rng.choice("abc") for _ in range(4)): -rng.random() * 9 for _ in range(30)}
+    model = token_counts.Pieces(scores)
+    words = {"".join(rng.choice("abcé") for _ in range(n)) for n in (998, 999, 1000, 5000)}
+    model.add(words)
+    assert model.counts == {w: slow_count(w, scores) for w in words} and len(model.best) < 2000
+    assert token_counts.by_rank({"a": -3.0, "b": 0.0}) == {"a": -math.log(4), "b": 0.0}
+    assert token_counts.by_rank({"a": -3.5, "b": 0.0}) == {"a": -3.5, "b": 0.0}
+
+
 # --- token store -------------------------------------------------------------
 
 
