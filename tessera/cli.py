@@ -25,6 +25,10 @@ def main(args: list[str] | None = None) -> int:
     q.add_argument("--category")
     q = sub.add_parser("check-rules")
     q.add_argument("rules")
+    q = sub.add_parser("add-rules", help="give a keyword the rules of a similar one")
+    q.add_argument("rules")
+    q.add_argument("keyword")
+    q.add_argument("--like", required=True)
     a = p.parse_args(args)
     if a.command == "check-rules":
         from tessera.sources.rules_xml import problems
@@ -33,6 +37,17 @@ def main(args: list[str] | None = None) -> int:
             found = problems(f.read())
         print("\n".join(found) or "no problems")
         return int(bool(found))
+    if a.command == "add-rules":
+        from tessera.sources.rules_xml import save, with_clones
+
+        with open(a.rules) as f:
+            before = f.read()
+        after = with_clones(before, a.like, a.keyword)
+        if after == before:
+            print(f"no rules of {a.like} to copy, or {a.keyword} has its own")
+            return 1
+        print(f"written; the former file is {save(after, a.rules)}")
+        return 0
 
     from pyspark.sql import SparkSession
 

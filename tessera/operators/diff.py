@@ -72,3 +72,39 @@ def list_change(old: Column, new: Column, ordered: bool) -> Column:
     gone, came = F.size(F.array_except(old, new)) > 0, F.size(F.array_except(new, old)) > 0
     same = (old == new) if ordered else ~(gone | came)
     return F.when(same, UNCHANGED).when(gone, "narrowed").when(came, "expanded").otherwise("reordered")
+
+
+def list_verdict(old: Column, new: Column, deleted: Column, added: Column) -> Column:
+    """Verdict on a constraint that is a list: that for deleted items where any went, else
+    that for added ones where any came, else compatible. A missing list has no items."""
+    none = F.array().cast("array<string>")
+    o, n = F.coalesce(old, none), F.coalesce(new, none)
+    gone, came = F.size(F.array_except(o, n)) > 0, F.size(F.array_except(n, o)) > 0
+    return F.when(gone, F.coalesce(deleted, F.lit("non-backward-compatible"))).when(came, F.coalesce(added, F.lit("backward-compatible"))).otherwise("backward-compatible")
+
+
+def item_changed(old: Column, new: Column) -> Column:
+    """Whether an item of a list differs by more than prefixes."""
+    bare = lambda v: F.regexp_replace(v, r"[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "")
+    return ~bare(old).eqNullSafe(bare(new))
+
+
+def definition_diff(old_refs: DataFrame, new_refs: DataFrame, old_defs: DataFrame, new_defs: DataFrame, owner: list[str], name: str, entries: str) -> DataFrame:
+    """Enumeration or bit entries that differ between what the old name and what the new
+    name stand for, though the names may be equal: each reference (owner, name) takes the
+    entries of its own version's definition (name, entries). Only owners that both
+    versions have, with a known definition on both sides."""
+    held = lambda refs, defs: refs.select(*owner, name).join(defs.select(name, entries), name).select(*owner, entries)
+    o, n = held(old_refs, old_defs), held(new_refs, new_defs)
+    return symbolic_diff(o.join(n.select(*owner), owner, "left_semi"), n.join(o.select(*owner), owner, "left_semi"), owner, entries)
+
+
+def without_type(attributes: Column) -> Column:
+    """A map of attributes without ``type``, which is compared on its own."""
+    return F.map_filter(attributes, lambda k, _: k != "type")
+
+
+def rebind(file: Column, line: Column, when_file: Column, when_line: Column) -> tuple[Column, Column]:
+    """File and line of a node whose condition was refined in another file: the condition's."""
+    moved = when_file.isNotNull() & ~when_file.eqNullSafe(file)
+    return F.when(moved, when_file).otherwise(file), F.when(moved, when_line).otherwise(line)

@@ -45,3 +45,13 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = N
         new = new.join(done.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
         done, k = cut(done.unionByName(new)), 2 * k
     return done
+
+
+def terminals(nodes: DataFrame, id_col: str, to_col: str, value: str) -> DataFrame:
+    """(id, terminal, value): where each node that points to another one ends up, and the
+    value there. A node with a null pointer is an end; who runs in a circle or into
+    nothing has none."""
+    links = nodes.where(F.col(to_col).isNotNull())
+    ends = nodes.where(F.col(to_col).isNull()).select(F.col(id_col).alias("terminal"), F.col(value))
+    far = closure(links, id_col, to_col).join(ends, F.col("ancestor") == F.col("terminal")).select("child", "terminal", value)
+    return links.select(F.col(id_col)).join(far, F.col(id_col) == F.col("child"), "left").select(id_col, "terminal", value)

@@ -153,3 +153,11 @@ def child_pairs(parents: DataFrame, deleted: DataFrame, added: DataFrame) -> Dat
     return want.join(added.select(F.col("path").alias("new_path")).distinct(), "new_path", "left_semi").select(F.col("path").alias("old_path"), "new_path")
 
 
+def drop_aliases(changes: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:
+    """Without the added rows whose keys (nulls are alike) are those of a row that is
+    matched already: a definition that several places use is one statement of a file."""
+    seen = matched.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.col("action") == "added"
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return changes.join(seen, same, "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ancestors, fingerprint, parent_path, segments
+from tessera.operators.graph import closure
 from tessera.operators.rules import BC, NBC, UNMARKED
 from tessera.session import cut
 
@@ -153,3 +154,26 @@ def drop_type_noise(rows: DataFrame) -> DataFrame:
     below = rows.where("section = 'non_compatible' and keyword in ('enum', 'bit', 'type')").select("row", F.explode("paths").alias("path"))
     noise = below.join(good, parent_path(F.col("path")) == F.col("a"), "left_semi").select("row").distinct()
     return rows.join(noise, "row", "left_anti")
+
+
+def enclosing(lines: DataFrame, report: str = "report", at: str = "line", level: str = "level") -> DataFrame:
+    """``lines`` with ``parent``, the nearest line before of a lower level in the same
+    report (null: none). Levels are as few as a tree is deep, and each is one running
+    maximum. A report here is one change with its lines, not a whole file of them."""
+    before = Window.partitionBy(report).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    levels = [r[0] for r in lines.select(level).where(F.col(level).isNotNull()).distinct().orderBy(level).collect()]  # a row a level
+    nearest = F.lit(None).cast(lines.schema[at].dataType)
+    for low in levels[1:]:
+        nearest = F.when(F.col(level) == low, F.max(F.when(F.col(level) < low, F.col(at))).over(before)).otherwise(nearest)
+    return lines.withColumn("parent", nearest)
+
+
+def contexts(lines: DataFrame, report: str = "report", at: str = "line", level: str = "level", name: str = "name") -> DataFrame:
+    """(report, line, context): the names of the lines that enclose each one, from the
+    outermost, joined by slashes; empty where nothing does."""
+    placed = enclosing(lines, report, at, level).select(report, at, name, "parent")
+    edges = placed.where("parent is not null").select(F.struct(report, at).alias("c"), F.struct(F.col(report), F.col("parent").alias(at)).alias("p"))
+    names = placed.select(F.struct(report, at).alias("ancestor"), F.col(name).alias("n"))
+    held = closure(edges, "c", "p").join(names, "ancestor").groupBy("child").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "n"))).alias("up"))
+    joined = F.array_join(F.transform("up", lambda x: x["n"]), "/")
+    return placed.join(held, F.struct(report, at) == F.col("child"), "left").select(report, at, F.coalesce(joined, F.lit("")).alias("context"))

@@ -80,3 +80,10 @@ def clone_rules(rules: DataFrame, similar: str, keyword: str) -> DataFrame:
 def unresolved(references: DataFrame, names: DataFrame, reference: str, name: str) -> DataFrame:
     """Rows whose reference names nothing."""
     return references.join(names.select(F.col(name).alias("__n")), F.col(reference) == F.col("__n"), "left_anti")
+
+
+def rules_for(rules: DataFrame, keyword: str) -> DataFrame:
+    """(rule_id, text): the rules that name a keyword, as text, with all actions of each."""
+    action = F.concat(F.col("action"), F.when(F.col("parent_action").isNotNull(), F.concat(F.lit(" (parent="), "parent_action", F.lit(")"))).otherwise(""))
+    each = rules.where(F.col("subject") == keyword).groupBy("rule_id", "kind", "verdict").agg(F.array_join(F.sort_array(F.collect_set(action)), ", ").alias("actions"))
+    return each.select("rule_id", F.format_string("Rule ID: %s\nCategory: %s\nActions: %s\nCompatible: %s", "rule_id", "kind", "actions", "verdict").alias("text"))

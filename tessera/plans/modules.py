@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import conditions, text, types, xpath
-from tessera.operators import diff, graph, matching, retrieval
+from tessera.operators import diff, graph, matching, report, retrieval, rules
 from tessera.plans import retriever, schema_diff, verify
 from tessera.plans.generic import query
 from tessera.sources import loaders, reports, rules_xml, yang
@@ -530,3 +530,141 @@ def verdict_lookup(spark, d):
     out = verify.lookup(rows, said)
     final = F.coalesce(verify.static_decision(F.col("change")), F.col("decision"))
     return out.select("o_orderkey", final.alias("decision"), "outcome")
+
+
+# --- list items, types, reports ------------------------------------------------------------
+
+
+@query(
+    """WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS o FROM part),
+b AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN list_reverse(o) WHEN 1 THEN o[2:] WHEN 2 THEN list_append(o, 'x' || p_partkey) ELSE list_append(o[2:], 'new') END AS n FROM a),
+c AS (SELECT p_partkey, NOT list_has_all(n, o) AS gone, NOT list_has_all(o, n) AS came FROM b)
+SELECT p_partkey, CASE WHEN gone THEN 'breaks' WHEN came THEN 'fits' ELSE 'backward-compatible' END AS verdict, CASE WHEN gone THEN 'non-backward-compatible' ELSE 'backward-compatible' END AS unruled FROM c"""
+)
+def list_constraint(spark, d):
+    """Lists as constraints: an item that went decides before one that came."""
+    old = F.split(F.col("p_name"), " ")
+    came, gone = F.array_append(old, F.concat(F.lit("x"), F.col("p_partkey").cast("string"))), F.slice(old, 2, 100)
+    new = F.when(F.col("p_partkey") % 4 == 0, F.reverse(old)).when(F.col("p_partkey") % 4 == 1, gone).when(F.col("p_partkey") % 4 == 2, came).otherwise(F.array_append(gone, "new"))
+    none = F.lit(None).cast("string")
+    return table(spark, d, "part").select("p_partkey", diff.list_verdict(old, new, F.lit("breaks"), F.lit("fits")).alias("verdict"), diff.list_verdict(old, new, none, none).alias("unruled"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 2 AS changed FROM customer")
+def item_comparison(spark, d):
+    """A new prefix alone is no change of an item."""
+    k = F.col("c_custkey").cast("string")
+    name = lambda p, end: F.concat(F.lit(f"../{p}:box/"), F.lit(f"{p}:n"), k, F.lit(end))
+    new = F.when(F.col("c_custkey") % 3 == 0, name("a", "")).when(F.col("c_custkey") % 3 == 1, name("b", "")).otherwise(name("b", "x"))
+    return table(spark, d, "customer").select("c_custkey", diff.item_changed(name("a", ""), new).alias("changed"))
+
+
+@query(
+    """SELECT 'm/leaf' || p_partkey AS path, e AS name, CASE e WHEN 'late' THEN 'added' WHEN 'early' THEN 'deleted' ELSE 'changed' END AS action,
+CASE e WHEN 'both' THEN 'error' WHEN 'old' THEN 'warning' ELSE 'info' END AS severity FROM part, (VALUES ('late', 0), ('early', 1), ('both', 2), ('old', 3)) v(e, i) WHERE regexp_extract(p_brand, '[0-9]+')::INTEGER % 5 = i AND p_partkey % 7 > 0"""
+)
+def typedef_references(spark, d):
+    """Leaves whose type's name stays while the entries that it stands for change."""
+    part = table(spark, d, "part")
+    refs = part.select(F.concat(F.lit("m/leaf"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("type_name"))
+    i = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int") % 5
+    entry = lambda n, v, s="current": F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), F.lit(s).alias("status"))
+    drop = lambda a: F.filter(a, lambda x: x.isNotNull())
+    common = [entry("both", "1"), entry("old", "2")]
+    old = part.select(F.col("p_brand").alias("type_name"), drop(F.array(*common, F.when(i == 1, entry("early", "3")))).alias("entries")).distinct()
+    fresh = [F.when(i == 2, entry("both", "7")).otherwise(common[0]), F.when(i == 3, entry("old", "2", "deprecated")).otherwise(common[1]), F.when(i == 0, entry("late", "4"))]
+    new = part.select(F.col("p_brand").alias("type_name"), drop(F.array(*fresh)).alias("entries")).distinct()
+    later = refs.join(part.where("p_partkey % 7 = 0").select(F.concat(F.lit("m/leaf"), F.col("p_partkey").cast("string")).alias("path")), "path", "left_anti")
+    return diff.definition_diff(refs, later, old, new, ["path"], "type_name", "entries").select("path", "name", "action", "severity")
+
+
+@query("SELECT p_partkey, map_keys(m) AS keys FROM (SELECT p_partkey, map {'key': p_brand, 'name': p_name} AS m FROM part)")
+def attributes_without_type(spark, d):
+    m = F.create_map(F.lit("name"), "p_name", F.lit("type"), "p_type", F.lit("key"), "p_brand")
+    return table(spark, d, "part").select("p_partkey", F.array_sort(F.map_keys(diff.without_type(m))).alias("keys"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'groups.yang' ELSE 'main.yang' END AS file, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 50 ELSE o_custkey END AS line FROM orders"""
+)
+def condition_source(spark, d):
+    """A node whose condition comes from another file is shown where that stands."""
+    k = F.col("o_orderkey")
+    source = F.when(k % 3 == 1, "groups.yang").when(k % 3 == 2, "main.yang")
+    file, line = diff.rebind(F.lit("main.yang"), F.col("o_custkey"), source, k % 50)
+    return table(spark, d, "orders").select("o_orderkey", file.alias("file"), line.alias("line"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 16 = 15 THEN p_partkey WHEN p_partkey % 8 > 0 THEN p_partkey - 1 WHEN p_partkey % 64 = 0 THEN -9 END AS ref, p_brand FROM part),
+w AS (SELECT id, id AS at, 0 AS hops FROM n UNION ALL SELECT w.id, n.ref, hops + 1 FROM w JOIN n ON w.at = n.id WHERE n.ref IS NOT NULL AND hops < 10)
+SELECT n.id, e.at AS terminal, e.p_brand AS type_name FROM n LEFT JOIN (SELECT w.id, w.at, x.p_brand FROM w JOIN n x ON w.at = x.id WHERE x.ref IS NULL) e ON n.id = e.id WHERE n.ref IS NOT NULL"""
+)
+def leafref_targets(spark, d):
+    """References to references, some in a circle and some to nothing: the last node's type."""
+    k = F.col("p_partkey")
+    ref = F.when(k % 16 == 15, k).when(k % 8 > 0, k - 1).when(k % 64 == 0, F.lit(-9))
+    return graph.terminals(table(spark, d, "part").select(k.alias("id"), ref.alias("ref"), F.col("p_brand").alias("type_name")), "id", "ref", "type_name")
+
+
+@query(
+    """SELECT p_partkey AS id, 'container' AS keyword, CASE WHEN p_partkey % 3 = 0 THEN 'changed' ELSE 'added' END AS action FROM part
+WHERE NOT (p_partkey % 3 > 0 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 3 = 0 AND q.p_brand = part.p_brand AND q.p_size = part.p_size))"""
+)
+def alias_suppression(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("container").alias("keyword"), F.when(F.col("p_partkey") % 3 == 0, "changed").otherwise("added").alias("action"), F.col("p_brand").alias("name"), F.lit(None).cast("string").alias("file"), F.col("p_size").alias("line"))
+    return matching.drop_aliases(rows, rows.where("action = 'changed'"), ["keyword", "name", "file", "line"]).select("id", "keyword", "action")
+
+
+_LINES = "SELECT p_partkey // 20 AS report, p_partkey % 20 AS line, p_size % 5 AS level, p_brand AS name FROM part"
+
+
+def _report_lines(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(F.floor(k / 20).cast("long").alias("report"), (k % 20).alias("line"), (F.col("p_size") % 5).alias("level"), F.col("p_brand").alias("name"))
+
+
+@query(f"WITH l AS ({_LINES}) SELECT report, line, (SELECT max(p.line) FROM l p WHERE p.report = l.report AND p.line < l.line AND p.level < l.level) AS parent FROM l")
+def report_parents(spark, d):
+    return report.enclosing(_report_lines(spark, d)).select("report", "line", "parent")
+
+
+@query(
+    f"""WITH RECURSIVE l AS ({_LINES}), e AS (SELECT *, (SELECT max(p.line) FROM l p WHERE p.report = l.report AND p.line < l.line AND p.level < l.level) AS parent FROM l),
+c AS (SELECT report, line, name, '' AS context FROM e WHERE parent IS NULL UNION ALL SELECT e.report, e.line, e.name, CASE c.context WHEN '' THEN c.name ELSE c.context || '/' || c.name END FROM e JOIN c ON e.report = c.report AND e.parent = c.line)
+SELECT report, line, context FROM c"""
+)
+def report_contexts(spark, d):
+    return report.contexts(_report_lines(spark, d))
+
+
+@query("SELECT s_suppkey, 'at [''' || s_name || '''][''x'']' AS value FROM supplier")
+def report_filter(spark, d):
+    lines = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("at root['"), "s_name", F.lit("']['x']")).alias("value"))
+    return reports.without_root(lines)
+
+
+@query(
+    """SELECT 'r' || o_custkey AS rule_id, 'Rule ID: r' || o_custkey || chr(10) || 'Category: structural' || chr(10) || 'Actions: ' || string_agg(DISTINCT a, ', ' ORDER BY a) || chr(10) || 'Compatible: backward-compatible' AS text
+FROM (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'added (parent=deleted)' WHEN o_orderkey % 3 = 1 THEN 'added' ELSE 'changed' END AS a FROM orders WHERE o_orderstatus = 'F') GROUP BY o_custkey"""
+)
+def rule_texts(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("rule_id"), F.lit("structural").alias("kind"), F.when(F.col("o_orderstatus") == "F", "leaf").otherwise("list").alias("subject"),
+        F.when(k % 3 == 2, "changed").otherwise("added").alias("action"), F.when(k % 3 == 0, "deleted").alias("parent_action"), F.lit("backward-compatible").alias("verdict"),
+    )
+    return rules.rules_for(rows, "leaf")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'backward-compatible' WHEN 1 THEN 'non-backward-compatible' END AS verdict FROM part")
+def type_presence(spark, d):
+    k = F.col("p_partkey") % 4
+    return table(spark, d, "part").select("p_partkey", types.type_presence(F.when(k.isin(1, 2), F.col("p_type")), F.when(k.isin(0, 2), F.col("p_type"))).alias("verdict"))
+
+
+@query(f"SELECT 'm' || p_partkey || '.yang' AS file, keyword, n::BIGINT AS n FROM part, (VALUES {_WORDS}) v(keyword, n, lines) WHERE keyword IN ('wrap', {', '.join(repr(k) for k in (*model.STRUCTURAL, 'range', 'when'))})")
+def allowed_statements(spark, d):
+    """The statements that a corpus takes, extensions among them."""
+    s = yang.allowed(yang.statements(_files(spark, d, m=_MAIN)), [*model.STRUCTURAL, "range", "when"]).where("file <> 'base.yang'")
+    return s.groupBy("file", "keyword").agg(F.count(F.lit(1)).alias("n"))

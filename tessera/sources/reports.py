@@ -31,3 +31,8 @@ def read_text(spark: SparkSession, folder: str) -> DataFrame:
     head, detail = F.col("line").rlike(_HEAD), F.col("line").rlike(_DETAIL)
     pick = lambda h, d: F.when(head, F.regexp_extract("line", _HEAD, h) if h else F.lit(None)).when(detail, F.regexp_extract("line", _DETAIL, d))
     return raw.select("line", F.when(head, "change").when(detail, "detail").otherwise("path").alias("kind"), pick(2, 1).alias("keyword"), pick(3, 2).alias("action"), pick(0, 3).alias("old_value"), pick(0, 4).alias("new_value"), pick(4, 5).alias("verdict"))
+
+
+def without_root(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Report lines whose paths do not name the root of the compared tree."""
+    return lines.withColumn(column, F.replace(F.col(column), F.lit("root["), F.lit("[")))

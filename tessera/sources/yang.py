@@ -459,3 +459,9 @@ def uses_signature(rows: DataFrame) -> DataFrame:
     """(grouping, n, signature) of nodes: groupings with one signature hold the same."""
     inside = rows.where(F.col("rel_path").isNotNull())
     return inside.groupBy("grouping").agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "keyword", "rel_path", F.coalesce("type_name", F.lit(""))))), "\n").cast("binary")).alias("signature"))
+
+
+def allowed(stmts: DataFrame, keywords: list[str]) -> DataFrame:
+    """The statements of the given keywords and those of extensions; what is below a
+    statement that goes is judged on its own."""
+    return stmts.where((F.coalesce(F.col("prefix"), F.lit("")) != "") | F.col("keyword").isin(keywords))

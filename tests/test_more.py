@@ -106,3 +106,27 @@ def test_command_line(spark, tmp_path):
     assert back.where("kind = 'change' and keyword = 'leaf' and action = 'deleted'").count() == 1
     assert spark.read.json(f"{tmp_path}/out/sections").where("section = 'non_compatible'").count() > 3
     assert cli.main(["check-rules", f"{HERE}/rules.xml"]) == 0
+
+
+def test_rules_of_a_similar_keyword(tmp_path):
+    from tessera import cli
+    from tessera.sources import rules_xml
+
+    rule = "<rule><rule-id>r1</rule-id><structurals><structural>leaf</structural></structurals><actions><action>added</action></actions><compatible>backward-compatible</compatible></rule>"
+    path = tmp_path / "rules.xml"
+    path.write_text(f"<rules>{rule}</rules>")
+    assert cli.main(["add-rules", str(path), "blob", "--like", "leaf"]) == 0
+    rows = rules_xml.rule_rows(path.read_text())
+    assert [(r[1], r[3], r[18], r[20]) for r in rows] == [("r1", "leaf", "added", "backward-compatible"), ("r1-blob", "blob", "added", "backward-compatible")]
+    assert (tmp_path / "rules.xml.1").read_text() == f"<rules>{rule}</rules>"
+    assert cli.main(["add-rules", str(path), "blob", "--like", "leaf"]) == 1
+    assert cli.main(["add-rules", str(path), "other", "--like", "none"]) == 1
+    assert cli.main(["add-rules", str(path), "blob2", "--like", "leaf"]) == 0 and (tmp_path / "rules.xml.2").exists()
+
+
+def test_a_moved_statement_hides_its_aliases(spark):
+    from tessera.operators import matching
+
+    rows = spark.createDataFrame([(1, "leaf", "a", None, 3, "added"), (2, "leaf", "a", None, 3, "changed"), (3, "leaf", "a", "f", 3, "added"), (4, "leaf", "a", None, 3, "deleted")], "id int, keyword string, name string, file string, line int, action string")
+    left = matching.drop_aliases(rows, rows.where("id = 2"), ["keyword", "name", "file", "line"])
+    assert sorted(r.id for r in left.collect()) == [2, 3, 4]
