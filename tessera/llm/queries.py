@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, decontam, line_dedup, quality, simhash, token_counts, token_store, toxicity, warc
+from tessera.llm import alignment, ann, bpe, clusters, decontam, line_dedup, quality, simhash, token_counts, token_store, toxicity, warc
 from tessera.llm._common import table, work_folder
 
 
@@ -57,6 +57,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_decontamination, op5_toxicity, op6_token_counts, op7_warc, op8_token_store, op9_line_dedup, op10_bpe)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.drop("pairs", "times")
 
-ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.ball_kmeans(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_decontamination, op5_toxicity, op6_token_counts, op7_warc, op8_token_store, op9_line_dedup, op10_bpe, op11_alignment, op13_clusters)}
+
+ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op13_clusters": clusters.ORACLE}
