@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, ann, bpe, clusters, decontam, line_dedup, quality, simhash, token_counts, token_store, toxicity, warc
+from tessera.llm import alignment, ann, bpe, clusters, decontam, line_dedup, pii, quality, simhash, token_counts, token_store, toxicity, warc
 from tessera.llm._common import table, work_folder
 
 
@@ -62,10 +62,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("pairs", "times")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.ball_kmeans(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_decontamination, op5_toxicity, op6_token_counts, op7_warc, op8_token_store, op9_line_dedup, op10_bpe, op11_alignment, op13_clusters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest, op2_quality, op3_simhash, op4_decontamination, op5_toxicity, op6_token_counts, op7_warc, op8_token_store, op9_line_dedup, op10_bpe, op11_alignment, op12_pii, op13_clusters)}
 
 ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE, "op7_warc": warc.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op13_clusters": clusters.ORACLE}
