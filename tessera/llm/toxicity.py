@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -104,7 +106,8 @@ class Lexicon:
 
     def matches(self, flat: str) -> list[tuple[int, float]]:
         """(place, weight) of the counted matches in a folded text: of those that begin
-        at one word the heaviest, without those inside an exception phrase."""
+        at one word the heaviest, without those inside an exception phrase. Phrases are
+        ordered by place once, so time grows with the text and its matches."""
         auto = self._automaton()
         if not self.terms:
             return []
@@ -116,7 +119,10 @@ class Lexicon:
                 spared.append((at, end))
             else:
                 best[at] = max(best.get(at, -1e9), w)
-        return [(at, w) for at, w in best.items() if not any(a <= at < z for a, z in spared)]
+        spared.sort()
+        begins, reach = [a for a, _ in spared], list(accumulate((z for _, z in spared), max))
+        # a phrase around a place begins at or before it and goes on behind it
+        return [(at, w) for at, w in best.items() if not (i := bisect_right(begins, at)) or reach[i - 1] <= at]
 
     def features(self, text: str | None) -> tuple[float, float, int]:
         """Log of the weight of all matches, and of the weight per 100 words; matches."""
@@ -299,9 +305,10 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 flat = folded(t)
                 words = flat.split()
-                number = {}
-                for at, _ in out.matches(flat):
-                    number[at] = flat.count(" ", 0, at)
+                number, n, last = {}, 0, 0
+                for at in sorted(at for at, _ in out.matches(flat)):
+                    n, last = n + flat.count(" ", last, at), at
+                    number[at] = n
                 seen[1 if y else 0].update({f" {words[i]} {words[i + 1]} " for k in number.values() for i in (k - 1, k) if 0 <= i < len(words) - 1})
         yield counted(seen, [0, 0])
 

@@ -204,12 +204,27 @@ def slow_score(lex, text):
 def test_toxicity_against_a_slow_walk(spark, data):
     lex = toxicity.corpus_lexicon(spark, data)
     lex = toxicity.Lexicon({**lex.terms, " the ": 1.5, " wo": 0.5, " dark ": 2.0}, [*lex.exceptions, " dark woods "], lex.curve)
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(60)  # a slow walk: some texts, whole
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [r for r in TEXTS if r[0] != 8] + [(90, "the dark woods, the dark"), (91, "the dark woods, the dark")]
     got = sorted(repr((r.doc_id, round(r.score, 9), r.predicted)) for r in toxicity.toxicity(messy(spark, rows), lex).collect())
     assert got == sorted(repr((d, round(s, 9), int(s >= 0.5))) for d, s in ((d, float(slow_score(lex, t))) for d, t in rows))
 
 
+def test_toxicity_of_very_long_texts():
+    """Nothing but terms and exceptions: time grows with the length."""
+    import time
+
+    lex = toxicity.Lexicon({" dark ": 2.0, " wo": 0.5}, [" dark woods ", " the dark "])
+    took = []
+    for n in (100_000, 400_000):
+        text = "dark woods the dark wood " * n
+        began = time.process_time()
+        got = lex.matches(toxicity.folded(text))
+        took.append(time.process_time() - began)
+        assert len(got) == n and {w for _, w in got} == {0.5}
+    assert took[1] < 10 * took[0]
+
+
 def test_lexicon_has_no_cap():
     """All of thousands of telling terms come into the lexicon."""
     import pandas as pd
