@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm._common import cut, ship, work_folder
 
 #: Parts that a worker keeps, and their characters; when full, it starts anew.
-PARTS, PART_CHARS = 250_000, 8_000_000
-#: Characters of the documents that are aligned together (one document at least).
-CHARS = 3_000_000
+PARTS, PART_CHARS = 400_000, 14_000_000
+#: Characters of the documents that are aligned together (one document at least), and parts
+#: that are learned together.
+CHARS, TOGETHER = 3_000_000, 20_000
 #: Id pairs up to which their counts are broadcast (about 50 bytes each).
 BROADCAST_PAIRS = 2_000_000
 #: No token starts inside a part at such a space, whatever stands around it.
@@ -70,8 +71,13 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.bytes_a = {i: b"".join(bytes([alphabet[c]]) if c in alphabet else c.encode() for c in t) for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [b""] * (max(self.a.get_vocab().values()) + 1)
+        for t, i in self.a.get_vocab().items():
+            self.bytes_a[i] = b"".join(bytes([alphabet[c]]) if c in alphabet else c.encode() for c in t)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.words = [sign + str(i) for sign in ("", ",", ";", "|") for i in range(self.most)]
         # parts are apart only if nothing in either vocabulary can cross a cut
         kind = json.loads(self.a.to_str())
         joins = any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()) if not self.b.is_control(i))
@@ -86,7 +92,7 @@ class Aligner:
         self.units: dict[str, int] = {}
         self.chars = 0
         #: by part: tokens of A, of B, groups, links (-1 of A: not aligned), and its groups as text
-        self.sizes, self.texts = np.zeros((0, 4), np.int64), []
+        self.sizes, self.texts = [], []
         self.db.execute("CREATE OR REPLACE TEMP TABLE links (unit INTEGER, pair BIGINT, n INTEGER)")
 
     @classmethod
@@ -99,12 +105,20 @@ class Aligner:
         """The parts of a text; each has a space before it, that of the first is added."""
         return _CUT.split(text) if self.cuts else [text]
 
-    def _intervals(self, name: str, ids: list[list[int]], sizes: np.ndarray, units: np.ndarray) -> None:
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+    def _intervals(self, name: str, ids: list[list[int]], sizes: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """An interval table in DuckDB; gives the number of tokens of each unit."""
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
         last = np.cumsum(sizes[flat])
-        self.db.register("given", pa.table({"unit": np.repeat(units, [len(x) for x in ids]), "id": flat, "s": last - sizes[flat], "e": last}))
+        self.db.register("given", pa.table({"unit": np.repeat(units, n), "id": flat, "s": last - sizes[flat], "e": last}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
+        return n
+
+    def _whole(self, parts: list[str], ids: list[list[int]], entries: list[bytes]) -> list[bool]:
+        """Whether the tokens of each part give back its space and its bytes."""
+        raw = [(" " + p).encode() for p in parts]
+        return [r == b"".join(map(entries.__getitem__, x)) for r, x in zip(raw, ids)]
 
     def learn(self, parts: list[str]) -> None:
         """Encode and align parts that are new."""
@@ -113,57 +127,39 @@ class Aligner:
         ids_b = [x if p else [self.space] for p, x in zip(parts, self.b.encode(parts, num_threads=1))]
         first = len(self.texts)
         sizes = np.zeros((len(parts), 4), np.int64)
-        sizes[:, 0] = -1
         texts = [""] * len(parts)
-        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = [k for k, p in enumerate(parts) if (raw := (" " + p).encode()) == b"".join(map(bytes_a, ids_a[k])) and raw == b"".join(map(bytes_b, ids_b[k]))]
-        if good:
-            a, b = [ids_a[k] for k in good], [ids_b[k] for k in good]
-            units = np.array(good)
-            self._intervals("a", a, self._sizes_a, units)
-            self._intervals("b", b, self._sizes_b, units)
+        good = np.flatnonzero(np.array(self._whole(parts, ids_a, self.bytes_a)) & np.array(self._whole(parts, ids_b, self.bytes_b)))
+        sizes[:, 0] = -1
+        if len(good):
+            if len(good) < len(parts):
+                ids_a, ids_b = [ids_a[k] for k in good], [ids_b[k] for k in good]
+            sizes[good, 0] = self._intervals("a", ids_a, self.sizes_a, good)
+            sizes[good, 1] = self._intervals("b", ids_b, self.sizes_b, good)
             self.db.execute(_LINKS)
             self.db.execute(f"INSERT INTO links SELECT unit + {first}, (a::BIGINT << {_SHIFT}) + b, count(*) FROM overlap GROUP BY ALL")
-            got = self.db.execute("SELECT unit, grp, a, b, ends_a, ends_b FROM overlap ORDER BY s").fetchnumpy()
-            unit, grp = np.asarray(got["unit"]), np.asarray(got["grp"]).astype(np.int64)
-            starts = np.flatnonzero(np.diff(grp, prepend=-1))
-            sizes[units, 0], sizes[units, 1] = [len(x) for x in a], [len(x) for x in b]
-            sizes[:, 2] = np.bincount(unit[starts], minlength=len(parts))
-            sizes[:, 3] = np.bincount(unit, minlength=len(parts))
-            groups = self._group_texts(np.asarray(got["a"])[np.asarray(got["ends_a"])], np.asarray(got["b"])[np.asarray(got["ends_b"])], *(np.add.reduceat(np.asarray(got[x]).astype(np.int64), starts) for x in ("ends_a", "ends_b")))
-            at = 0
-            for k in good:
-                n = int(sizes[k, 2])
-                texts[k] = ";".join(groups[at : at + n])
-                at += n
+            got = {k: np.asarray(v) for k, v in self.db.execute("SELECT unit, grp::BIGINT AS grp, a, b, ends_a, ends_b FROM overlap ORDER BY s").fetchnumpy().items()}
+            starts = np.flatnonzero(np.diff(got["grp"], prepend=-1))
+            sizes[:, 2] = np.bincount(got["unit"][starts], minlength=len(parts))
+            sizes[:, 3] = np.bincount(got["unit"], minlength=len(parts))
+            words = self._group_words(got, got["unit"][starts])
+            ends = np.cumsum(sizes[good, 0] + sizes[good, 1]).tolist()
+            for k, i, j in zip(good.tolist(), [0, *ends], ends):
+                texts[k] = "".join(words[i:j])
         self.units.update(zip(parts, range(first, first + len(parts))))
         self.chars += sum(map(len, parts))
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.sizes.append(sizes)
         self.texts += texts
 
-    @staticmethod
-    def _group_texts(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
-        """``a1,a2|b1`` of each group, from the ids in order and the group's numbers of them."""
-        a, b, out, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
-        for x, y in zip(n_a.tolist(), n_b.tolist()):
-            out.append(",".join(a[i : i + x]) + "|" + ",".join(b[j : j + y]))
-            i += x
-            j += y
-        return out
-
-    @property
-    def _sizes_a(self) -> np.ndarray:
-        if not hasattr(self, "_len_a"):
-            self._len_a = np.zeros(max(self.bytes_a) + 1, np.int64)
-            for i, x in self.bytes_a.items():
-                self._len_a[i] = len(x)
-        return self._len_a
-
-    @property
-    def _sizes_b(self) -> np.ndarray:
-        if not hasattr(self, "_len_b"):
-            self._len_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        return self._len_b
+    def _group_words(self, rows: dict[str, np.ndarray], unit_of: np.ndarray) -> list[str]:
+        """All ids in the order of ``a1,a2|b1;a3|b2``, each with the sign before it."""
+        at_a, at_b = rows["ends_a"], rows["ends_b"]
+        group_a, group_b = rows["grp"][at_a] - rows["grp"][0], rows["grp"][at_b] - rows["grp"][0]
+        opens = np.diff(unit_of, prepend=-1) != 0  # groups that are their part's first
+        new_a, new_b = np.diff(group_a, prepend=-1) != 0, np.diff(group_b, prepend=-1) != 0
+        code = np.empty(len(group_a) + len(group_b), np.int64)
+        code[np.arange(len(group_a)) + np.searchsorted(group_b, group_a)] = np.where(new_a, np.where(opens[group_a], 0, 2), 1) * self.most + rows["a"][at_a]
+        code[np.arange(len(group_b)) + np.searchsorted(group_a, group_b, "right")] = np.where(new_b, 3, 1) * self.most + rows["b"][at_b]
+        return list(map(self.words.__getitem__, code.tolist()))
 
     def align(self, texts: list[str | None]) -> tuple[list[tuple], pa.Table]:
         """(n_a, n_b, n_groups, n_links, sha256 of the groups) of each text, and a table
@@ -173,12 +169,15 @@ class Aligner:
         if len(self.texts) + len(new) > PARTS or self.chars > PART_CHARS:
             self.forget()
             new = set().union(*split)
-        if new:
-            self.learn(sorted(new))
+        fresh = sorted(new)
+        for i in range(0, len(fresh), TOGETHER):
+            self.learn(fresh[i : i + TOGETHER])
+        if len(self.sizes) > 1:
+            self.sizes = [np.concatenate(self.sizes)]
         rows, docs, units = [], [], []
         for i, parts in enumerate(split):
             known = np.fromiter(map(self.units.__getitem__, parts), np.int64, len(parts))
-            if not len(known) or (sizes := self.sizes[known])[:, 0].min() < 0:
+            if not len(known) or (sizes := self.sizes[0][known])[:, 0].min() < 0:
                 rows.append((0, 0, 0, 0, ""))
                 continue
             text = ";".join(map(self.texts.__getitem__, known.tolist()))
