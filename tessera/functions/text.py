@@ -1,10 +1,13 @@
-"""Scalar expressions on paths, tokens and values; all are built-in functions."""
+"""Scalar expressions on paths, tokens and values; all but block_ratio are built-in functions."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 # The mask tokens that stand for values in snippets.
 MASKS = ("<STRING>", "<IDENTIFIER>", "<TYPEDEF>", "<VERSION>", "<REGEX>", "<MAC_ADDRESS>", "<IP_ADDRESS>", "<NUMBER>", "<RANGE>", "<BOOLEAN>", "<LIST>", "<PATH>", "<NO_VALUE>", "<CONDITION>")
 
@@ -85,6 +88,23 @@ def identifier_form(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "[-_]+", ""))
 
 
+def block_ratio(a: Column, b: Column) -> Column:
+    """0 to 100: twice the characters in common blocks over all characters, where the
+    longest common block is taken first and then those left and right of it. Nulls are
+    empty; each distinct pair of a batch is computed once."""
+    ship()
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        pairs = list(zip(x.fillna(""), y.fillna("")))
+        done = {p: 100.0 * SequenceMatcher(None, *p).ratio() for p in set(pairs)}
+        return pd.Series([done[p] for p in pairs], dtype=float)
+
+    return run(a, b)
+
+
 def fingerprint(text: Column) -> Column:
     """Twelve hex digits of SHA-1 over the text with single spaces."""
     return F.substring(F.sha1(F.trim(F.regexp_replace(text, r"\s+", " ")).cast("binary")), 1, 12)

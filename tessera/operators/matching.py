@@ -12,13 +12,15 @@ from tessera.session import cut
 CUT_ROUNDS = 16
 
 
-def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items: str | None = None, least: float = 0.0) -> DataFrame:
+def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items: str | None = None, least: float = 0.0, near: tuple[str, ...] = (), key: str = "path") -> DataFrame:
     """Pairs of a deleted (o_*) and an added row (n_*) of one kind: where rows of the same
     name exist, only those; otherwise all of the kind.
 
     With ``items``, an array column, of these others only (and all) pairs whose items
-    have a Jaccard index of at least ``least``; two empty arrays are alike. It bounds the
-    pairs where the score needs shared items, and loses none that can reach it."""
+    have a Jaccard index of at least ``least``; two empty arrays are alike, null meets
+    nothing. It bounds the pairs where the score needs shared items, and loses none that
+    can reach it. ``near`` names columns; rows of a kind that have one of them in common
+    meet, too, once for each pair of ``key``."""
     o = deleted.select(*[F.col(c).alias(f"o_{c}") for c in deleted.columns])
     n = added.select(*[F.col(c).alias(f"n_{c}") for c in added.columns])
     named = o.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col(f"o_{name}") == F.col(f"n_{name}")))
@@ -27,6 +29,10 @@ def candidates(deleted: DataFrame, added: DataFrame, kind: str, name: str, items
         other = _similar(lone, n, kind, items, least)
     else:
         other = lone.join(n, F.col(f"o_{kind}") == F.col(f"n_{kind}"))
+    for c in near:
+        other = other.unionByName(lone.join(n, (F.col(f"o_{kind}") == F.col(f"n_{kind}")) & (F.col(f"o_{c}") == F.col(f"n_{c}"))))
+    if near:
+        other = other.dropDuplicates([f"o_{kind}", f"o_{key}", f"n_{key}"])
     return named.withColumn("same_name", F.lit(True)).unionByName(other.withColumn("same_name", F.lit(False)))
 
 
@@ -72,6 +78,24 @@ def name_similarity(a: Column, b: Column) -> Column:
     return 100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
 
 
+def refactor_bonus(old: Column, new: Column) -> Column:
+    """What moves that are known from published models add to a pair's score."""
+    # The path parts and what each adds.
+    legacy = old.contains("/ipv4-routes/") | old.contains("/ipv6-routes/")
+    local = F.when(legacy & new.contains("/loc-rib/"), 15.0).otherwise(0.0)
+    adjacent = F.when(legacy & new.contains("/adj-rib-"), -20.0).otherwise(0.0)
+    wrapped = F.when(old.contains("/bgp-rib/afi-safis/") & new.contains("/bgp-rib-top/bgp-rib/afi-safis/"), 10.0).otherwise(0.0)
+    return local + adjacent + wrapped
+
+
+def plausible(score: Column, threshold: float, same_name: Column, path: Column, same_parent: Column, name: Column, same_form: Column) -> Column:
+    """Whether a pair may be taken: by its score; of one name, by paths that are close; of
+    other names, below one parent by close paths and names, or by names that differ in
+    case, hyphens and underscores alone. path and name are ratios of 0 to 100."""
+    # 70, 90 and 45.
+    return (score >= threshold) | (same_name & (path >= 70.0)) | (~same_name & same_parent & (((path >= 90.0) & (name >= 45.0)) | same_form))
+
+
 def set_similarity(a: Column, b: Column) -> Column:
     return jaccard(a, b)
 
@@ -141,16 +165,23 @@ def items_by_name(old: DataFrame, new: DataFrame, owner: str, name: str, items:
     return met.unionByName(taken).unionByName(left(gone, "old_name", "deleted")).unionByName(left(came, "new_name", "added"))
 
 
-def child_pairs(parents: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
-    """(old_path, new_path) of nodes below a paired parent with the same suffix: each
-    deleted node takes its nearest paired ancestor. Ancestors are listed and joined by
-    equality."""
+def moved_paths(parents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with path) that are below a paired parent (old_path, new_path), with
+    ``place``: where each would be had only its nearest paired ancestor moved. Ancestors
+    are listed and joined by equality."""
     from tessera.functions.text import ancestors
 
-    up = deleted.select("path", F.posexplode(ancestors(F.col("path"))).alias("depth", "anc"))
+    up = rows.select("path", F.posexplode(ancestors(F.col("path"))).alias("depth", "anc")).distinct()
     near = up.join(parents.select(F.col("old_path").alias("anc"), F.col("new_path").alias("moved")), "anc").groupBy("path").agg(F.max_by(F.struct("anc", "moved"), "depth").alias("m"))
-    want = near.select("path", F.concat(F.col("m.moved"), F.expr("substring(path, length(m.anc) + 1)")).alias("new_path"))
-    return want.join(added.select(F.col("path").alias("new_path")).distinct(), "new_path", "left_semi").select(F.col("path").alias("old_path"), "new_path")
+    want = near.select("path", F.concat(F.col("m.moved"), F.expr("substring(path, length(m.anc) + 1)")).alias("place"))
+    return rows.join(want, "path")
+
+
+def child_pairs(parents: DataFrame, deleted: DataFrame, added: DataFrame) -> DataFrame:
+    """(old_path, new_path) of nodes below a paired parent with the same suffix: each
+    deleted node takes its nearest paired ancestor."""
+    want = moved_paths(parents, deleted.select("path").distinct()).select(F.col("path").alias("old_path"), F.col("place").alias("new_path"))
+    return want.join(added.select(F.col("path").alias("new_path")).distinct(), "new_path", "left_semi").select("old_path", "new_path")
 
 
 def drop_aliases(changes: DataFrame, matched: DataFrame, keys: list[str]) -> DataFrame:

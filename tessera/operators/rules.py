@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BC, NBC, CONDITIONAL, UNMARKED = "backward-compatible", "non-backward-compatible", "conditional-backward-compatible", "[UNMARKED]"
+#: Directions that could not be told; they fit neither rules for wider nor for narrower.
+UNDECIDED = ("error", "unknown", "needs-analysis")
 #: A rule table of at most so many rows is broadcast; a longer one is shuffled by subject.
 BROADCAST_RULES = 20_000
 
@@ -22,7 +24,8 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
     change (relaxed, narrowed, ... or null). rules: ord, rule_id, subject, parents
     (array, null for any), action, parent_action, value, from_value, to_value, relaxed
     (boolean), verdict, verdict_strict and, optionally, same (boolean: the change has or
-    has not to be an equivalent one); a null condition holds always. Rules with
+    has not to be an equivalent one); a null condition holds always. A change whose
+    direction is UNDECIDED fits no rule that asks for one. Rules with
     ``assistance`` hand it on (false where none fits).
 
     The least fitting order is an aggregate over the key (min_by), not a sort; the rules
@@ -31,6 +34,7 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
     if rules.count() <= BROADCAST_RULES:
         r = F.broadcast(r)
     none = lambda c: F.col(f"r_{c}").isNull()
+    told = ~F.coalesce(F.col("change").isin(*UNDECIDED), F.lit(False))
     shown = F.when(F.col("action") == "deleted", F.col("old_value")).otherwise(F.col("new_value"))
     fits = (
         (F.col("subject") == F.col("r_subject"))
@@ -39,10 +43,10 @@ def first_match(details: DataFrame, rules: DataFrame, mode: str = "default", key
         & (none("parent_action") | (F.col("parent_action") == F.col("r_parent_action")))
         & (none("value") | (shown == F.col("r_value")))
         & (none("from_value") | ((F.col("old_value") == F.col("r_from_value")) & (F.col("new_value") == F.col("r_to_value"))))
-        & (none("relaxed") | (F.coalesce(F.col("change").isin("relaxed", "equivalent", "expanded"), F.lit(False)) == F.col("r_relaxed")))
+        & (none("relaxed") | (told & (F.coalesce(F.col("change").isin("relaxed", "equivalent", "expanded"), F.lit(False)) == F.col("r_relaxed"))))
     )
     if "same" in rules.columns:
-        fits = fits & (none("same") | (F.col("change").eqNullSafe(F.lit("equivalent")) == F.col("r_same")))
+        fits = fits & (none("same") | (told & (F.col("change").eqNullSafe(F.lit("equivalent")) == F.col("r_same"))))
     extra = ["assistance"] if "assistance" in rules.columns else []
     found = details.join(r, fits).groupBy(key).agg(F.min_by(F.struct(F.col("r_rule_id").alias("rule_id"), mode_verdict(F.col("r_verdict"), F.col("r_verdict_strict"), mode).alias("verdict"), *[F.col(f"r_{c}").alias(c) for c in extra]), "r_ord").alias("m"))
     return details.join(found, key, "left").select(*details.columns, F.col("m.rule_id").alias("rule_id"), F.coalesce("m.verdict", F.lit(UNMARKED)).alias("verdict"), *[F.coalesce(f"m.{c}", F.lit(False)).alias(c) for c in extra])

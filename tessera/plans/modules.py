@@ -168,22 +168,49 @@ def deviations_applied(spark, d):
 
 
 @query(
-    """SELECT 'f' || p_partkey || '.yang' AS file, (2 + p_partkey % 4)::INTEGER AS line, CASE p_partkey % 4 WHEN 0 THEN 'type-not-found' WHEN 1 THEN 'uses-not-found' WHEN 2 THEN 'base-not-found' ELSE 'prefix-not-found' END AS code FROM part"""
+    """SELECT 'f' || p_partkey || '.yang' AS file, (2 + p_partkey % 4)::INTEGER AS line, CASE p_partkey % 4 WHEN 0 THEN 'type-not-found' WHEN 1 THEN 'uses-not-found' WHEN 2 THEN 'base-not-found' ELSE 'prefix-not-found' END AS code FROM part
+UNION ALL SELECT 'f' || p_partkey || '.yang', (2 + p_partkey % 4)::INTEGER, CASE p_partkey % 4 WHEN 0 THEN 'type-not-found' WHEN 1 THEN 'uses-not-found' WHEN 2 THEN 'base-not-found' END FROM part WHERE p_partkey % 4 < 3"""
 )
 def module_diagnostics(spark, d):
-    """Each module has one statement that names nothing, on a line of its own."""
-    lines = ["leaf a { type nope@; }", "uses none@;", "identity i { base gone@; }", "zz:note 1;"]
-    texts = {f"f{i}-": "module f@ {\n" + "\n" * i + lines[i] + "\n}" for i in range(4)}
-    every = _files(spark, d, **texts).where(F.regexp_extract("file", "f([0-9])-", 1) == (F.regexp_extract("file", "-([0-9]+)", 1).try_cast("long") % 4).cast("string"))
+    """Each module has a statement that names what nothing defines and one that names what
+    only another module defines, on a line of their own; those that ask the other module,
+    or name its own, are fine."""
+    lines = ["leaf a { type lost@; } leaf b { type far@; } leaf c { type o:far@; } leaf d { type f:own@; }", "uses lost@; uses far@; uses o:far@; uses f:own@;", "identity i { base lost@; base far@; base o:far@; base f:own@; }", "zz:note 1;"]
+    head = "module f@ { prefix f; import x@ { prefix o; } typedef own@ { type int8; } grouping own@ { } identity own@;\n"
+    texts = {f"f{i}-": head + "\n" * i + lines[i] + "\n}" for i in range(4)} | {"x": "module x@ { prefix x; typedef far@ { type int8; } grouping far@ { } identity far@; }"}
+    mine = F.regexp_extract("file", "-([0-9]+)", 1).try_cast("long") % 4
+    every = _files(spark, d, **texts).where(~F.col("file").startswith("f") | (F.regexp_extract("file", "f([0-9])-", 1) == mine.cast("string")))
     out = yang.diagnostics(yang.statements(every))
     return out.select(F.regexp_replace("file", "^f[0-9]-", "f").alias("file"), "line", "code")
 
 
+_REFINING = """module r@ { prefix p;
+  grouping low@ { leaf x { type int8; default 1; description "low"; must "../y"; } container box { leaf y { type string; } } }
+  grouping mid@ { container k { uses low@ { refine x { default 2; mandatory true; must "../z"; } augment box { leaf z { type int8; } } } } }
+  container a@ { uses mid@ { refine "p:k/p:x" { default ~; } refine k/box { presence "^"; } } }
+  container b@ { uses p:mid@; }
+  container c@ { uses low@; uses other:none { refine x { default 9; } } }
+}"""
+_REFINED = """('r@/a@/k/x', 'default=~;description=low;mandatory=true;must=../y;must=../z;name=x'), ('r@/a@/k/box', 'name=box;presence=^'), ('r@/a@/k/box/y', 'name=y'), ('r@/a@/k/box/z', 'name=z'), ('r@/a@/k', 'name=k'), ('r@/a@', 'name=a@'),
+('r@/b@/k/x', 'default=2;description=low;mandatory=true;must=../y;must=../z;name=x'), ('r@/b@/k/box', 'name=box'), ('r@/b@/k/box/y', 'name=y'), ('r@/b@/k/box/z', 'name=z'), ('r@/b@/k', 'name=k'), ('r@/b@', 'name=b@'),
+('r@/c@/x', 'default=9;description=low;must=../y;name=x'), ('r@/c@/box', 'name=box'), ('r@/c@/box/y', 'name=y'), ('r@/c@', 'name=c@')"""
+
+
+@query(f"SELECT {_at('path')} AS path, {_at('v')} AS props FROM part, (VALUES {_REFINED}) v(path, v)")
+def uses_refined(spark, d):
+    """A leaf that two nested uses refine takes the inner one's values, then the outer's;
+    what an augment below a use adds is at its target."""
+    rows = yang.expand_uses(yang.nodes(_files(spark, d, r=_REFINING))).where("keyword in ('leaf', 'container') and grouping is null")
+    return rows.select("path", F.array_join(F.array_sort(F.transform("props", lambda p: F.concat_ws("=", p["field"], p["value"]))), ";").alias("props"))
+
+
 @query(
-    """SELECT 'g' || p_partkey AS grouping, 5::BIGINT AS n, sha1(array_to_string(['container in ', 'leaf in/y string', 'leaf x p' || p_partkey || ':t' || p_partkey, 'type in/y/type string', 'type x/type p' || p_partkey || ':t' || p_partkey], chr(10))) AS signature FROM part"""
+    """SELECT 'n' || p_partkey AS module, 'g' || p_partkey AS grouping, 2::BIGINT AS n, sha1(array_to_string(['leaf other int8', 'type other/type int8'], chr(10))) AS signature FROM part
+UNION ALL SELECT 'm' || p_partkey, 'g' || p_partkey, 5, sha1(array_to_string(['container in ', 'leaf in/y string', 'leaf x p' || p_partkey || ':t' || p_partkey, 'type in/y/type string', 'type x/type p' || p_partkey || ':t' || p_partkey], chr(10))) FROM part"""
 )
 def grouping_signature(spark, d):
-    return yang.uses_signature(yang.nodes(_files(spark, d, m=_MAIN)))
+    """Groupings of one name in two modules have signatures of their own."""
+    return yang.uses_signature(yang.nodes(_files(spark, d, m=_MAIN, n=_USER)))
 
 
 @query("SELECT 'm' || p_partkey || '.yang' AS file, 42::BIGINT AS vertices, 41::BIGINT AS edges, 21::BIGINT AS leaves FROM part")

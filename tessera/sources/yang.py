@@ -153,12 +153,13 @@ def type_descriptor(s: Statement, target: Callable[[str], str]) -> dict:
 
 def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """NODE and PROPERTY rows. A node's path is its parent's and its argument (for a type
-    the word "type", in a union the type's name); siblings that share one get [i]. ``uses``
+    the word "type", in a union the type's name); siblings that share one get [i]. What
+    refines or augments a ``uses`` has the path of its target, below the user. ``uses``
     holds module:grouping, by the prefixes of the file; ``type_json`` the descriptor of a
     type, of a typedef's type, or the bases of an identity."""
     nodes: list[tuple] = []
     props: list[tuple] = []
-    structural = {*model.STRUCTURAL, "notification", "input", "output", "feature", "submodule", "annotation"}
+    structural = {*model.STRUCTURAL, "notification", "input", "output", "feature", "submodule", "annotation", "refine"}
 
     def is_node(s: Statement) -> bool:
         return (not s.prefix and s.keyword in structural) or (bool(s.prefix) and bool(s.children))
@@ -199,9 +200,14 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
         seg = segment(s, parent) + (f"[{index}]" if index is not None else "")
         if s.keyword == "augment" and parent is not None and parent.keyword in ("module", "submodule"):
             here = f"{path.split('/')[0]}/{seg}"
+            inside = f"{rel}/{seg}" if rel else seg if grouping else None
+        elif s.keyword in ("refine", "augment") and not s.prefix and parent is not None and parent.keyword == "uses":
+            steps = "/".join(x.rpartition(":")[2] for x in (s.arg or "").split("/") if x)
+            here = f"{path.rpartition('/')[0]}/{steps}"
+            inside = "/".join(x for x in (rel.rpartition("/")[0], steps) if x) if rel else None
         else:
             here = f"{path}/{seg}" if path else seg
-        inside = f"{rel}/{seg}" if rel else seg if grouping else None
+            inside = f"{rel}/{seg}" if rel else seg if grouping else None
         me = len(nodes)
         type_name = s.arg if s.keyword == "type" else s.first("type")
         nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s), aim(s, parent)))
@@ -284,27 +290,53 @@ def nodes(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInArrow(run, schema)
 
 
+#: Statements of a refinement that add to the target's own; others take their place.
+_ADDED_BY_REFINE = ("must", "if-feature")
+
+
 def expand_uses(rows: DataFrame) -> DataFrame:
-    """``rows`` and, for each ``uses``, the nodes of its grouping below the user's parent.
-    A grouping is known by its module and its name. Groupings that use others are expanded
-    in rounds of joins until none is left; one that comes to use itself is not expanded
-    inside itself."""
+    """``rows`` and, for each ``uses``, the nodes of its grouping below the user's parent,
+    as its refinements and augments leave them. A grouping is known by its module and its
+    name. Groupings that use others are expanded in rounds of joins until none is left; one
+    that comes to use itself is not expanded inside itself.
+
+    Refinements are rows with the path of their target, expanded like any other; what a
+    user says counts after what the grouping it uses says."""
     inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "type_json", "props")])
     at = F.regexp_replace("path", "/[^/]*$", "").alias("at")
-    out = [rows]
+    out = [rows.withColumn("__depth", F.lit(0))]
     front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(at, F.col("uses").alias("want"), F.array("uses").alias("chain"))
     while True:
         made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
-            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.lit(None).cast("string").alias("target"), F.col("g_props").alias("props"), "chain",
+            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.lit(None).cast("string").alias("target"), F.col("g_props").alias("props"), F.size("chain").alias("__depth"), "chain",
         ))
         if not made.limit(1).count():
-            return reduce(DataFrame.unionByName, out)
+            return _refined(reduce(DataFrame.unionByName, out)).drop("__depth")
         out.append(made.drop("chain"))
         deeper = made.where(F.col("uses").isNotNull() & ~F.array_contains("chain", F.col("uses")))
         front = deeper.select(at, F.col("uses").alias("want"), F.concat("chain", F.array("uses")).alias("chain"))
 
 
+def _refined(rows: DataFrame) -> DataFrame:
+    """Expanded nodes with what refines them, the innermost refinement first. One join of
+    paths; refinements inside a grouping's own text stay as rows."""
+    live = F.col("grouping").isNull()
+    said = F.filter("props", lambda p: p["field"] != "name")
+    overlay = rows.where(live & (F.col("keyword") == "refine")).groupBy(strip_prefixes(F.col("path")).alias("__path")).agg(F.array_sort(F.collect_list(F.struct((-F.col("__depth")).alias("d"), F.col("node_id").alias("i"), said.alias("props")))).alias("__over"))
+    kept = rows.where(~(live & (F.col("keyword") == "refine")))
+
+    def put(props: Column, over: Column) -> Column:
+        fresh = over["props"]
+        old = F.filter(props, lambda p: p["field"].isin(*_ADDED_BY_REFINE) | ~F.exists(fresh, lambda q: q["field"] == p["field"]))
+        n = lambda q: F.size(F.filter(old, lambda p: p["field"] == q["field"]))
+        return F.concat(old, F.transform(fresh, lambda q: F.struct(q["kind"].alias("kind"), q["field"].alias("field"), (q["pos"] + n(q)).cast("int").alias("pos"), q["value"].alias("value"))))
+
+    hit = kept.join(overlay, live & ~F.col("keyword").isin("type", "uses", "augment") & (strip_prefixes(F.col("path")) == F.col("__path")), "left")
+    props = F.when(F.col("__over").isNull(), F.col("props")).otherwise(F.aggregate("__over", F.col("props"), put))
+    return hit.withColumn("props", props).select(*rows.columns)
+
+
 def grouping_contexts(rows: DataFrame) -> DataFrame:
     """(grouping as module:name, at): every path below which a grouping is expanded,
     directly or by way of the groupings that use it."""
@@ -367,16 +399,34 @@ def apply_deviations(rows: DataFrame) -> DataFrame:
     return own.unionByName(both.withColumn("props", props).select(*rows.columns))
 
 
+def owners(stmts: DataFrame) -> DataFrame:
+    """(file, owner): the module that a file's definitions belong to; a submodule's are its
+    module's."""
+    to = F.max(F.when(F.col("keyword") == "belongs-to", F.col("arg")))
+    return stmts.where("keyword in ('module', 'submodule', 'belongs-to')").groupBy("file").agg(F.coalesce(to, F.max("module")).alias("owner"))
+
+
+def _with_module(rows: DataFrame, stmts: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with file) with <name>_module: the module that a name is looked for in, by
+    its prefix, or the file's own where it has none; null where the prefix is unknown."""
+    known = resolve_prefixes(rows, prefixes(stmts), name).join(owners(stmts).withColumnRenamed("file", "__f"), F.col("file") == F.col("__f"), "left")
+    return known.withColumn(f"{name}_module", F.when(F.col(name).contains(":"), F.col(f"{name}_module")).otherwise(F.col("owner"))).drop("__f", "owner")
+
+
 def typedefs(stmts: DataFrame) -> DataFrame:
-    """(module, name, base): named types and the types they restrict."""
+    """(module, name, base, base_module): named types and the types they restrict; built-in
+    types are of no module."""
     child = stmts.where("keyword = 'type'").select("file", F.col("parent_id").alias("stmt_id"), F.col("arg").alias("base"))
-    return stmts.where("keyword = 'typedef'").join(child, ["file", "stmt_id"]).select("module", F.col("arg").alias("name"), F.regexp_replace("base", "^[^:]*:", "").alias("base"))
+    rows = _with_module(stmts.where("keyword = 'typedef'").join(child, ["file", "stmt_id"]), stmts, "base")
+    home = F.when(~F.col("base").isin(*model.BUILTIN), F.col("base_module"))
+    return rows.select("module", F.col("arg").alias("name"), F.regexp_replace("base", "^[^:]*:", "").alias("base"), home.alias("base_module"))
 
 
 def identities(stmts: DataFrame) -> DataFrame:
-    """(module, name, base): identities and their bases (null for roots)."""
-    base = stmts.where("keyword = 'base'").select("file", F.col("parent_id").alias("stmt_id"), F.regexp_replace("arg", "^[^:]*:", "").alias("base"))
-    return stmts.where("keyword = 'identity'").join(base, ["file", "stmt_id"], "left").select("module", F.col("arg").alias("name"), "base")
+    """(module, name, base, base_module): identities and their bases (null for roots)."""
+    base = stmts.where("keyword = 'base'").select("file", F.col("parent_id").alias("stmt_id"), F.col("arg").alias("base"))
+    rows = _with_module(stmts.where("keyword = 'identity'").join(base, ["file", "stmt_id"], "left"), stmts, "base")
+    return rows.select("module", F.col("arg").alias("name"), F.regexp_replace("base", "^[^:]*:", "").alias("base"), F.when(F.col("base").isNotNull(), F.col("base_module")).alias("base_module"))
 
 
 def prefixes(stmts: DataFrame) -> DataFrame:
@@ -425,19 +475,23 @@ def module_closure(stmts: DataFrame) -> DataFrame:
 
 
 def diagnostics(stmts: DataFrame) -> DataFrame:
-    """(file, line, code, message) of references that name nothing: types, groupings,
-    bases and prefixes that no statement of the modules defines."""
+    """(file, line, code, message) of references that name nothing: types, groupings and
+    bases that the module their prefix stands for does not define, and unknown prefixes;
+    with keyword and arg of the statement, and line, keyword and arg of its parent
+    (parent_...). A name that another module defines is no match."""
+    up = stmts.select("file", F.col("stmt_id").alias("parent_id"), *[F.col(c).alias(f"parent_{c}") for c in ("line", "keyword", "arg")])
+    place = ["file", "line", "keyword", "arg", "parent_line", "parent_keyword", "parent_arg"]
+    kinds = {"type": "typedef", "uses": "grouping", "base": "identity"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    used = stmts.where(F.col("prefix").isNull() & F.col("keyword").isin(*kinds) & F.col("arg").isNotNull() & ~((F.col("keyword") == "type") & F.col("arg").isin(*model.BUILTIN)))
+    used = _with_module(used.join(up, ["file", "parent_id"], "left").withColumn("kind", kind[F.col("keyword")]), stmts, "arg")
+    defined = stmts.where(F.col("keyword").isin(*kinds.values())).join(owners(stmts), "file").select(F.col("owner").alias("__m"), F.col("keyword").alias("__k"), F.col("arg").alias("__n")).distinct()
     local = F.regexp_replace("arg", "^[^:]*:", "")
-    out = None
-    for keyword, definition in (("type", "typedef"), ("uses", "grouping"), ("base", "identity")):
-        uses = stmts.where(F.col("keyword") == keyword).where(F.col("prefix").isNull()).select("file", "line", "arg", local.alias("name"))
-        uses = uses.where(~F.col("name").isin(*model.BUILTIN)) if keyword == "type" else uses
-        names = stmts.where(F.col("keyword") == definition).select(F.col("arg").alias("name")).distinct()
-        bad = uses.join(names, "name", "left_anti").select("file", "line", F.lit(f"{keyword}-not-found").alias("code"), F.concat(F.lit(f"{definition} "), "arg", F.lit(" is not defined")).alias("message"))
-        out = bad if out is None else out.unionByName(bad)
-    used = stmts.where(F.col("prefix").isNotNull()).select("file", "line", F.col("prefix").alias("p"))
-    bad = used.join(prefixes(stmts).select("file", F.col("prefix").alias("p")), ["file", "p"], "left_anti").select("file", "line", F.lit("prefix-not-found").alias("code"), F.concat(F.lit("prefix "), "p", F.lit(" is not declared")).alias("message"))
-    return out.unionByName(bad)
+    bad = used.join(defined, (F.col("arg_module") == F.col("__m")) & (F.col("kind") == F.col("__k")) & (local == F.col("__n")), "left_anti")
+    lost = bad.select(*place, F.concat("keyword", F.lit("-not-found")).alias("code"), F.concat("kind", F.lit(" "), "arg", F.lit(" is not defined")).alias("message"))
+    marked = stmts.where(F.col("prefix").isNotNull()).join(up, ["file", "parent_id"], "left")
+    unknown = marked.join(prefixes(stmts), ["file", "prefix"], "left_anti").select(*place, F.lit("prefix-not-found").alias("code"), F.concat(F.lit("prefix "), "prefix", F.lit(" is not declared")).alias("message"))
+    return lost.unionByName(unknown)
 
 
 def fingerprints(stmts: DataFrame) -> DataFrame:
@@ -456,9 +510,10 @@ def statement_graph(stmts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def uses_signature(rows: DataFrame) -> DataFrame:
-    """(grouping, n, signature) of nodes: groupings with one signature hold the same."""
+    """(module, grouping, n, signature) of nodes: groupings with one signature hold the
+    same. Groupings of one name in two modules stay apart."""
     inside = rows.where(F.col("rel_path").isNotNull())
-    return inside.groupBy("grouping").agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "keyword", "rel_path", F.coalesce("type_name", F.lit(""))))), "\n").cast("binary")).alias("signature"))
+    return inside.groupBy("module", "grouping").agg(F.count(F.lit(1)).alias("n"), F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "keyword", "rel_path", F.coalesce("type_name", F.lit(""))))), "\n").cast("binary")).alias("signature"))
 
 
 def allowed(stmts: DataFrame, keywords: list[str]) -> DataFrame:
