@@ -339,6 +339,65 @@ def schema_missing_references(spark, d):
     return c.sections().where("keyword = 'leaf'").select(F.col("norm_path").alias("path"), "section")
 
 
+_BODY = 'leaf y { type string; description "^"; } container deep { leaf z { type int8; } }'
+#: Old and new text of a container, by the part's key: a block put around, taken away, changed
+#: for another, around a part of it with a change inside, and a statement that becomes a block.
+_BLOCKS = [
+    (_BODY, "b:wrap w@ { %s }" % _BODY), ("b:wrap w@ { %s }" % _BODY, _BODY), ("b:wrap w@ { %s }" % _BODY, "b:note v~ { %s }" % _BODY),
+    (_BODY, "b:wrap w@ { b:note v~ { %s } }" % _BODY.replace("int8", "int16").replace('"^"', '"new"')), ("b:wrap w@; leaf y { type string; }", "b:wrap w@ { leaf y { type string; } }"), ("b:wrap w@ { leaf y { type string; } } leaf y { type int8; }", "b:note v~ { leaf y { type int8; } } leaf y { type string; }"),
+]
+_BLOCK_ROWS = """(0, 'w@', 'b:wrap', 'added'), (1, 'w@', 'b:wrap', 'deleted'), (2, 'v~', 'b:note', 'added'), (2, 'w@', 'b:wrap', 'deleted'), (3, 'w@', 'b:wrap', 'added'), (3, 'w@/v~', 'b:note', 'added'), (3, 'w@/v~/y', 'leaf', 'changed'),
+(3, 'w@/v~/deep/z/type', 'type', 'changed'), (4, 'w@', 'b:wrap', 'added'), (5, 'w@', 'b:wrap', 'deleted'), (5, 'v~', 'b:note', 'added'), (5, 'v~/y/type', 'type', 'changed'), (5, 'y/type', 'type', 'changed')"""
+
+
+@query(f"SELECT 'top' || p_partkey || '/' || {_at('path')} AS path, keyword, action FROM part JOIN (VALUES {_BLOCK_ROWS}) v(i, path, keyword, action) ON p_partkey % {len(_BLOCKS)} = i")
+def schema_blocks(spark, d):
+    """A block that is put around a subtree, taken away or changed for another is the only
+    change; what changed inside is told where it is now, and a statement that became a
+    block is not shown a second time."""
+    case = (F.col("p_partkey") % len(_BLOCKS)).cast("int")
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    base = spark.createDataFrame([("base.yang", _BASE)], "file string, text string")
+
+    def version(side: int) -> DataFrame:
+        body = F.get(F.array(*[F.lit(b[side]) for b in _BLOCKS]), case)
+        text_ = F.concat(F.lit("module m@ { prefix p; import base { prefix b; } container top@ { "), body, F.lit(" } }"))
+        for mark, c in (("@", "p_partkey"), ("~", "p_size"), ("^", "p_brand")):
+            text_ = F.replace(text_, F.lit(mark), F.col(c).cast("string"))
+        return part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".yang")).alias("file"), text_.alias("text")).unionByName(base)
+
+    rules = spark.createDataFrame(rules_xml.rule_rows(RULES), rules_xml.RULES)
+    c = schema_diff.compare_files(version(0), version(1), rules)
+    return c.changes.select(F.col("norm_path").alias("path"), "keyword", "action")
+
+
+_RENAMED = [
+    ("leaf alpha { type string; } leaf keep { type int8; }", "leaf alphabet { type string; } leaf keep { type int8; }"),
+    ('container old@ { description "^ box"; leaf alpha { type string; } leaf b { type int8; } }', 'container far@ { container fresh@ { description "^ box"; leaf alphabet { type string; } leaf b { type int8; } } }'),
+    ("leaf one-two { type string; }", "leaf one_two { type int8; }"),
+    ("leaf a1 { type string; } leaf a2 { type string; }", "leaf b1 { type string; } leaf b2 { type string; }"),
+]
+_RENAMED_ROWS = """(0, 'alpha', 'alphabet', 'leaf'), (0, 'alpha/type', 'alphabet/type', 'type'), (1, 'old@', 'far@/fresh@', 'container'), (1, 'old@/alpha', 'far@/fresh@/alphabet', 'leaf'), (1, 'old@/alpha/type', 'far@/fresh@/alphabet/type', 'type'),
+(1, 'old@/b', 'far@/fresh@/b', 'leaf'), (1, 'old@/b/type', 'far@/fresh@/b/type', 'type'), (2, 'one-two', 'one_two', 'leaf'), (2, 'one-two/type', 'one_two/type', 'type'),
+(3, 'a1', 'b1', 'leaf'), (3, 'a1/type', 'b1/type', 'type'), (3, 'a2', 'b2', 'leaf'), (3, 'a2/type', 'b2/type', 'type')"""
+
+
+@query(f"SELECT 'top' || p_partkey || '/' || {_at('o')} AS old_path, 'top' || p_partkey || '/' || {_at('n')} AS new_path, keyword FROM part JOIN (VALUES {_RENAMED_ROWS}) v(i, o, n, keyword) ON p_partkey % {len(_RENAMED)} = i")
+def schema_renames(spark, d):
+    """Renamed leaves that say nothing but their type, a renamed leaf below a container that
+    moved and was renamed, names that differ in a hyphen, and ties."""
+    case = (F.col("p_partkey") % len(_RENAMED)).cast("int")
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+
+    def version(side: int) -> DataFrame:
+        text_ = F.concat(F.lit("module m@ { prefix p; container top@ { "), F.get(F.array(*[F.lit(r[side]) for r in _RENAMED]), case), F.lit(" } }"))
+        for mark, c in (("@", "p_partkey"), ("~", "p_size"), ("^", "p_brand")):
+            text_ = F.replace(text_, F.lit(mark), F.col(c).cast("string"))
+        return schema_diff.nodes_of(part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".yang")).alias("file"), text_.alias("text")))
+
+    return schema_diff.match_moves(version(0), version(1)).select("old_path", "new_path", "keyword")
+
+
 # --- types ------------------------------------------------------------------------
 
 #: name, old and new descriptor, and the change; ~ stands for the part's size (1 to 50).
