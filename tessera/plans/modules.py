@@ -398,6 +398,52 @@ def schema_renames(spark, d):
     return schema_diff.match_moves(version(0), version(1)).select("old_path", "new_path", "keyword")
 
 
+_PATHS = """leaf a { type int8; } leaf b { type int16; } leaf e { type enumeration { enum up; enum e~; } }
+  choice c { case one { leaf d { type leafref { path "../a"; } } } } leaf o { type leafref { path "../d"; } }
+  list row { key id; leaf id { type uint8; } leaf r { type leafref { path "../../d"; } } }
+  leaf q { type %s; } container w { %s }"""
+#: Old and new type of the leaf q, old and new condition of the container w, and what becomes
+#: of the type's name, of its path and of the condition.
+_PATH_CASES = [
+    ('leafref { path "../a"; }', 'leafref { path "/p@:top@/p@:a"; }', 'when "../a > ~";', 'when "../a > ~";', None, "equivalent", None),
+    ('leafref { path "../a"; }', 'leafref { path "../row/../a"; }', 'when "../zz > ~";', 'when "../a > ~";', None, "equivalent", "relaxed"),
+    ('leafref { path "../a"; }', 'leafref { path "../b"; }', 'when "../a > ~";', 'when "../zz > ~";', None, "incomparable", "narrowed"),
+    ('leafref { path "deref(../o)/../a"; }', 'leafref { path "../a"; }', "when \"../e = 'e~'\";", "when \"../e = 'gone'\";", None, "equivalent", "narrowed"),
+    ('leafref { path "../row[id = current()/../a]/r"; }', 'leafref { path "../row[p@:id=current()/../a]/r"; }', "when \"../e = 'none'\";", "when \"../e = 'lost'\";", None, "equivalent", "equivalent"),
+    ('leafref { path "../row[id = current()/../a]/r"; }', 'leafref { path "../row[id = current()/../b]/r"; }', 'when "count(../zz) > 1";', 'when "count(../zz) > 2";', None, "incomparable", "narrowed"),
+    ('leafref { path "../o"; }', "int8", 'when "../zz > ~";', 'when "../zz >= ~";', "equivalent", None, "equivalent"),
+    ('leafref { path "../o"; }', "int16", 'when "../d > ~";', 'when "../c/d > ~";', "relaxed", None, "narrowed"),
+    ('leafref { path "../b"; }', "int8", "", "", "narrowed", None, None),
+    ("int8", 'leafref { path "../a"; }', "", "", "narrowed", None, None),
+    ('leafref { path "../../../../a"; }', 'leafref { path "../a"; }', "", "", None, "relaxed", None),
+    ('leafref { path "../a"; }', 'leafref { path "../nowhere"; }', "", "", None, "narrowed", None),
+]
+_PATH_SQL = ", ".join(f"({i}, '{path}', '{field}', '{change}')" for i, c in enumerate(_PATH_CASES) for path, field, change in (("q/type", "name", c[4]), ("q/type", "path", c[5]), ("w", "when", c[6])) if change)
+_PATH_RULES = RULES.replace("</rules>", '<rule><rule-id>other-path</rule-id><attributes><attribute type="XPath" identical="false">path</attribute></attributes><actions><action>changed</action></actions><compatible>non-backward-compatible</compatible></rule></rules>')
+
+
+@query(f"SELECT 'top' || p_partkey || '/' || path AS path, field, change FROM part JOIN (VALUES {_PATH_SQL}) v(i, path, field, change) ON p_partkey % {len(_PATH_CASES)} = i")
+def schema_paths(spark, d):
+    """Paths of leafrefs are compared by the nodes that they lead to, over choices, names
+    before dots and other leafrefs, and by their predicates; a leafref that became another
+    type by the type at its end; a condition by whether its operands and values are in the
+    schema of its own version."""
+    case = (F.col("p_partkey") % len(_PATH_CASES)).cast("int")
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+
+    def version(side: int) -> DataFrame:
+        body = F.get(F.array(*[F.lit(_PATHS % (c[side], c[2 + side])) for c in _PATH_CASES]), case)
+        text_ = F.concat(F.lit("module m@ { prefix p@; container top@ { "), body, F.lit(" } }"))
+        for mark, c in (("@", "p_partkey"), ("~", "p_size"), ("^", "p_brand")):
+            text_ = F.replace(text_, F.lit(mark), F.col(c).cast("string"))
+        return part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".yang")).alias("file"), text_.alias("text"))
+
+    rules = spark.createDataFrame(rules_xml.rule_rows(_PATH_RULES), rules_xml.RULES)
+    c = schema_diff.compare_files(version(0), version(1), rules)
+    changed = c.changes.where("action = 'changed'").select("change_id", F.col("norm_path").alias("path"))
+    return c.details.join(changed, "change_id").where("action = 'changed'").select("path", F.col("subject").alias("field"), "change")
+
+
 # --- types ------------------------------------------------------------------------
 
 #: name, old and new descriptor, and the change; ~ stands for the part's size (1 to 50).
