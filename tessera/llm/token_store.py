@@ -237,7 +237,11 @@ class PackWriter:
         z = self.zstd.compress(index)
         self.out.write(z + struct.pack("<QQQQ", len(z), len(index), len(self.names), len(self.frames)) + _MAGIC)
         self.out.close()
-        self.fs.move(self.temp, self.path)
+        # another attempt of the task may have been first; what it made is the same
+        if self.fs.get_file_info(self.path).type.name == "NotFound":
+            self.fs.move(self.temp, self.path)
+        else:
+            self.fs.delete_file(self.temp)
 
 
 class PackReader:
@@ -285,7 +289,9 @@ def _encode_packs(docs: DataFrame, tokenizer: str, end_id: int, folder: str) ->
     document is the first of its pack to have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name, writer, seen = Encoder.get(tokenizer), f"{TaskContext.get().partitionId():06d}", None, set()
+        # the rows say which attempt's pack is theirs; packs of attempts that were lost stay behind
+        task = TaskContext.get()
+        encoder, name, writer, seen = Encoder.get(tokenizer), f"{task.partitionId():06d}-{task.taskAttemptId()}", None, set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):

@@ -13,7 +13,7 @@ from helpers import TEXTS, empty, messy
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, line_dedup, quality, simhash, token_counts, token_store, toxicity
-from tessera.llm._common import work_folder
+from tessera.llm._common import filesystem, work_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -415,6 +415,25 @@ def test_repeated_rows_are_dealt_over_shards(spark, monkeypatch):
     assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and token_store.verify_manifest(spark, folder)
 
 
+def test_token_store_when_tasks_run_twice(spark):
+    """Packs of an attempt that was lost are in nobody's way, and settling again is no fault."""
+    docs = messy(spark).select("doc_id", "text").repartition(3)
+    path = WORDS
+    folder, clean = work_folder(spark, "test-twice"), work_folder(spark, "test-once")
+    fs, at = filesystem(folder)
+    fs.create_dir(f"{at}/staging", recursive=True)
+    token_store._encode_packs(docs, path, 1, folder).count()
+    for f in (folder, clean):
+        token_store.write_store(docs, path, f)
+    key = lambda f: sorted(repr((r.doc_id, r.start, r.n_tokens, r.ids_crc32)) for r in token_store.read_store(spark, f).collect())
+    assert key(folder) == key(clean)
+    for _ in range(2):
+        w = token_store.PackWriter(f"{folder}/packs/again.pack")
+        w.add(b"n" * 32, b"\x01\x00\x00\x00")
+        w.close()
+    assert token_store.PackReader(f"{folder}/packs/again.pack").at == {b"n" * 32: 0}
+
+
 def test_empty_token_store(spark):
     folder = work_folder(spark, "test-empty")
     token_store.write_store(empty(spark), WORDS, folder)
