@@ -27,5 +27,5 @@ BUILTIN = (
 )
 
 STATEMENT = "file string, module string, stmt_id int, parent_id int, ord int, depth int, prefix string, keyword string, arg string, line int, trail array<string>"
-NODE = "file string, module string, node_id int, path string, keyword string, name string, type_name string, line int, grouping string, rel_path string, uses string, type_json string, target string"
+NODE = "file string, module string, node_id int, path string, keyword string, name string, type_name string, line int, grouping string, rel_path string, uses string, type_json string, target string, last_id int"
 PROPERTY = "file string, node_id int, kind string, field string, pos int, value string"

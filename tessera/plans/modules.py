@@ -444,6 +444,22 @@ def schema_paths(spark, d):
     return c.details.join(changed, "change_id").where("action = 'changed'").select("path", F.col("subject").alias("field"), "change")
 
 
+@query(
+    """SELECT 'g' || p_partkey || v.rel AS path, replace(v.place, '@', p_partkey::VARCHAR) AS place FROM part, (VALUES ('/in/y/type', 'm@/top@/in/y/type'), ('/in/y/type', 'n@/c@/in/y/type'), ('/in/y/type', 'n@/deep@/in/y/type'), ('/in/new', 'm@/top@/in/new'), ('/in/new', 'n@/c@/in/new'), ('/in/new', 'n@/deep@/in/new'),
+('/in/new/type', 'm@/top@/in/new/type'), ('/in/new/type', 'n@/c@/in/new/type'), ('/in/new/type', 'n@/deep@/in/new/type')) v(rel, place) WHERE CASE WHEN v.rel = '/in/y/type' THEN p_partkey % 3 = 0 ELSE p_partkey % 2 = 0 END"""
+)
+def schema_places(spark, d):
+    """Each change of a grouping with every place of use, in its own module and another, and
+    by way of a grouping that uses it."""
+    k = F.regexp_extract("file", "([0-9]+)", 1).try_cast("long")
+    user = 'module n@ { prefix q; import m@ { prefix o; } grouping g@ { leaf other { type int8; } } grouping by@ { uses o:g@; } container c@ { uses o:g@; uses q:g@; } container deep@ { uses by@; } }'
+    old = _files(spark, d, m=_MAIN, n=user)
+    text_ = F.when(k % 3 == 0, F.replace("text", F.lit("[a-z]+"), F.lit("[a-z0-9]+"))).otherwise(F.col("text"))
+    text_ = F.when(k % 2 == 0, F.replace(text_, F.lit("mandatory true; }"), F.lit("mandatory true; } leaf new { type int8; }"))).otherwise(text_)
+    c = schema_diff.compare_files(old, old.withColumn("text", text_), spark.createDataFrame(rules_xml.rule_rows(RULES), rules_xml.RULES))
+    return c.places().join(c.changes.select("change_id", F.col("norm_path").alias("path")), "change_id").select("path", "place")
+
+
 # --- types ------------------------------------------------------------------------
 
 #: name, old and new descriptor, and the change; ~ stands for the part's size (1 to 50).

@@ -156,7 +156,8 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
     the word "type", in a union the type's name); siblings that share one get [i]. What
     refines or augments a ``uses`` has the path of its target, below the user. ``uses``
     holds module:grouping, by the prefixes of the file; ``type_json`` the descriptor of a
-    type, of a typedef's type, or the bases of an identity."""
+    type, of a typedef's type, or the bases of an identity; ``node_id`` counts the nodes of
+    a file in its order, and ``last_id`` is that of the last one below."""
     nodes: list[tuple] = []
     props: list[tuple] = []
     structural = {*model.STRUCTURAL, "notification", "input", "output", "feature", "submodule", "annotation", "refine"}
@@ -210,7 +211,7 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
             inside = f"{rel}/{seg}" if rel else seg if grouping else None
         me = len(nodes)
         type_name = s.arg if s.keyword == "type" else s.first("type")
-        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s), aim(s, parent)))
+        nodes.append((file, module, me, here, f"{s.prefix}:{s.keyword}" if s.prefix else s.keyword, s.arg, type_name, s.line, grouping, inside, target(s.arg or "") if s.keyword == "uses" else None, described(s), aim(s, parent), me))
         if s.arg is not None:
             props.append((file, me, "attribute", "name", 0, s.arg))
         count: dict[str, int] = {}
@@ -228,6 +229,7 @@ def node_rows(file: str, text: str) -> tuple[list[tuple], list[tuple]]:
         for same in below.values():
             for i, c in enumerate(same):
                 walk(c, s, here, None if s.keyword == "grouping" else inside, s.arg if s.keyword == "grouping" else grouping, i if len(same) > 1 else None, module)
+        nodes[me] = (*nodes[me][:-1], len(nodes) - 1)
 
     for s in parse(text):
         if s.keyword in ("module", "submodule"):
@@ -282,8 +284,8 @@ def nodes(files: DataFrame) -> DataFrame:
                 for _, i, k, name, pos, v in props:
                     by.setdefault(i, []).append({"kind": k, "field": name, "pos": pos, "value": v})
                 rows = [(*n, by.get(n[2], [])) for n in found]
-                cols = list(zip(*rows)) if rows else [[]] * 14
-                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, _S, _S, kind]
+                cols = list(zip(*rows)) if rows else [[]] * 15
+                types = [_S, _S, _I, _S, _S, _S, _S, _I, _S, _S, _S, _S, _S, _I, kind]
                 names = [x.split()[0] for x in model.NODE.split(", ")] + ["props"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names)
 
@@ -302,14 +304,14 @@ def expand_uses(rows: DataFrame) -> DataFrame:
 
     Refinements are rows with the path of their target, expanded like any other; what a
     user says counts after what the grouping it uses says."""
-    inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "type_json", "props")])
+    inside = rows.where(F.col("rel_path").isNotNull()).select(F.concat_ws(":", "module", "grouping").alias("g"), F.col("rel_path").alias("g_rel"), *[F.col(c).alias(f"g_{c}") for c in ("file", "module", "node_id", "keyword", "name", "type_name", "line", "uses", "type_json", "last_id", "props")])
     at = F.regexp_replace("path", "/[^/]*$", "").alias("at")
     out = [rows.withColumn("__depth", F.lit(0))]
     front = rows.where(F.col("uses").isNotNull() & F.col("grouping").isNull()).select(at, F.col("uses").alias("want"), F.array("uses").alias("chain"))
     while True:
         made = cut(front.join(inside, F.col("want") == F.col("g")).select(
             F.col("g_file").alias("file"), F.col("g_module").alias("module"), F.col("g_node_id").alias("node_id"), F.concat_ws("/", "at", "g_rel").alias("path"), F.col("g_keyword").alias("keyword"), F.col("g_name").alias("name"),
-            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.lit(None).cast("string").alias("target"), F.col("g_props").alias("props"), F.size("chain").alias("__depth"), "chain",
+            F.col("g_type_name").alias("type_name"), F.col("g_line").alias("line"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("string").alias("rel_path"), F.col("g_uses").alias("uses"), F.col("g_type_json").alias("type_json"), F.lit(None).cast("string").alias("target"), F.col("g_last_id").alias("last_id"), F.col("g_props").alias("props"), F.size("chain").alias("__depth"), "chain",
         ))
         if not made.limit(1).count():
             return _refined(reduce(DataFrame.unionByName, out)).drop("__depth")
