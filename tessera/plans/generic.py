@@ -311,9 +311,11 @@ def rule_mode_select(spark, d):
     return _classified(spark, d, "rfc7950").select("detail_id", "rule_id", "verdict")
 
 
-@query("SELECT * FROM (VALUES (1.0::DOUBLE, 'r-open', 'O'), (2.0, 'r-done-high', 'F'), (2.5, 'r-done-high', 'X'), (3.0, 'r-done', 'F'), (3.5, 'r-done', 'X'), (4.0, 'r-never', 'F'), (4.5, 'r-never', 'X')) v(ord, rule_id, subject)")
+@query("WITH r AS (SELECT p_partkey::DOUBLE AS ord, 'r' || p_partkey AS rule_id, p_brand AS subject FROM part) SELECT * FROM r UNION ALL SELECT ord + 0.5, rule_id, 'X' FROM r WHERE subject = (SELECT min(subject) FROM r)")
 def rule_clone(spark, d):
-    return rules.clone_rules(spark.createDataFrame(_RULES, _RULE_SCHEMA), "F", "X").select("ord", "rule_id", "subject")
+    """The rules of one brand again for a keyword that has none."""
+    known = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rule_id"), F.col("p_brand").alias("subject"))
+    return rules.clone_rules(known, known.agg(F.min("subject")).first()[0], "X").select("ord", "rule_id", "subject")
 
 
 _LISTS = """SELECT p_partkey, CASE WHEN {0} THEN 'unchanged' WHEN len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 THEN 'narrowed' WHEN len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 THEN 'expanded' ELSE 'reordered' END AS change

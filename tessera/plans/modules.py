@@ -308,12 +308,33 @@ def schema_sections(spark, d):
     return _comparison(spark, d).sections().select(F.col("norm_path").alias("path"), "action", "section")
 
 
-@query(f"SELECT 'top' || p_partkey || '/state' AS path, true AS needs_analysis FROM part WHERE p_partkey % 6 < 2 AND false UNION ALL SELECT path, false FROM ({_DETAILS.format(_FINE)})")
+#: Old and new statement, and its change, verdict and whether it needs a look.
+_UNTOLD = [
+    ("pattern '[a-z]{1,400}';", "pattern '[a-z]{1,401}';", "pattern", "error", "[UNMARKED]", True), ("pattern '[a-z]{1,~}';", "pattern '[a-z]{0,~}';", "pattern", "relaxed", _FINE, False), ("pattern '(a)\\1';", "pattern 'a';", "pattern", "error", "[UNMARKED]", True),
+    ('when "../n > 5";', 'when "../n != ~0";', "when", "incomparable", _BREAK, True), ('when "../n > ~";', 'when "../n >= ~";', "when", "relaxed", _FINE, False), ('when "../n >= ~";', 'when "../n > ~";', "when", "narrowed", _BREAK, False),
+]
+_UNTOLD_SQL = ", ".join(f"({i}, '{'c/l/type' if f == 'pattern' else 'c'}', '{c}', '{v}', {str(n).lower()})" for i, (_, _, f, c, v, n) in enumerate(_UNTOLD))
+
+
+@query(f"SELECT 'top' || p_partkey || '/' || path AS path, change, verdict, needs_analysis FROM part JOIN (VALUES {_UNTOLD_SQL}) v(i, path, change, verdict, needs_analysis) ON p_partkey % {len(_UNTOLD)} = i")
 def schema_assistance(spark, d):
-    """Only a direction that a rule asks help for and that cannot be told needs a look."""
-    c = _comparison(spark, d)
+    """A direction that could not be told fits no rule for a direction, stays unmarked and
+    needs a look; so does one that a rule asks help for where neither form implies the
+    other; what is told does not."""
+    case = (F.col("p_partkey") % len(_UNTOLD)).cast("int")
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+
+    def version(side: int) -> DataFrame:
+        own = F.get(F.array(*[F.lit(r[side]) for r in _UNTOLD]), case)
+        pattern = F.get(F.array(*[F.lit(r[2] == "pattern") for r in _UNTOLD]), case)
+        text_ = F.concat(F.lit("module m@ { prefix p; container top@ { leaf n { type int8; } container c { "), F.when(pattern, "").otherwise(own), F.lit(" leaf l { type string { "), F.when(pattern, own).otherwise(""), F.lit(" } } } } }"))
+        for mark, c in (("@", "p_partkey"), ("~", "p_size")):
+            text_ = F.replace(text_, F.lit(mark), F.col(c).cast("string"))
+        return part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".yang")).alias("file"), text_.alias("text"))
+
+    c = schema_diff.compare_files(version(0), version(1), spark.createDataFrame(rules_xml.rule_rows(RULES), rules_xml.RULES))
     changed = c.changes.where("action = 'changed'").select("change_id", F.col("norm_path").alias("path"))
-    return c.details.join(changed, "change_id").select("path", "needs_analysis")
+    return c.details.join(changed, "change_id").select("path", "change", "verdict", "needs_analysis")
 
 
 @query(
