@@ -5,6 +5,7 @@ on all its rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import conditions, intervals, text, types, xpath
 from tessera.functions.regex_inclusion import regex_change
-from tessera.operators import diff, graph, matching, report, retrieval, rules
+from tessera.operators import diff, graph, matching, report, retrieval, rules, vector_index
 from tessera.plans import verify
+from tessera.session import shared_folder
 from tessera.sources.tables import table
 from tessera.streaming import live
 
@@ -527,6 +529,15 @@ def vector_prefilter_topk(spark, d):
     return retrieval.vector_topk(table(spark, d, "embeddings"), _VEC, 10, "vec_id", "embedding", F.col("label") <= 2).withColumn("score", F.round("score", 5))
 
 
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, vec_id DESC) AS rank, vec_id, round(score, 5) AS score FROM (SELECT vec_id, {_COS} AS score FROM embeddings WHERE vec_id % 3 = 1) ORDER BY rank LIMIT 50")
+def vector_index_topk(spark, d):
+    """The index over all vectors, searched with a filter that leaves a third of them."""
+    folder = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex[:12]}"
+    vector_index.write(table(spark, d, "embeddings").select("vec_id", "embedding"), folder, "embedding")
+    found = vector_index.VectorIndex(spark, folder, "vec_id", "embedding").search(_VEC, 50, F.col("vec_id") % 3 == 1)
+    return retrieval.ranked(found.select("vec_id", "score"), [F.desc("score"), F.desc("vec_id")]).withColumn("score", F.round("score", 5))
+
+
 @query(
     f"""WITH a AS (SELECT vec_id, {_COS} AS score FROM embeddings), b AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: 3.0 - i / 10.0)::DOUBLE[]) AS score FROM embeddings)
 SELECT vec_id, round(max(score), 5) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import text
-from tessera.operators import graph, retrieval
+from tessera.operators import graph, retrieval, vector_index
+from tessera.session import cut
 from tessera.sources import yang
 
 DIMENSIONS = 256
@@ -69,8 +70,9 @@ def embed(rows: DataFrame, template: str, vector: str = "vector", dims: int = DI
 
 
 def write_index(docs: DataFrame, folder: str) -> None:
-    """The index: Parquet by category, so that a category filter reads its folder only."""
-    embed(docs, "template").write.partitionBy("category").parquet(folder)
+    """The index: Parquet by category and by list of near vectors, so that a category filter
+    and a search read their folders only."""
+    vector_index.write(embed(docs, "template"), folder, "vector", by=("category",))
 
 
 class Retriever:
@@ -78,6 +80,7 @@ class Retriever:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.docs = spark, spark.read.parquet(folder)
+        self.index = vector_index.VectorIndex(spark, folder, "node_id", "vector")
 
     def query(self, snippet: str, top_k: int = 10, initial_k: int = 3000, category: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
         """rank, node_id, yang_keyword, score and display_text of the best documents for
@@ -86,12 +89,10 @@ class Retriever:
         with their best score."""
         stmts = self.spark.createDataFrame(yang.statement_rows("query", snippet) or [("query", None, 0, None, 0, 0, None, snippet.strip() or "none", None, 1, [snippet.strip() or "none"])], model.STATEMENT)
         q = corpus(stmts).orderBy("line", "node_id").first()
-        pool = self.docs
         want = category or q.category
         mixed = "ATTRIBUTE, CONSTRAINT"
         fits = {"STRUCTURAL": ["STRUCTURAL"], mixed: ["ATTRIBUTE", "CONSTRAINT", mixed]}.get(want, [want, mixed])
-        pool = pool.where(F.col("category").isin(fits))
-        results = [self._scored(pool, q, t, initial_k, weights) for t in self._alternates(q.template)]
+        results = [self._scored(F.col("category").isin(fits), q, t, initial_k, weights) for t in self._alternates(q.template)]
         best = retrieval.merge_queries(results, "node_id")
         top = retrieval.rerank(best, top_k, "node_id")
         return top.join(self.docs.select("node_id", "yang_keyword", "display_text"), "node_id").select("rank", "node_id", "yang_keyword", "score", "display_text")
@@ -101,10 +102,11 @@ class Retriever:
         other = template.replace("<IDENTIFIER>", "\0").replace("<STRING>", "<IDENTIFIER>").replace("\0", "<STRING>")
         return list(dict.fromkeys([template, other]))
 
-    def _scored(self, pool: DataFrame, q, template: str, initial_k: int, weights: dict[str, float] | None) -> DataFrame:
+    def _scored(self, fits: Column, q, template: str, initial_k: int, weights: dict[str, float] | None) -> DataFrame:
         vec = embed(self.spark.range(1).select(F.lit(template).alias("t")), "t").first().vector
-        sim = retrieval.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in vec]))
-        few = pool.withColumn("structure", F.coalesce(sim, F.lit(0.0))).orderBy(F.desc("structure"), F.desc("node_id")).limit(initial_k)
+        few = self.index.search(vec, initial_k, fits).withColumnRenamed("score", "structure")
+        # what has no direction comes last
+        few = cut(few.unionByName(self.index.rest().where(fits).withColumn("structure", F.lit(0.0))).orderBy(F.desc("structure"), F.desc("node_id")).limit(initial_k))
         near = graph.neighbours(self.docs, few, ["node_id"], ["parent_id"])
         kw = self.docs.select(F.col("node_id").alias("other_node_id"), F.col("keywords").alias("k"))
         near = near.join(kw, "other_node_id").groupBy("node_id").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("near"))
