@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera import model
 from tessera.session import ship
 
 # The mask tokens that stand for values in snippets.
@@ -160,6 +161,55 @@ def mask(value: Column, plain: str = "<STRING>") -> Column:
     )
 
 
+# Keywords whose argument is a name, true or false, a number, or a condition.
+NAMED = ("leaf", "container", "list", "leaf-list", "grouping", "typedef", "identity", "extension", "feature", "rpc", "notification", "action", "choice", "case", "bit", "enum")
+BOOLEAN = ("config", "mandatory", "ordered-by", "yin-element", "require-instance")
+NUMERIC = ("min-elements", "max-elements", "fraction-digits", "position", "value")
+SPANS, CONDITIONS, KEYS = ("range", "length"), ("when", "must", "if-feature"), ("key", "unique")
+MARKS = ("{", "}", ";", ",", "(", ")", "[", "]")
+
+
+def unquoted(token: Column) -> Column:
+    return F.when(token.rlike("(?s)^\".*\"$|^'.*'$"), F.substr(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+
+
+def mask_argument(keyword: Column, token: Column, typedefs: Column | None = None) -> Column:
+    """The mask of the argument of a keyword. Built-in types and marks stay; a type that has
+    a prefix or is among ``typedefs`` (an array; null for any) is a typedef."""
+    value, quoted = unquoted(token), token.rlike("^[\"']")
+    known = F.lit(True) if typedefs is None else F.coalesce(F.array_contains(typedefs, value), F.lit(False))
+    return (
+        F.when(token.isin(*MARKS), token)
+        .when((keyword == "type") & value.isin(*model.BUILTIN), value)
+        .when((keyword == "type") & (value.contains(":") | known), "<TYPEDEF>")
+        .when(keyword.isin(*NAMED), "<IDENTIFIER>")
+        .when(keyword.isin(*CONDITIONS), "<CONDITION>")
+        .when(keyword == "pattern", "<REGEX>")
+        .when(keyword.isin(*BOOLEAN) & value.isin("true", "false"), "<BOOLEAN>")
+        .when(keyword.isin(*SPANS), F.when(value.rlike(r"\.\.|\|"), "<RANGE>").otherwise("<NUMBER>"))
+        .when(keyword.isin(*NUMERIC), "<NUMBER>")
+        .when(keyword.isin(*KEYS), F.when(F.trim(value).contains(" "), "<LIST>").otherwise("<IDENTIFIER>"))
+        .when(quoted & (keyword == "path"), "<PATH>")
+        .when(quoted & F.trim(value).contains(" "), "<STRING>")
+        .otherwise(mask(value))
+    )
+
+
+def mask_snippet(tokens: Column, keywords: tuple[str, ...], typedefs: Column | None = None) -> Column:
+    """The tokens of a statement's text masked one after the other, each by the one before
+    it. Marks stay; where a statement begins (after a mark or nothing) its keyword stays,
+    one of an extension inside a block without its prefix; an argument is masked by its
+    keyword."""
+
+    def one(t: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(tokens, i - 1), F.lit("{"))
+        begins = before.isin("{", "}", ";")
+        head = F.when(i == 0, t).otherwise(F.when(F.regexp_replace(t, "^[^:]*:", "").isin(*keywords), t).otherwise(F.regexp_replace(t, "^[^:]*:", "")))
+        return F.when(t.isin(*MARKS), t).when(begins, head).otherwise(mask_argument(F.regexp_replace(before, "^[^:]*:", ""), t, typedefs))
+
+    return F.transform(tokens, one)
+
+
 def snippet_tokens(text: Column) -> Column:
     """Tokens of a statement's text: quoted strings and a..b ranges stay whole."""
     return F.regexp_extract_all(text, F.lit(r"\"[^\"]*\"|'[^']*'|[^\s{};\"']+\.\.[^\s{};\"']+|[^\s{};\"']+|[{};]"), F.lit(0))

@@ -141,6 +141,32 @@ def definition_registry(spark, d):
     return yang.definitions(yang.nodes(_files(spark, d, m=_MAIN))).select("name", "json", F.size("refs").alias("refs"))
 
 
+_TOKEN_SQL = r"""\"[^\"]*\"|'[^']*'|[^\s{};\"']+\.\.[^\s{};\"']+|[^\s{};\"']+|[{};]""".replace("'", "''")
+_WORD_LIST = ", ".join(f"'{w}'" for w in (*model.STRUCTURAL, *model.CONSTRAINT, *model.ATTRIBUTE))
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+_MASKED_SQL = f"""WITH t AS (SELECT p_partkey, unnest(range(len(x))) AS i, unnest(x) AS tok FROM (SELECT p_partkey, regexp_extract_all({_at("'" + _MAIN.replace("'", "''") + "'")}, '{_TOKEN_SQL}') AS x FROM part)),
+p AS (SELECT *, coalesce(lag(tok) OVER (PARTITION BY p_partkey ORDER BY i), '{{') AS before FROM t),
+v AS (SELECT *, regexp_replace(before, '^[^:]*:', '') AS k, CASE WHEN regexp_matches(tok, '^"(.|\n)*"$') THEN tok[2:len(tok) - 1] ELSE tok END AS v FROM p),
+m AS (SELECT p_partkey, CASE WHEN tok IN ('{{', '}}', ';') THEN tok WHEN before IN ('{{', '}}', ';') THEN CASE WHEN i = 0 OR regexp_replace(tok, '^[^:]*:', '') IN ({_WORD_LIST}) THEN tok ELSE regexp_replace(tok, '^[^:]*:', '') END
+  WHEN k = 'type' AND v IN ({_in(model.BUILTIN)}) THEN v WHEN k = 'type' AND (contains(v, ':') OR v = 't' || p_partkey) THEN '<TYPEDEF>' WHEN k IN ({_in(text.NAMED)}) THEN '<IDENTIFIER>' WHEN k IN ({_in(text.CONDITIONS)}) THEN '<CONDITION>'
+  WHEN k = 'pattern' THEN '<REGEX>' WHEN k IN ({_in(text.BOOLEAN)}) AND v IN ('true', 'false') THEN '<BOOLEAN>' WHEN k IN ('range', 'length') THEN CASE WHEN contains(v, '..') OR contains(v, '|') THEN '<RANGE>' ELSE '<NUMBER>' END
+  WHEN k IN ({_in(text.NUMERIC)}) THEN '<NUMBER>' WHEN k IN ('key', 'unique') THEN CASE WHEN contains(trim(v), ' ') THEN '<LIST>' ELSE '<IDENTIFIER>' END
+  WHEN k = 'namespace' OR contains(trim(v), ' ') OR contains(v, '#') THEN '<STRING>' ELSE '<IDENTIFIER>' END AS mask FROM v)
+SELECT p_partkey, mask, count(*) AS n FROM m GROUP BY 1, 2"""
+
+
+@query(_MASKED_SQL)
+def snippet_masks(spark, d):
+    """Tokens of modules masked by the token before them: typedefs after type, conditions
+    after when, numbers after their keywords, and names after what takes one."""
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    tokens = part.select("p_partkey", text.snippet_tokens(_fill(_MAIN)).alias("t"))
+    words_ = (*model.STRUCTURAL, *model.CONSTRAINT, *model.ATTRIBUTE)
+    own = F.array(F.concat(F.lit("t"), F.col("p_partkey").cast("string")))
+    masks = tokens.select("p_partkey", F.explode(text.mask_snippet(F.col("t"), words_, own)).alias("mask"))
+    return masks.groupBy("p_partkey", "mask").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- joins of modules ------------------------------------------------------------
 
 _LEAVES = """('m@/top@/x', 'p@:t@'), ('m@/top@/in/y', 'string'), ('m@/top@/row/id', 'int32'), ('m@/top@/state', 'enumeration'), ('m@/top@/either', 'union'), ('m@/top@/w@/inner', 'binary')"""

@@ -25,10 +25,10 @@ def corpus(stmts: DataFrame, per_keyword: int | None = None) -> DataFrame:
     s = stmts.select("*", F.concat_ws(":", "prefix", "keyword").alias("shown"))
     kids = s.where("parent_id is not null").groupBy("file", F.col("parent_id").alias("stmt_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "shown", "arg"))).alias("kids"))
     d = s.join(kids, ["file", "stmt_id"], "left")
-    pieces = F.coalesce(F.transform("kids", lambda k: F.concat_ws(" ", k["shown"], text.mask(k["arg"]))), F.array().cast("array<string>"))
+    pieces = F.coalesce(F.transform("kids", lambda k: F.concat_ws(" ", k["shown"], text.mask_argument(F.regexp_replace(k["shown"], "^[^:]*:", ""), F.coalesce(k["arg"], F.lit(""))))), F.array().cast("array<string>"))
     extension = F.col("prefix").isNotNull()
     keywords = F.array_distinct(F.concat(F.array("keyword"), F.coalesce(F.transform("kids", lambda k: F.regexp_replace(k["shown"], "^[^:]*:", "")), F.array().cast("array<string>"))))
-    masked = F.concat_ws(" ", F.array("shown"), F.array(text.mask(F.col("arg"))), pieces)
+    masked = F.concat_ws(" ", F.array("shown"), F.array(text.mask_argument(F.col("keyword"), F.coalesce("arg", F.lit("")))), pieces)
     shape = F.aggregate(F.col("trail"), F.array().cast("array<string>"), lambda a, x: F.when(F.coalesce(F.try_element_at(a, F.lit(-1)) == x, F.lit(False)), a).otherwise(F.concat(a, F.array(x))))
     out = d.select(
         F.concat_ws("#", "file", F.col("stmt_id").cast("string")).alias("node_id"),
