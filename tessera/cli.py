@@ -23,6 +23,12 @@ def main(args: list[str] | None = None) -> int:
     q.add_argument("snippet")
     q.add_argument("--top", type=int, default=10)
     q.add_argument("--category")
+    q = sub.add_parser("learn", help="compare, and copy rules for keywords that have none until nothing changes")
+    q.add_argument("old")
+    q.add_argument("new")
+    q.add_argument("--rules", required=True)
+    q.add_argument("--index", required=True)
+    q.add_argument("--out", required=True, help="a new folder for the versions of the rule table")
     q = sub.add_parser("check-rules")
     q.add_argument("rules")
     q = sub.add_parser("add-rules", help="give a keyword the rules of a similar one")
@@ -59,7 +65,17 @@ def main(args: list[str] | None = None) -> int:
         found = schema_diff.compare(spark, a.old, a.new, a.rules, "rfc7950" if a.rfc7950 else "default")
         reports.write_sections(found, f"{a.out}/sections")
         reports.write_text(found, f"{a.out}/report")
+        reports.write_report(found, a.out)
         found.sections().groupBy("section").count().orderBy("section").show()
+    elif a.command == "learn":
+        from tessera.plans import learning
+        from tessera.sources import rules_xml
+
+        store = learning.RuleTable(spark, a.out)
+        store.append(rules_xml.read_rules(spark, a.rules), 0)
+        _, log = learning.learn(yang.read_files(spark, a.old), yang.read_files(spark, a.new), store, retriever.Retriever(spark, a.index))
+        for version, keyword, similar in log:
+            print(f"{version}\t{keyword}\t{similar or 'nothing similar'}")
     elif a.command == "index":
         retriever.write_index(retriever.corpus(yang.statements(yang.read_files(spark, a.modules)), a.per_keyword), a.out)
     else:

@@ -72,7 +72,8 @@ def embed(rows: DataFrame, template: str, vector: str = "vector", dims: int = DI
 def write_index(docs: DataFrame, folder: str) -> None:
     """The index: Parquet by category and by list of near vectors, so that a category filter
     and a search read their folders only."""
-    vector_index.write(embed(docs, "template"), folder, "vector", by=("category",))
+    # cut: a filter over the steps of embed would compute one inside another's loop
+    vector_index.write(cut(embed(docs, "template")), folder, "vector", by=("category",))
 
 
 class Retriever:

@@ -25,6 +25,17 @@ def write_sections(comparison: Comparison, folder: str) -> None:
     heads.join(details, "change_id", "left").write.partitionBy("section").json(folder)
 
 
+def write_report(comparison: Comparison, folder: str) -> None:
+    """What the report says after all its passes, as JSON: ``grouped`` (a folder a section,
+    details with each row), ``concise`` (kind, keyword and paths, with moves told apart)
+    and ``places`` (the changes of groupings with all their places of use)."""
+    rows = comparison.report()
+    rows.write.partitionBy("section").json(f"{folder}/grouped")
+    comparison.condensed().select("section", "kind", "keyword", "verdict", "old_path", "new_path").write.json(f"{folder}/concise")
+    places = comparison.places().groupBy("change_id", "grouping").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    comparison.changes.select("change_id", "keyword", "action", "verdict").join(places, "change_id").drop("change_id").write.json(f"{folder}/places")
+
+
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     """(line, kind, keyword, action, old_value, new_value, verdict) of a text report."""
     raw = spark.read.text(folder).select(F.col("value").alias("line"))
