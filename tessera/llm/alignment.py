@@ -105,36 +105,43 @@ class Aligner:
         """The parts of a text; each has a space before it, that of the first is added."""
         return _CUT.split(text) if self.cuts else [text]
 
-    def _intervals(self, name: str, ids: list[list[int]], sizes: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """An interval table in DuckDB; gives the number of tokens of each unit."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum()))
+    def _intervals(self, name: str, flat: np.ndarray, n: np.ndarray, sizes: np.ndarray, units: np.ndarray) -> None:
+        """An interval table in DuckDB: n tokens of each unit, one after the other."""
         last = np.cumsum(sizes[flat])
         self.db.register("given", pa.table({"unit": np.repeat(units, n), "id": flat, "s": last - sizes[flat], "e": last}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
-        return n
 
-    def _whole(self, parts: list[str], ids: list[list[int]], entries: list[bytes]) -> list[bool]:
+    @staticmethod
+    def _whole(raw: list[bytes], ids: list[list[int]], flat: np.ndarray, n: np.ndarray, entries: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """Whether the tokens of each part give back its space and its bytes."""
-        raw = [(" " + p).encode() for p in parts]
-        return [r == b"".join(map(entries.__getitem__, x)) for r, x in zip(raw, ids)]
+        ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(n)])]
+        same = np.diff(ends) == np.fromiter(map(len, raw), np.int64, len(raw))
+        # equal lengths and equal bytes of all together are equal bytes of each
+        if same.all() and b"".join(map(entries.__getitem__, flat.tolist())) == b"".join(raw):
+            return same
+        return np.array([r == b"".join(map(entries.__getitem__, x)) for r, x in zip(raw, ids)], bool)
 
     def learn(self, parts: list[str]) -> None:
         """Encode and align parts that are new."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
         # an empty part is the space at a text's end; the library would give it nothing
         ids_b = [x if p else [self.space] for p, x in zip(parts, self.b.encode(parts, num_threads=1))]
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        raw = [(" " + p).encode() for p in parts]
+        well = self._whole(raw, ids_a, flat_a, n_a, self.bytes_a, self.sizes_a) & self._whole(raw, ids_b, flat_b, n_b, self.bytes_b, self.sizes_b)
         first = len(self.texts)
         sizes = np.zeros((len(parts), 4), np.int64)
         texts = [""] * len(parts)
-        good = np.flatnonzero(np.array(self._whole(parts, ids_a, self.bytes_a)) & np.array(self._whole(parts, ids_b, self.bytes_b)))
+        good = np.flatnonzero(well)
         sizes[:, 0] = -1
         if len(good):
             if len(good) < len(parts):
-                ids_a, ids_b = [ids_a[k] for k in good], [ids_b[k] for k in good]
-            sizes[good, 0] = self._intervals("a", ids_a, self.sizes_a, good)
-            sizes[good, 1] = self._intervals("b", ids_b, self.sizes_b, good)
+                flat_a, flat_b = flat_a[np.repeat(well, n_a)], flat_b[np.repeat(well, n_b)]
+            sizes[good, 0], sizes[good, 1] = n_a[good], n_b[good]
+            self._intervals("a", flat_a, n_a[good], self.sizes_a, good)
+            self._intervals("b", flat_b, n_b[good], self.sizes_b, good)
             self.db.execute(_LINKS)
             self.db.execute(f"INSERT INTO links SELECT unit + {first}, (a::BIGINT << {_SHIFT}) + b, count(*) FROM overlap GROUP BY ALL")
             got = {k: np.asarray(v) for k, v in self.db.execute("SELECT unit, grp::BIGINT AS grp, a, b, ends_a, ends_b FROM overlap ORDER BY s").fetchnumpy().items()}
