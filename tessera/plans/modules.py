@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.functions import conditions, text, types, xpath
-from tessera.operators import diff, graph, matching, report, retrieval, rules
+from tessera.operators import aligned, diff, graph, matching, report, retrieval, rules
 from tessera.plans import retriever, schema_diff, verify
 from tessera.plans.generic import query
 from tessera.sources import loaders, reports, rules_xml, yang
@@ -694,6 +694,63 @@ def union_members(spark, d):
     return diff.positional_diff(old, new, ["p_partkey"], "pos", "value")
 
 
+_LISTED = "SELECT p_partkey, p_partkey // 8 AS id, p_size % 5 AS v, p_size % 4 = 0 AS gone, p_size % 7 = 0 AS late, p_size % 5 + 5 * (p_size % 7 = 1)::INTEGER AS w FROM part"
+
+
+@query(
+    f"""WITH RECURSIVE p AS ({_LISTED}), o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p_partkey) - 1 AS i, 'v' || v AS x FROM p), n AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY late, p_partkey) - 1 AS j, 'v' || w AS y FROM p WHERE NOT gone),
+m AS (SELECT o.id, i, j FROM o JOIN n ON o.id = n.id AND x = y), c(id, i, j, way) AS (SELECT id, i, j, [i * 100 + j] FROM m UNION ALL SELECT c.id, m.i, m.j, list_append(way, m.i * 100 + m.j) FROM c JOIN m ON m.id = c.id AND m.i > c.i AND m.j > c.j),
+best AS (SELECT id, way FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(way) DESC, way) AS r FROM c) WHERE r = 1), same AS (SELECT id, k // 100 AS i, k % 100 AS j FROM (SELECT id, unnest(way) AS k FROM best)),
+ro AS (SELECT *, (SELECT count(*) FROM same s WHERE s.id = o.id AND s.i < o.i) AS gap, row_number() OVER (PARTITION BY id, x ORDER BY i) AS k FROM o WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.id = o.id AND s.i = o.i)), rn AS (SELECT *, (SELECT count(*) FROM same s WHERE s.id = n.id AND s.j < n.j) AS gap, row_number() OVER (PARTITION BY id, y ORDER BY j) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.id = n.id AND s.j = n.j)),
+moved AS (SELECT ro.id, ro.i, rn.j FROM ro JOIN rn ON ro.id = rn.id AND x = y AND ro.k = rn.k), go AS (SELECT *, row_number() OVER (PARTITION BY id, gap ORDER BY i) AS q FROM ro WHERE NOT EXISTS (SELECT 1 FROM moved s WHERE s.id = ro.id AND s.i = ro.i)), gn AS (SELECT *, row_number() OVER (PARTITION BY id, gap ORDER BY j) AS q FROM rn WHERE NOT EXISTS (SELECT 1 FROM moved s WHERE s.id = rn.id AND s.j = rn.j)),
+every AS (SELECT id, i, j, 'unchanged' AS action FROM same UNION ALL SELECT *, 'moved' FROM moved UNION ALL SELECT coalesce(go.id, gn.id), i, j, CASE WHEN i IS NULL THEN 'added' WHEN j IS NULL THEN 'deleted' ELSE 'changed' END FROM go FULL JOIN gn ON go.id = gn.id AND go.gap = gn.gap AND go.q = gn.q)
+SELECT e.id, e.i AS old_pos, e.j AS new_pos, action, x AS old_value, y AS new_value FROM every e LEFT JOIN o ON o.id = e.id AND o.i = e.i LEFT JOIN n ON n.id = e.id AND n.j = e.j"""
+)
+def list_alignment(spark, d):
+    """Lists of repeated values whose items went, came late and changed, by their longest
+    common subsequence; the SQL tries all subsequences."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    v = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    w = v(z % 5 + F.when(z % 7 == 1, 5).otherwise(0))
+    put = lambda order, value, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(*order, value.alias("v"))))), lambda s: s["v"])
+    lists = table(spark, d, "part").groupBy(F.floor(k / 8).alias("id")).agg(put([k], v(z % 5), F.lit(True)).alias("a"), put([(z % 7 == 0).alias("late"), k], w, z % 4 != 0).alias("b"))
+    return aligned.items(lists, ["id"], "a", "b")
+
+
+#: Old and new members of a union: one put first, one gone between, a new order, another length.
+_MEMBERS = [
+    ("type string { length ~; } type string { length 90; }", "type string { length 95; } type string { length ~; } type string { length 90; }"),
+    ("type int8; type string { length ~; } type boolean;", "type int8; type boolean;"),
+    ("type int8; type t@;", "type t@; type int8;"),
+    ("type int8; type string { length ~; }", "type int8; type string { length 91; }"),
+]
+_MEMBER_ROWS = """(0, '', 'type', NULL, 0, 'added', NULL, '{"name":"string","length":"95","pattern":[]}'), (1, '', 'type', 1, NULL, 'deleted', '{"name":"string","length":"~","pattern":[]}', NULL),
+(2, '', 'type', 1, 0, 'moved', '{"name":"m@:t@","pattern":[]}', '{"name":"m@:t@","pattern":[]}'), (3, '', 'type', 1, 1, 'changed', '{"name":"string","length":"~","pattern":[]}', '{"name":"string","length":"91","pattern":[]}'),
+(0, '/must', 'must', NULL, 1, 'added', NULL, '../n < ~'), (1, '/must', 'must', NULL, 1, 'added', NULL, '../n < ~'), (2, '/must', 'must', NULL, 1, 'added', NULL, '../n < ~'), (3, '/must', 'must', NULL, 1, 'added', NULL, '../n < ~')"""
+
+
+@query(
+    f"""SELECT 'top' || p_partkey || '/u' || CASE field WHEN 'type' THEN '/type' ELSE '' END AS path, field, old_pos, new_pos, action, {_at('o')} AS old_value, {_at('n')} AS new_value
+FROM part JOIN (VALUES {_MEMBER_ROWS}) v(i, s, field, old_pos, new_pos, action, o, n) ON p_partkey % {len(_MEMBERS)} = i"""
+)
+def schema_items(spark, d):
+    """Members of unions and repeated conditions that differ between two versions: what
+    comes in between shifts nothing else."""
+    case = F.col("p_partkey") % len(_MEMBERS)
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+
+    def version(side: int) -> DataFrame:
+        must = ['must "../n > 1"; must "../n != 50";', 'must "../n > 1"; must "../n < ~"; must "../n != 50";'][side]
+        body = F.get(F.array(*[F.lit(c[side]) for c in _MEMBERS]), case)
+        text_ = F.concat(F.lit("module m@ { prefix p; typedef t@ { type int8; } container top@ { leaf n { type uint8; } leaf u { " + must + " type union { "), body, F.lit(" } } } }"))
+        for mark, c in (("@", "p_partkey"), ("~", "p_size"), ("^", "p_brand")):
+            text_ = F.replace(text_, F.lit(mark), F.col(c).cast("string"))
+        return part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".yang")).alias("file"), text_.alias("text"))
+
+    rules = spark.createDataFrame(rules_xml.rule_rows(RULES), rules_xml.RULES)
+    return schema_diff.compare_files(version(0), version(1), rules).items()
+
+
 @query(
     """SELECT 'top' || p_partkey || '/w' || p_partkey || p AS path, k AS keyword, a AS action FROM part, (VALUES ('/inner/type', 'type', 'changed', 0), ('/extra', 'leaf', 'added', 1), ('/extra/type', 'type', 'added', 1), ('/inner', 'leaf', 'deleted', 2), ('/inner/type', 'type', 'deleted', 2), ('/kept', 'leaf', 'added', 2), ('/kept/type', 'type', 'added', 2)) v(p, k, a, m) WHERE p_partkey % 4 = m"""
 )
