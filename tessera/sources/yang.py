@@ -78,11 +78,35 @@ def tokens(text: str) -> Iterator[tuple[str, str, int]]:
         yield held
 
 
+#: Statements that stand in a module itself and nowhere deeper.
+_TOP = ("namespace", "import", "include", "revision", "organization", "contact", "yang-version", "belongs-to", "feature", "identity", "extension", "rpc", "deviation")
+
+
 def parse(text: str) -> list[Statement]:
-    """Top statements of a text. Unclosed blocks end with the text and stray closing
-    braces are skipped, so any text gives a result."""
+    """Top statements of a text; any text gives a result, and a broken one its whole
+    statements. What follows a closing brace too many stays in the module. Where blocks
+    are left open, the layout closes them (a statement no deeper than an open one is not
+    in it), if that accounts for every brace; else statements that can only stand in a
+    module do. What then is open ends with the text."""
+    top, lacking, _ = _parse(text, "")
+    if not lacking:
+        return top
+    by_layout, still, closed = _parse(text, "layout")
+    return by_layout if closed == lacking and not still else _parse(text, "top")[0]
+
+
+def _parse(text: str, recovery: str) -> tuple[list[Statement], int, int]:
+    """Top statements, the number of blocks left open, and of those that ``recovery`` closed."""
     root = Statement("", None, 0)
-    stack, keyword, arg, at = [root], None, None, 0
+    stack, keyword, arg, at, closed = [root], None, None, 0, 0
+    lines = text.split("\n") if recovery == "layout" else []
+    columns: list[int | None] = [None]
+
+    def column(word: str, line: int) -> int | None:
+        """Where a line begins, if it does with this word."""
+        whole = lines[line - 1]
+        begin = len(whole) - len(whole.lstrip())
+        return begin if whole.startswith(word, begin) else None
 
     def add() -> Statement | None:
         nonlocal keyword, arg
@@ -94,19 +118,37 @@ def parse(text: str) -> list[Statement]:
         keyword = arg = None
         return s
 
+    def close(size: int) -> None:
+        nonlocal closed
+        closed += len(stack) - size
+        del stack[size:], columns[size:]
+
+    here: int | None = None
     for kind, raw, line in tokens(text):
         if kind == "mark":
             s = add()
             if raw == "{":
                 stack.append(s or Statement("", None, line))
+                columns.append(here if s else None)
             elif raw == "}" and len(stack) > 1:
                 stack.pop()
+                columns.pop()
         elif keyword is None:
             keyword, at = raw, line
+            if len(stack) == 1 and raw not in ("module", "submodule") and root.children and root.children[-1].keyword in ("module", "submodule"):
+                stack.append(root.children[-1])
+                columns.append(None)
+                closed -= 1
+            if recovery == "layout":
+                here = column(raw, line)
+                while here is not None and len(columns) > 1 and columns[-1] is not None and here <= columns[-1]:
+                    close(len(stack) - 1)
+            elif recovery == "top" and raw in _TOP and len(stack) > 2:
+                close(2)
         else:
             arg = raw if arg is None else f"{arg} {raw}"
     add()
-    return root.children
+    return root.children, len(stack) - 1, closed
 
 
 def statement_rows(file: str, text: str) -> list[tuple]:
@@ -339,6 +381,59 @@ def _refined(rows: DataFrame) -> DataFrame:
     return hit.withColumn("props", props).select(*rows.columns)
 
 
+def by_revision(rows: DataFrame) -> DataFrame:
+    """Nodes of files of which some are revisions of one module. The newest revision has the
+    module's name; others are known as module@revision, and of them only what can be used
+    elsewhere stays (groupings, typedefs, identities). An import with a revision-date speaks
+    of the newest revision up to that date, or else of the oldest; without one, of the
+    newest. Submodules of a revision are those as of its date. Where no module has two
+    revisions, the rows themselves.
+
+    Choices are aggregates of equality joins on the module's name; a revision of null is
+    before all others, and files of one module and revision count together."""
+    files = rows.where("keyword in ('module', 'submodule')").select("file", "module", "keyword", "name")
+    dates = rows.where("keyword = 'revision'").groupBy("file").agg(F.max("name").alias("revision"))
+    files = files.join(dates, "file", "left").fillna("", ["revision"])
+    newest = files.groupBy("keyword", "name").agg(F.max("revision").alias("newest"), F.count_distinct("revision").alias("n"))
+    if not newest.where("n > 1").limit(1).count():
+        return rows
+    told = cut(files.join(newest, ["keyword", "name"]))
+    alias = F.when(F.col("revision") == F.col("newest"), F.col("module")).otherwise(F.concat_ws("@", "module", "revision"))
+    modules = told.where("keyword = 'module'").select("file", "module", "revision", alias.alias("alias"))
+    as_of = lambda at, *of: F.coalesce(F.max(F.when(F.col("revision") <= at, F.struct("revision", *of))), F.min(F.struct("revision", *of)))
+    subs = told.where("keyword = 'submodule'").select("file", "module", "name", "revision")
+    users = modules.select("module", F.col("revision").alias("at"), "alias").distinct()
+    met = subs.join(users, "module", "left").withColumn("alias", F.coalesce("alias", "module"))
+    latest = F.when(F.col("alias") == F.col("module"), F.lit("\uffff")).otherwise(F.col("at"))
+    picked = met.withColumn("at", latest).groupBy("module", "name", "alias", "at").agg(as_of(F.col("at"))["revision"].alias("revision"))
+    homes = modules.select("file", "alias").unionByName(subs.join(picked, ["module", "name", "revision"]).select("file", "alias"))
+
+    date = F.get(F.transform(F.filter("props", lambda p: p["field"] == "revision-date"), lambda p: p["value"]), F.lit(0))
+    imports = rows.where("keyword = 'import'").select("file", F.col("name").alias("module"), date.alias("wanted")).where("wanted is not null").distinct()
+    asked = imports.select("module", "wanted").distinct().join(modules, "module").groupBy("module", "wanted").agg(as_of(F.col("wanted"), "alias")["alias"].alias("to"))
+    swaps = imports.join(asked, ["module", "wanted"]).where(F.col("to") != F.col("module")).groupBy("file").agg(F.array_sort(F.collect_set(F.struct(F.col("module").alias("m"), "to"))).alias("__swaps"))
+
+    out = rows.join(homes, "file").join(swaps, "file", "left")
+    older = F.col("alias") != F.col("module")
+    out = out.where(~older | F.col("keyword").isin("grouping", "typedef", "identity") | F.col("rel_path").isNotNull())
+    own = F.when(older, F.array(F.struct(F.col("module").alias("m"), F.col("alias").alias("to")))).otherwise(F.array().cast("array<struct<m:string,to:string>>"))
+    out = out.withColumn("__swaps", F.concat(F.coalesce("__swaps", F.array().cast("array<struct<m:string,to:string>>")), own))
+
+    def put(c: str, *lefts: str) -> Column:
+        swap = lambda v, x, left: F.replace(v, F.concat(F.lit(left), x["m"], F.lit(":")), F.concat(F.lit(left), x["to"], F.lit(":")))
+        return F.aggregate("__swaps", F.col(c), lambda v, x: reduce(lambda w, left: swap(w, x, left), lefts, v))
+
+    uses = F.aggregate("__swaps", F.col("uses"), lambda v, x: F.when(F.substring_index(v, ":", 1) == x["m"], F.concat_ws(":", x["to"], F.substring_index(v, ":", -1))).otherwise(v))
+    json_ = F.when(F.col("keyword") == "identity", put("type_json", '"')).otherwise(put("type_json", '"name": "', '"base": "'))
+    path = F.when(older, F.concat("alias", F.expr("substring(path, length(module) + 1)"))).otherwise(F.col("path"))
+    return cut(out.withColumn("uses", uses).withColumn("type_json", json_).withColumn("path", path).withColumn("module", F.col("alias")).select(*rows.columns))
+
+
+def without_older(rows: DataFrame) -> DataFrame:
+    """Nodes without the text of older revisions; what others took from there stays."""
+    return rows.where(~F.col("path").rlike("^[^/]*@"))
+
+
 def grouping_contexts(rows: DataFrame) -> DataFrame:
     """(grouping as module:name, at): every path below which a grouping is expanded,
     directly or by way of the groupings that use it."""
