@@ -179,6 +179,50 @@ def uses_expansion(spark, d):
     return rows.where("keyword = 'leaf' and grouping is null").select("path", "type_name")
 
 
+@query(
+    """WITH r AS (SELECT p_partkey, 2000 + p_size % 20 + a AS year, (2000 + p_partkey % 40) || '-06-01' AS wanted FROM part, (VALUES (0), (5), (30)) v(a)),
+c AS (SELECT p_partkey, coalesce(max(year) FILTER (WHERE year || '-01-01' <= wanted), min(year)) AS dated, max(year) AS newest FROM r GROUP BY p_partkey)
+SELECT 'n' || p_partkey || '/c' || p_partkey || '/' || w || '/y' || CASE w WHEN 'dated' THEN dated ELSE newest END AS path, CASE WHEN w = 'dated' AND dated < newest THEN 'd:t' ELSE 't' END AS type_name FROM c, (VALUES ('dated'), ('newest')) v(w)"""
+)
+def import_revisions(spark, d):
+    """What an import by date takes of a module in three revisions, as of that date, and what
+    one without a date does, by way of a grouping of another module."""
+    k, first = F.col("p_partkey"), F.lit(2000) + F.col("p_size") % 20
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+
+    def texts(mark: str, pattern: str, **values: Column) -> DataFrame:
+        text_ = _fill(pattern)
+        for name, value in values.items():
+            text_ = F.replace(text_, F.lit(f"<{name}>"), value.cast("string"))
+        return part.select(F.concat(F.lit(mark), k.cast("string"), F.lit(".yang")).alias("file"), text_.alias("text"))
+
+    files = texts("n", "module n@ { prefix d; import a@ { prefix x; revision-date <want>-06-01; } import b@ { prefix y; } container c@ { container dated { uses x:g; } container newest { uses y:h; } } }", want=F.lit(2000) + k % 40)
+    files = files.unionByName(texts("b", "module b@ { prefix b; import a@ { prefix d; } grouping h { uses d:g; } }"))
+    for after in (0, 5, 30):
+        name = "d:t" if after < 30 else "t"
+        files = files.unionByName(texts(f"a{after}-", f"module a@ {{ prefix d; revision <year>-01-01; typedef t {{ type int8; }} grouping g {{ leaf y<year> {{ type {name}; }} }} }}", year=first + after))
+    return schema_diff.nodes_of(files).where("keyword = 'leaf' and path like 'n%'").select("path", "type_name")
+
+
+#: A module and three broken forms of it: a brace too few, where layout or a statement of modules ends the block, and one too many.
+_BROKEN = [
+    "module m@ {\n  container a@ {\n    leaf x { type int8; }\n  }\n  identity i;\n  container b@ { leaf y { type t~; } }\n}\n",
+    "module m@ {\n  container a@ {\n    leaf x { type int8; }\n  identity i;\n  container b@ { leaf y { type t~; } }\n}\n",
+    "module m@ { container a@ { leaf x { type int8; } identity i; container b@ { leaf y { type t~; } } }",
+    "module m@ { container a@ { leaf x { type int8; } } } identity i; container b@ { leaf y { type t~; } } }",
+]
+
+
+@query(f"SELECT {_at('path')} AS path, keyword, {_at('t')} AS type_name FROM part, (VALUES ('m@/a@', 'container', NULL), ('m@/a@/x', 'leaf', 'int8'), ('m@/i', 'identity', NULL), ('m@/b@', 'container', NULL), ('m@/b@/y', 'leaf', 't~')) v(path, keyword, t)")
+def module_recovery(spark, d):
+    """A broken module has the nodes that it had whole."""
+    form = F.regexp_extract("file", "m([0-9])-", 1)
+    which = (F.regexp_extract("file", "-([0-9]+)", 1).try_cast("long") % len(_BROKEN)).cast("string")
+    files = _files(spark, d, **{f"m{i}-": t for i, t in enumerate(_BROKEN)})
+    rows = yang.nodes(files.where(form == which))
+    return rows.where("keyword in ('container', 'leaf', 'identity')").select("path", "keyword", "type_name")
+
+
 @query(f"SELECT {_at('g')} AS grouping, {_at('a')} AS at FROM part, (VALUES ('m@:g@', 'm@/top@'), ('m@:g@', 'n@/c@'), ('n@:g@', 'n@/c@')) v(g, a)")
 def grouping_contexts(spark, d):
     return yang.grouping_contexts(yang.nodes(_files(spark, d, m=_MAIN, n=_USER)))
