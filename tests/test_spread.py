@@ -39,3 +39,14 @@ def test_stored_rows_know_their_size(spark):
 def test_positions_of_tokens():
     assert list(yang.tokens('a // n\n "b" /* x\n y */ + \'c\'\n{ d/e; } /* open')) == [("word", "a", 1), ("string", "bc", 2), ("mark", "{", 4), ("word", "d/e", 4), ("mark", ";", 4), ("mark", "}", 4), ("word", "/", 4), ("word", "*", 4), ("word", "open", 4)]
     assert list(yang.tokens("x" + " " * 200_000)) == [("word", "x", 1)]
+
+
+def test_a_comparison_keeps_what_its_steps_share(spark, monkeypatch):
+    from tessera.plans import schema_diff
+    from tessera.sources import rules_xml
+
+    files = lambda t: spark.createDataFrame([("m.yang", f"module m {{ prefix p; container top {{ leaf a {{ type {t}; }} }} }}")], "file string, text string")
+    c = schema_diff.compare_files(files("int8"), files("int16"), spark.createDataFrame(rules_xml.rule_rows(modules.RULES), rules_xml.RULES), moves=False)
+    # tables of the shared folder, not plans that parse the texts once more for each reader
+    assert all(t.inputFiles() for t in (c.old.modules, c.new.modules, c.changes, c.details))
+    assert [(r.norm_path, r.action) for r in c.changes.collect()] == [("top/a/type", "changed")]
