@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, let, words
-from tessera.session import cut
+from tessera.session import cut, stored
 
 # The weights of the features of a candidate.
 WEIGHTS = {
@@ -114,7 +114,10 @@ def keyword_overlap(a: Column, b: Column) -> Column:
 
 def lexical_overlap(a: Column, b: Column) -> Column:
     """Jaccard of the distinct words of at least two characters."""
-    return jaccard(F.array_distinct(words(a, 2)), F.array_distinct(words(b, 2)), empty=0.0, scale=1.0)
+    x, y = F.array_distinct(words(a, 2)), F.array_distinct(words(b, 2))
+    # of two sets, what both have tells the size of what either has
+    sizes = let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("i"), (F.size(s["x"]) + F.size(s["y"])).alias("n")))
+    return F.when(a.isNotNull() & b.isNotNull(), let(sizes, lambda s: F.when(s["n"] == s["i"], F.lit(0.0)).otherwise(s["i"] / (s["n"] - s["i"]))))
 
 
 def fuse(features: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -143,9 +146,12 @@ def merge_queries(results: list[DataFrame], id_col: str) -> DataFrame:
 def best_per_keyword(scored: DataFrame, keyword: str, id_col: str, least: float = 0.4, relaxed: float = 0.1, enough: int = 5) -> DataFrame:
     """Best result and number of results of each keyword, from scores of at least
     ``least``, or of ``relaxed`` where that leaves fewer than ``enough`` keywords."""
-    strict = scored.where(F.col("score") >= least)
-    rows = strict if strict.select(keyword).distinct().limit(enough).count() >= enough else scored.where(F.col("score") >= relaxed)
-    return rows.groupBy(keyword).agg(F.max_by(id_col, F.struct("score", -F.col(id_col))).alias(id_col), F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    one = F.struct("score", -F.col(id_col))
+    parts = lambda t, s: [F.max_by(id_col, F.when(F.col("score") >= t, one)).alias(f"id_{s}"), F.max(F.when(F.col("score") >= t, F.col("score"))).alias(f"score_{s}"), F.count(F.when(F.col("score") >= t, 1)).alias(f"n_{s}")]
+    # both sets of scores in one pass over the rows; what is left has a row a keyword
+    rows = stored(scored.groupBy(keyword).agg(*parts(least, "strict"), *parts(relaxed, "relaxed")))
+    which = "strict" if rows.where("n_strict > 0").limit(enough).count() >= enough else "relaxed"
+    return rows.where(f"n_{which} > 0").select(keyword, F.col(f"id_{which}").alias(id_col), F.col(f"score_{which}").alias("score"), F.col(f"n_{which}").alias("n"))
 
 
 def cap_per_key(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
